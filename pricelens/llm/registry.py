@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL."""
 
-from . import bpe, fingerprint, packing, quality, sharding, sstable, urls
+from . import bpe, fingerprint, packing, quality, sharding, sstable, substring, urls
 
-QUERIES = {f.__name__: f for f in (fingerprint.op5_winnowing, bpe.op7_byte_bpe, quality.op2_quality_rules, urls.op4_url_filters, sstable.op8_sstable_shards, sharding.op9_minimax_sharding, packing.op10_nnls_packing)}
+QUERIES = {f.__name__: f for f in (substring.op1_substring_dedup, fingerprint.op5_winnowing, bpe.op7_byte_bpe, quality.op2_quality_rules, urls.op4_url_filters, sstable.op8_sstable_shards, sharding.op9_minimax_sharding, packing.op10_nnls_packing)}
 ORACLES: dict[str, str] = {"op4_url_filters": urls.OP4_SQL}
