@@ -3,17 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pricelens.llm import packing
+from pricelens.llm import minhash, packing, quality, substring
 from pricelens.llm._spark import documents, shared_folder
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality rules keep, as they are."""
+    judged = quality.judged(spark, docs.withColumnRenamed("quality", "_quality") if "quality" in docs.columns else docs, sf_dir)
+    kept = judged.where("quality.kept").drop("quality")
+    return kept.withColumnRenamed("_quality", "quality").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the least doc_id. Rows with a null doc_id stay."""
+    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(docs.columns)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their texts without the words that the substring dedup removes. n_chars counts the text's characters again, if there."""
+    out = substring.dedup_substrings(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences of what is left."""
+    """The sequences of what is left; a document whose words are all gone brings its end only."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("quality rules", keep_quality), ("near-dedup", drop_near_duplicates), ("substring dedup", remove_repeats), ("packing", pack)]
 #: No SQL expresses the stages; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
