@@ -87,7 +87,8 @@ def measured(docs: DataFrame, table: list[float], threshold: float = THRESHOLD)
         F.col("_repeat").alias("n_repeat_words"),
         F.col("_ratio").alias("log_ratio"),
         bad.alias("base_failed"),
-        (~bad & (F.col("_ratio") >= threshold)).alias("kept"),
+        # The number keeps a caller's filter on the verdict above this projection: pushed below, it would have all of the above computed for each word anew.
+        (~bad & (F.col("_ratio") >= threshold) & (F.monotonically_increasing_id() >= 0)).alias("kept"),
     )
     return facts.withColumn("quality", out).drop("_w", "_bits", "_k", "_p", "_lines", "_n", "_repeat", "_ratio")
 
