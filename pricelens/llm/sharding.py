@@ -65,11 +65,9 @@ def by_range(df: DataFrame, key: str, part: str, parts: int = PARTS) -> DataFram
     bounds = df.where(F.col(key).isNotNull()).agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000).alias("b")).head()["b"] or []
     bounds = sorted(set(bounds))
     table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>") if bounds else F.array().cast("array<long>")
-    # array_position of the place a key would take, by binary search over the sorted bounds
-    steps = max(1, len(bounds)).bit_length()
-    at = F.lit(0)
-    for s in range(steps - 1, -1, -1):
-        at = at + F.when(F.coalesce(F.get(table, at + (1 << s) - 1) <= F.col(key), F.lit(False)), F.lit(1 << s)).otherwise(0)
+    # The number of bounds up to the key, by binary search; a place beyond the last bound counts as greater.
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length())))) if bounds else F.array().cast("array<int>")
+    at = F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(F.coalesce(F.get(table, at + s - 1) <= F.col(key), F.lit(False)), s).otherwise(0))
     return df.withColumn(part, at.cast("int"))
 
 
