@@ -24,10 +24,16 @@ SMOOTHING = 0.1
 THRESHOLD = -0.1
 
 
-def _cells(w: Column) -> Column:
-    """The cells of a document's words and of its pairs of neighbouring words, one array of both for each word."""
-    one = lambda *x: F.xxhash64(*x).bitwiseAND(F.lit(CELLS - 1)).cast("int")
-    return F.transform(w, lambda x, i: F.when(i + 1 < F.size(w), F.array(one(x), one(x, F.get(w, i + 1)))).otherwise(F.array(one(x))))
+def _codes(w: Column) -> Column:
+    """A hash for each word; what follows is computed from these numbers only."""
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def _cells(u: Column) -> Column:
+    """The cells of a document's words and of its pairs of neighbouring words, from its codes."""
+    cell = lambda x: x.bitwiseAND(CELLS - 1).cast("int")
+    pairs = F.slice(u, F.lit(1), F.greatest(F.size(u) - 1, F.lit(0)))
+    return F.concat(F.transform(u, lambda x: cell(x)), F.transform(pairs, lambda x, i: cell(F.xxhash64(x, F.get(u, i + 1)))))
 
 
 def trusted_ids(labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
@@ -43,7 +49,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """
     ids = F.broadcast(trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_good")))  # TRUSTED rows at most
     rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left")
-    cells = rows.select("_good", words(F.col("text")).alias("w")).select("_good", F.explode(F.flatten(_cells(F.col("w")))).alias("cell"))
+    codes = rows.select("_good", _codes(words(F.col("text"))).alias("_u"))
+    cells = codes.select("_good", F.explode(_cells(F.col("_u"))).alias("cell"))
     counted = cells.groupBy("cell").agg(F.count("*").alias("raw"), F.count("_good").alias("good"))
     raw, good = [0] * CELLS, [0] * CELLS
     for r in counted.collect():
@@ -62,26 +69,30 @@ def measured(docs: DataFrame, table: list[float], threshold: float = THRESHOLD)
     of under 50 words does. Every row is judged by its own text only, so repeated rows are judged
     alike, and null doc_ids make no difference. No row moves: all of it is computed in place.
     """
-    text, w, keys = F.coalesce(F.col("text"), F.lit("")), F.col("_w"), F.col("_k")
+    text, w, u = F.coalesce(F.col("text"), F.lit("")), F.col("_w"), F.col("_u")
     ratios = F.split(F.lit(",".join(f"{x:.9g}" for x in table)), ",").cast("array<double>")
-    # 3-word windows as numbers: the hash above, the place in the bits below; sorted, equal hashes are neighbours.
-    bits = F.ceil(F.log2(F.size(w) + 2)).cast("int")
-    windows = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.call_function("shiftleft", F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)), F.col("_bits")).bitwiseOR(i.cast("long")))
-    high = lambda x: F.call_function("shiftright", x, F.col("_bits"))
-    same = lambda x, i: F.coalesce(high(x) == high(F.get(keys, i)), F.lit(False))
-    twice = F.filter(keys, lambda x, i: same(x, i + 1) | same(x, F.when(i > 0, i - 1)))
-    places = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1)))
+    total = F.aggregate(_cells(u), F.lit(0.0), lambda a, c: a + F.get(ratios, c))
+    starts = F.slice(u, F.lit(1), F.greatest(F.size(u) - 2, F.lit(0)))
+    windows = F.transform(starts, lambda x, i: F.xxhash64(x, F.get(u, i + 1), F.get(u, i + 2)))
+    # Only texts with equal windows need more: the hash above, the place in the bits below; sorted, equal hashes are neighbours.
+    some = F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.col("_h")).otherwise(F.array().cast("array<bigint>"))
+    bits = F.ceil(F.log2(F.size(u) + 2)).cast("int")
+    keys = F.sort_array(F.transform(some, lambda x, i: F.call_function("shiftleft", x, F.col("_bits")).bitwiseOR(i.cast("long"))))
+    beside = F.arrays_zip(F.col("_k").alias("a"), F.slice("_k", F.lit(2), F.size("_k")).alias("b"))
+    same = F.filter(beside, lambda z: F.call_function("shiftright", z["a"].bitwiseXOR(z["b"]), F.col("_bits")) == 0)
+    place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1)
+    places = F.sort_array(F.array_distinct(F.flatten(F.transform(same, lambda z: F.array(place(z["a"]), place(z["b"]))))))
     step = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last"))
     covered = F.aggregate(F.col("_p"), step, lambda a, x: F.struct((a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"])
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    total = F.aggregate(F.transform(F.flatten(_cells(w)), lambda c: F.get(ratios, c)), F.lit(0.0), lambda a, x: a + x)
     n = F.size(w).cast("long")
-    first = docs.withColumn("_w", words(F.col("text"))).withColumn("_bits", bits).withColumn("_k", F.sort_array(windows)).withColumn("_p", places)
+    first = docs.withColumn("_w", words(F.col("text"))).withColumn("_u", _codes(w))
+    first = first.withColumn("_h", windows).withColumn("_bits", bits).withColumn("_k", keys).withColumn("_p", places)
     facts = first.withColumn("_lines", lines).withColumn("_n", n).withColumn("_repeat", covered).withColumn("_ratio", total / F.greatest(2 * n - 1, F.lit(1)))
     bad = (F.col("_n") < 50) | (100 * F.col("_repeat") > 50 * F.col("_n"))
     out = F.struct(
         F.col("_n").alias("n_words"),
-        F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.char_length(x)).alias("word_chars"),
+        F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.col("_repeat").alias("n_repeat_words"),
@@ -90,7 +101,7 @@ def measured(docs: DataFrame, table: list[float], threshold: float = THRESHOLD)
         # The number keeps a caller's filter on the verdict above this projection: pushed below, it would have all of the above computed for each word anew.
         (~bad & (F.col("_ratio") >= threshold) & (F.monotonically_increasing_id() >= 0)).alias("kept"),
     )
-    return facts.withColumn("quality", out).drop("_w", "_bits", "_k", "_p", "_lines", "_n", "_repeat", "_ratio")
+    return facts.withColumn("quality", out).drop("_w", "_u", "_h", "_bits", "_k", "_p", "_lines", "_n", "_repeat", "_ratio")
 
 
 def judged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
