@@ -20,14 +20,14 @@ PLACE = 31
 PART_ROWS = 4096
 
 
-def grams(w: Column, gram: int) -> Column:
-    """A number for each run of gram words: its 32-bit hash above, its place, counted down, below, so
+def grams(u: Column, gram: int) -> Column:
+    """A number for each run of gram words, from the words' hashes: its 32-bit hash above, its place, counted down, below, so
     that the smallest is that of the smallest hash and, of equals, the rightmost. Texts of fewer words
     have one run of all; texts without words none."""
     last = F.lit((1 << PLACE) - 1).cast("long")
-    run = F.greatest(F.size(w) - gram + 1, F.least(F.size(w), F.lit(1)))
-    code = lambda x, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(x, *(F.get(w, i + k) for k in range(1, gram))), 33), PLACE).bitwiseOR(last - i)
-    return F.slice(F.transform(w, code), F.lit(1), run)
+    run = F.greatest(F.size(u) - gram + 1, F.least(F.size(u), F.lit(1)))
+    code = lambda x, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(x, *(F.get(u, i + k) for k in range(1, gram))), 33), PLACE).bitwiseOR(last - i)
+    return F.transform(F.slice(u, F.lit(1), run), code)
 
 
 def least_of(g: Column, step: int) -> Column:
@@ -40,15 +40,15 @@ def winnowed(frame: DataFrame, text: Column, name: str, gram: int = GRAM, window
 
     A text of at most window runs has one chosen. Null and empty texts have none.
     """
-    w, g = F.col("_w"), F.col("_g")
-    frame = frame.withColumn("_w", words(text)).withColumn("_g", grams(w, gram))
+    u, g = F.col("_u"), F.col("_g")
+    frame = frame.withColumn("_u", F.transform(words(text), lambda x: F.xxhash64(x))).withColumn("_g", grams(u, gram))
     count, span = F.col("_n"), 1
     frame = frame.withColumn("_n", F.greatest(F.size(g) - window + 1, F.least(F.size(g), F.lit(1))))
     while span < window:  # the least of 1, 2, 4, ... neighbours, then of window
         step = min(span, window - span)
         frame = frame.withColumn("_g", least_of(g, step))
         span += step
-    return frame.withColumn(name, F.array_distinct(F.slice(g, F.lit(1), count))).drop("_w", "_g", "_n")
+    return frame.withColumn(name, F.array_distinct(F.slice(g, F.lit(1), count))).drop("_u", "_g", "_n")
 
 
 def hashes(chosen: Column) -> Column:
@@ -102,10 +102,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     one row follows itself; an empty one gives none. Other columns of docs are not read.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = next_of(rows, ["text"])
+    # A text's own fingerprint goes along to the row before it, which so need not make it again.
+    rows = next_of(winnowed(rows, F.col("text"), "_own"), ["text", "_own"])
     rows = rows.withColumn("_edited", edited(F.col("text"), F.col("next_text")))
-    for name, text in (("_own", "text"), ("_changed", "_edited"), ("_next", "next_text")):
-        rows = winnowed(rows, F.col(text), name)
+    rows = winnowed(rows, F.col("_edited"), "_changed").withColumnRenamed("next__own", "_next")
     for c in ("_own", "_changed", "_next"):
         rows = rows.withColumn(f"{c}_hashes", hashes(F.col(c)))
     return rows.select(
