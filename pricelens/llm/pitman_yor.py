@@ -7,8 +7,9 @@ The tree of restaurants:
         a restaurant for each context        customers: tokens after that context
 
 A context is the token before, whatever its rank: every word of the training texts, and a text's end,
-has a restaurant. Pairs of context and word are dealt by a hash of both, so that no context or word
-is hot; what a pair needs of its context and of its word is sent to it by key in each sweep.
+has a restaurant. Pairs are dealt by their context, those of a context that occurs more than HOT times
+by their word as well; what a pair needs of its context and of its word is sent to it by key in each
+sweep. Words are numbered in 32 bits.
 
 Seating is sampled by Gibbs sweeps, with the tables of each dish of each restaurant as state. Given
 the measure that the upper restaurant serves, G, and for each context x ~ Gamma(theta / d + its
