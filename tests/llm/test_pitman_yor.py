@@ -91,7 +91,7 @@ def test_scores_agree_with_exact_posterior(spark):
 
 def test_rare_words_have_restaurants(spark):
     """Two words of equal counts and spelling class, beyond any fixed list of frequent ones: only one follows the rare context."""
-    common = " ".join(f"w{i} w{i} w{i}" for i in range(2500))
+    common = " ".join(f"w{i} w{i} w{i} w{i} w{i}" for i in range(2500))
     train = [common, "xax yay", "xax yay", "xax yay", "r yby", "s yby", "t yby"]
     rows = [*zip(TRAIN, train), (HELD[0], "xax yay"), (HELD[1], "xax yby")]
     got = {r.doc_id: r for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
