@@ -5,18 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words, for btrim() and for split().
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
+#: Binary logarithm of the bits of an id filter, at most: 8 MB.
+FILTER_BITS = 26
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own, on one machine only."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="pricelens-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -33,6 +39,54 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df, computed once, as a table at path: unlike cut(), later reads take the columns that they need only."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once, as a table in the shared folder."""
+    return written(df, shared_folder(df.sparkSession, name))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table of ours that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def place(c: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
+
+
+def id_filter(ids: DataFrame, bits: int = FILTER_BITS):
+    """A column function that is true for every id in ids (their only column), and for few others.
+
+    The ids are told by a bit array of at most 2**bits bits, made by Spark and broadcast, so that rows
+    without one of them need not move. Of more ids than bits it lets more rows through, and loses none.
+    """
+    spark, name = ids.sparkSession, ids.columns[0]
+    count = ids.count()
+    bits = min(bits, max(16, (16 * count).bit_length()))
+    at = ids.select(place(F.col(name), bits).alias("p"))
+    packed = at.groupBy(F.shiftright("p", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits")).toArrow()
+    marks = np.zeros(1 << (bits - 5), np.uint32)
+    marks[packed["at"].to_numpy()] = packed["bits"].to_numpy()
+    shared = spark.sparkContext.broadcast(marks)
+
+    @F.pandas_udf("boolean")
+    def hit(p: pd.Series) -> pd.Series:
+        p = p.to_numpy()
+        return pd.Series((shared.value[p >> 5] >> (p & 31).astype(np.uint32) & np.uint32(1)) > 0)
+
+    return lambda c: hit(place(c, bits))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

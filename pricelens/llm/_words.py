@@ -1,12 +1,16 @@
 """Words of Arrow string batches as NumPy arrays: spans, hashes of words and of runs of words.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D, which in UTF-8 is the pattern
-``[^\\x20\\x09-\\x0D]+``. Hashes are polynomials in an odd base modulo 2**64, mixed at the end, so
-that the hash of any run of words follows from two prefix sums.
+``[^\\x20\\x09-\\x0D]+``. A word's hash mixes its bytes eight at a time, so equal ones come from
+unequal words by chance only (words of up to eight bytes and one length never have them). The hash
+of a run of words is a polynomial of their hashes in an odd base modulo 2**64, mixed at the end, and
+follows from two prefix sums; runs are far shorter than the 1024 words from which such polynomials
+have equal values by construction.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -60,7 +64,10 @@ def run_hash(sums: np.ndarray, base: int, start: np.ndarray, stop: np.ndarray) -
     return mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
-WORD_BASE, GRAM_BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
+GRAM_BASE, OTHER_BASE = 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
+#: Words of more bytes are hashed one by one, by BLAKE2.
+LONG_WORD = 64
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)  # of eight bytes, the first n
 
 
 @dataclass
@@ -73,10 +80,21 @@ class Words:
     stop: np.ndarray
     bounds: np.ndarray  # words of text i: bounds[i] to bounds[i + 1]
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        raw = _LOWER[self.raw] if lower else self.raw
-        sums = prefix(raw.astype(U64) + U64(1), WORD_BASE)
-        return run_hash(sums, WORD_BASE, self.start, self.stop)
+    def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word; those of different seeds are unrelated."""
+        raw = np.zeros(len(self.raw) + 8, np.uint8)
+        raw[:-8] = _LOWER[self.raw] if lower else self.raw
+        eight = np.ndarray(len(self.raw) + 1, "<u8", raw, strides=(1,))
+        size = self.stop - self.start
+        out = mix(size.astype(U64) + U64((seed * 0xA24BAED4963EE407 + 0x9E3779B97F4A7C15) & (1 << 64) - 1))
+        for k in range(0, min(LONG_WORD, int(size.max(initial=0))), 8):
+            some = slice(None) if k == 0 else np.flatnonzero(size > k)
+            left = np.minimum(size[some] - k, 8)
+            out[some] = mix(out[some] ^ (eight[self.start[some] + k] & _KEEP[left]))
+        for i in np.flatnonzero(size > LONG_WORD):
+            word = raw[self.start[i] : self.stop[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+        return out
 
     def of_text(self) -> np.ndarray:
         """The text of each word."""
