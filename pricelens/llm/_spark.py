@@ -64,29 +64,37 @@ def place(c: Column, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
 
 
+def bits_of(cells: DataFrame, size: int) -> np.ndarray:
+    """size bits, 64 to a number, of which those in cells (their only column) are set. They are gathered by Spark."""
+    c = cells.columns[0]
+    packed = cells.groupBy(F.shiftright(c, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({c} & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(max(1, size >> 6), np.uint64)
+    out[packed["at"].to_numpy()] = packed["bits"].to_numpy().view(np.uint64)
+    return out
+
+
 def id_filter(ids: DataFrame, bits: int = FILTER_BITS):
     """A column function that is true for every id in ids (their only column), and for few others.
 
     The ids are told by a bit array of at most 2**bits bits, made by Spark and broadcast, so that rows
     without one of them need not move. Of more ids than bits it lets more rows through, and loses none.
     """
-    spark, name = ids.sparkSession, ids.columns[0]
-    count = ids.count()
-    bits = min(bits, max(16, (16 * count).bit_length()))
-    at = ids.select(place(F.col(name), bits).alias("p"))
-    packed = at.groupBy(F.shiftright("p", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits")).toArrow()
-    marks = np.zeros(1 << (bits - 5), np.uint32)
-    marks[packed["at"].to_numpy()] = packed["bits"].to_numpy()
-    shared = spark.sparkContext.broadcast(marks)
+    bits = min(bits, max(16, (16 * ids.count()).bit_length()))
+    shared = ids.sparkSession.sparkContext.broadcast(bits_of(ids.select(place(F.col(ids.columns[0]), bits).alias("cell")), 1 << bits))
 
     @F.pandas_udf("boolean")
     def hit(p: pd.Series) -> pd.Series:
         p = p.to_numpy()
-        return pd.Series((shared.value[p >> 5] >> (p & 31).astype(np.uint32) & np.uint32(1)) > 0)
+        return pd.Series((shared.value[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)) > 0)
 
     return lambda c: hit(place(c, bits))
 
 
+def quoted(name: str) -> str:
+    """The name of a column, dots and all, as F.col() takes it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
