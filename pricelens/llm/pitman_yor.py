@@ -22,21 +22,26 @@ probabilities are averaged over the sweeps after burn-in.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, documents
+from ._spark import cut, documents, shuffle_partitions
 from ._words import U64, Words, mix, slices
 
 BURN_IN, SAMPLES = 2, 3
 #: Discount and strength of the context restaurants and of the one above.
 CONTEXT, ROOT = (0.6, 2.0), (0.5, 1.0)
-#: Documents of a chunk, about: the unit in which words are looked up.
-CHUNK_DOCS = 2048
+#: Documents and bytes of a chunk, the unit in which words are looked up, at most (a longer text is one chunk).
+CHUNK_DOCS, CHUNK_BYTES = 2048, 1 << 23
+#: Bytes of text for each bucket of words and pairs.
+BUCKET_BYTES = 1 << 25
 END = U64(0x9AE16A3B2F90404F) & ~U64(255)
 #: Customers of a dish up to which the number of tables is drawn from its exact chances.
 EXACT = 1024
@@ -68,6 +73,8 @@ def stirling(d: float) -> np.ndarray:
 def draw_tables(n: np.ndarray, log_a: np.ndarray, d: float, rng: np.random.Generator, exact: int = EXACT) -> np.ndarray:
     """Tables t of n customers of a dish, with weight S(n, t) exp(log_a t), for each n >= 1."""
     out = np.ones(len(n), np.int64)
+    if not len(n):
+        return out
     order = np.argsort(n, kind="stable")
     values, first = np.unique(n[order], return_index=True)
     for value, i, j in zip(values.tolist(), first, np.append(first[1:], len(n)), strict=True):
@@ -156,16 +163,16 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> U64(32)).astype(np.float64) * (n / 2.0**32)).astype(np.int64)
 
 
-def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, held (1 if held out), text, chunk; and the number of chunks."""
-    n = max(1, -(-docs.count() // CHUNK_DOCS))
+def marked(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, held (1 if held out), text; and the number of buckets, by the size of all texts."""
     held = F.coalesce((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).cast("int"), F.lit(0))
     rows = docs.select(F.col("doc_id").cast("long"), held.alias("held"), F.col("text").cast("string"))
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), n
+    size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    return rows, max(shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES)
 
 
 #: Messages: what kind, to which bucket or chunk, from which, and arrays in an order that both know.
-KIND = "kind int, to int, at int, a binary, b binary, c binary, d binary, x double, y double"
+KIND = "kind int, to long, at long, a binary, b binary, c binary, d binary, x double, y double"
 DOCS, KEYS, ENTITIES, KEY_AT, KEY_ID, COUNTED, PAIRS, PAIR_COUNTS, PAIR_AT, SEATED, SLOTS, VALUES, TABLES, REPORT, TOTALS, KEY_REPLY, PAIR_REPLY = range(17)
 
 
@@ -194,7 +201,7 @@ class Mail:
 
     def table(self) -> pa.Table:
         names = ["kind", "to", "at", "a", "b", "c", "d", "x", "y"]
-        types = [pa.int32()] * 3 + [pa.binary()] * 4 + [pa.float64()] * 2
+        types = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 4 + [pa.float64()] * 2
         columns = list(zip(*self.rows, strict=True)) or [[]] * 9
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -220,35 +227,52 @@ def joined(parts: list[np.ndarray], kind: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def read_texts(rows: DataFrame, n_chunks: int) -> DataFrame:
-    """Each chunk's documents, as places of tokens among its sorted keys, and its keys' counts in training texts, to their buckets."""
+def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch's rows, so many at a time as make a chunk."""
+    size = np.cumsum(pc.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK_BYTES, side="right"))
+        end = min(max(end, at + 1), at + CHUNK_DOCS)
+        yield batch.slice(at, end - at)
+        at = end
 
-    def own(table: pa.Table) -> pa.Table:
-        held, mail, parts = table["held"].to_numpy(), Mail(), []
-        for words in slices(table["text"]):
-            keys, bounds = tokens(words)
-            parts.append((*np.unique(keys, return_inverse=True), np.diff(bounds)))
-        keys, at = np.unique(np.concatenate([k for k, _, _ in parts]), return_inverse=True)
-        starts = np.cumsum([0, *(len(k) for k, _, _ in parts)])
-        place = np.concatenate([at[b : b + len(k)][i] for (k, i, _), b in zip(parts, starts[:-1], strict=True)])
-        sizes = np.concatenate([n for _, _, n in parts])
-        chunk, ids = table["chunk"][0].as_py(), table["doc_id"].combine_chunks()
-        flags = held + 2 * ids.is_null().to_numpy(zero_copy_only=False)
-        mail.add(DOCS, chunk, chunk, place.astype("<u4"), sizes.astype("<u4"), ids.fill_null(0).to_numpy(), flags.astype("u1"))
-        n = np.bincount(place, np.repeat(held == 0, sizes), len(keys)).astype("<u4")
-        ends = np.searchsorted(bucket_of(keys, n_chunks), np.arange(n_chunks + 1))
-        for b in np.flatnonzero(np.diff(ends)):
-            mail.add(KEYS, b, chunk, keys[ends[b] : ends[b + 1]], n[ends[b] : ends[b + 1]])
-        return mail.table()
 
-    return cut(rows.groupBy("chunk").applyInArrow(own, KIND))
+def read_texts(rows: DataFrame, n_buckets: int) -> DataFrame:
+    """Each chunk's documents, as places of tokens among its sorted keys, and its keys' counts in training texts, to their buckets.
+
+    A chunk is a piece of a partition, and numbered by it, so texts stay where they are.
+    """
+
+    def own(batches):
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for some in chunks(batch):
+                mail, parts, held = Mail(), [], some.column(1).to_numpy()
+                for words in slices(some.column(2)):
+                    keys, bounds = tokens(words)
+                    parts.append((*np.unique(keys, return_inverse=True), np.diff(bounds)))
+                keys, at = np.unique(np.concatenate([k for k, _, _ in parts]), return_inverse=True)
+                starts = np.cumsum([0, *(len(k) for k, _, _ in parts)])
+                place = np.concatenate([at[b : b + len(k)][i] for (k, i, _), b in zip(parts, starts[:-1], strict=True)])
+                sizes, ids = np.concatenate([n for _, _, n in parts]), some.column(0)
+                flags = held + 2 * ids.is_null().to_numpy(zero_copy_only=False)
+                mail.add(DOCS, chunk, chunk, place.astype("<u4"), sizes.astype("<u4"), ids.fill_null(0).to_numpy(), flags.astype("u1"))
+                n = np.bincount(place, np.repeat(held == 0, sizes), len(keys)).astype("<i8")
+                ends = np.searchsorted(bucket_of(keys, n_buckets), np.arange(n_buckets + 1))
+                for b in np.flatnonzero(np.diff(ends)):
+                    mail.add(KEYS, b, chunk, keys[ends[b] : ends[b + 1]], n[ends[b] : ends[b + 1]])
+                yield from mail.table().to_batches()
+                chunk += 1
+
+    return cut(rows.mapInArrow(own, KIND))
 
 
 def vocabulary(mail: DataFrame) -> DataFrame:
     """Each bucket's counts of its sorted keys, and the places there of each chunk's keys."""
 
     def merge(table: pa.Table) -> pa.Table:
-        out, bucket, got = Mail(), table["to"][0].as_py(), Mail.read(table, KEYS, a="<u8", b="<u4")
+        out, bucket, got = Mail(), table["to"][0].as_py(), Mail.read(table, KEYS, a="<u8", b="<i8")
         keys, at = np.unique(np.concatenate([k for _, k, _ in got]), return_inverse=True)
         n = np.bincount(at, np.concatenate([x for _, _, x in got]), len(keys)).astype(np.int64)
         out.add(ENTITIES, bucket, len(keys), n, x=n.sum(), y=(n > 0).sum())
@@ -288,7 +312,7 @@ def counted_pairs(mail: DataFrame, known: DataFrame, base: np.ndarray) -> DataFr
     def own(table: pa.Table) -> pa.Table:
         out, chunk = Mail(), table["to"][0].as_py()
         (sizes, _, flags, _), _, _, at, pairs, ends = chunk_pairs(table, base)
-        n = np.bincount(at, np.repeat(flags & 1 == 0, sizes), len(pairs)).astype("<u4")
+        n = np.bincount(at, np.repeat(flags & 1 == 0, sizes), len(pairs)).astype("<i8")
         for b in np.flatnonzero(np.diff(ends)):
             i = slice(ends[b], ends[b + 1])
             out.add(COUNTED, b, chunk, np.diff(pairs[i] >> U64(32), prepend=U64(0)).astype("<u4"), (pairs[i] & U64(0xFFFFFFFF)).astype("<u4"), n[i])
@@ -296,13 +320,13 @@ def counted_pairs(mail: DataFrame, known: DataFrame, base: np.ndarray) -> DataFr
 
     def merge(table: pa.Table) -> pa.Table:
         out, bucket = Mail(), table["to"][0].as_py()
-        got = [(c, (np.cumsum(a.astype(U64)) << U64(32)) | b, n) for c, a, b, n in Mail.read(table, COUNTED, a="<u4", b="<u4", c="<u4")]
+        got = [(c, (np.cumsum(a.astype(U64)) << U64(32)) | b, n) for c, a, b, n in Mail.read(table, COUNTED, a="<u4", b="<u4", c="<i8")]
         pairs, at = np.unique(np.concatenate([p for _, p, _ in got]), return_inverse=True)
         n = np.bincount(at, np.concatenate([x for _, _, x in got]), len(pairs)).astype(np.int64)
         ends = np.cumsum([0, *(len(p) for _, p, _ in got)])
         for (chunk, _, _), i, j in zip(got, ends[:-1], ends[1:], strict=True):
             out.add(PAIR_AT, bucket, chunk, np.diff(at[i:j], prepend=0).astype("<u4"))
-        out.add(PAIR_COUNTS, bucket, bucket, n.astype("<u4"))
+        out.add(PAIR_COUNTS, bucket, bucket, n.astype("<i8"))
         some = np.flatnonzero(n)
         keys, at = np.unique(np.append(pairs[some] >> U64(32), pairs[some] & U64(0xFFFFFFFF)), return_inverse=True)
         c, w = at[: len(some)], at[len(some) :]
@@ -313,7 +337,7 @@ def counted_pairs(mail: DataFrame, known: DataFrame, base: np.ndarray) -> DataFr
         ends = np.append(np.searchsorted(keys, base), len(keys))
         for b in np.flatnonzero(np.diff(ends)):
             i = slice(ends[b], ends[b + 1])
-            out.add(SEATED, b, bucket, (keys[i] - base[b]).astype("<u4"), np.stack([s[i] for s in sums]).astype("<u4"))
+            out.add(SEATED, b, bucket, (keys[i] - base[b]).astype("<u4"), np.stack([s[i] for s in sums]).astype("<i8"))
         return out.table()
 
     sent = of_kind(mail, DOCS).unionByName(of_kind(known, KEY_ID)).groupBy("to").applyInArrow(own, KIND)
@@ -327,13 +351,13 @@ def registered(known: DataFrame, pairs: DataFrame) -> DataFrame:
         out, bucket = Mail(), table["to"][0].as_py()
         ((_, n),) = Mail.read(table, ENTITIES, a="<i8")
         fixed = np.zeros((2, len(n)), np.int64)
-        for pairs, at, sums in Mail.read(table, SEATED, a="<u4", b="<u4"):
+        for pairs, at, sums in Mail.read(table, SEATED, a="<u4", b="<i8"):
             sums = sums.reshape(4, -1)
             fixed[:, at] += sums[:2]
             some = (sums[2] + sums[3]) > 0
             if some.any():
                 out.add(SLOTS, bucket, pairs, at[some].astype("<u4"))
-                out.add(REPORT, bucket, pairs, sums[2:, some].astype("<u4"))
+                out.add(REPORT, bucket, pairs, sums[2:, some].astype("<i8"))
         out.add(ENTITIES, bucket, bucket, n, fixed)
         return out.table()
 
@@ -349,11 +373,11 @@ def swept(sweep: int, entities: DataFrame, reports: DataFrame, y: float, types:
         rng = np.random.default_rng((1, sweep, bucket))
         slots = dict(Mail.read(table, SLOTS, a="<u4"))
         seats = fixed.reshape(2, -1).copy()
-        for pairs, sums in Mail.read(table, REPORT, a="<u4"):
+        for pairs, sums in Mail.read(table, REPORT, a="<i8"):
             seats[:, slots[pairs]] += sums.reshape(2, -1)
         customers, held = seats
         tables, measure, x = reseat_upper(customers, held, n > 0, y, types, rng)
-        out.add(TABLES, bucket, sweep, customers.astype("<u4"), tables.astype("<u4"), held.astype("<u4"), x=measure.sum(), y=tables.sum())
+        out.add(TABLES, bucket, sweep, customers.astype("<i8"), tables.astype("<i8"), held.astype("<i8"), x=measure.sum(), y=tables.sum())
         out.add(TOTALS, bucket, sweep, x=customers.sum())
         for pairs, at in slots.items():
             out.add(VALUES, pairs, bucket, np.log(np.maximum(measure[at], 1e-300)).astype("<f4"), np.log(x[at]).astype("<f4"))
@@ -371,8 +395,8 @@ def seated(sweep: int, pairs: DataFrame, values: DataFrame, total: float) -> Dat
         got = Mail.read(table, VALUES, a="<f4", b="<f4")
         measure, x = (joined([v[k] for v in got], "<f4").astype(np.float64) for k in (1, 2))
         t = reseat(n, x[context], measure[key], total, np.random.default_rng((2, sweep, bucket)))
-        out.add(TABLES, bucket, sweep, t.astype("<u4"))
-        sums = np.stack([np.bincount(key, t, len(x)), np.bincount(context, t, len(x))]).astype("<u4")
+        out.add(TABLES, bucket, sweep, t.astype("<i8"))
+        sums = np.stack([np.bincount(key, t, len(x)), np.bincount(context, t, len(x))]).astype("<i8")
         ends = np.cumsum([0, *(len(v[1]) for v in got)])
         for v, i, j in zip(got, ends[:-1], ends[1:], strict=True):
             out.add(REPORT, v[0], bucket, sums[:, i:j])
@@ -388,10 +412,10 @@ def score(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Da
     are all counted and scored. Without training texts every word is unknown. Other columns of docs
     are not read. base_score and score are log10 probabilities of the text.
     """
-    rows, n_chunks = chunked(docs)
-    mail = read_texts(rows, n_chunks)
+    rows, n_buckets = marked(docs)
+    mail = read_texts(rows, n_buckets)
     known = vocabulary(mail)
-    sizes, train_tokens, types = np.zeros(n_chunks, np.int64), 0, 0
+    sizes, train_tokens, types = np.zeros(n_buckets, np.int64), 0, 0
     for r in of_kind(known, ENTITIES).select("to", "at", "x", "y").collect():  # a row for each bucket
         sizes[r["to"]], train_tokens, types = r["at"], train_tokens + int(r["x"]), types + int(r["y"])
     base = np.append(0, np.cumsum(sizes)[:-1]).astype(U64)
@@ -419,19 +443,19 @@ def score(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Da
         """Count, probabilities in the upper restaurant and tables as a context, for each chunk's keys."""
         out = Mail()
         ((_, n),) = Mail.read(table, ENTITIES, a="<i8")
-        above = Mail.read(table, TABLES, a="<u4", b="<u4", c="<u4")
+        above = Mail.read(table, TABLES, a="<i8", b="<i8", c="<i8")
         less = np.array([c - d0 * t for _, c, t, _ in above])
         held = np.array([h for _, _, _, h in above], "<f4")
         for chunk, at in Mail.read(table, KEY_AT, a="<u4"):
-            out.add(KEY_REPLY, chunk, table["to"][0].as_py(), n[at].astype("<u4"), less[:, at].astype("<f4"), held[:, at])
+            out.add(KEY_REPLY, chunk, table["to"][0].as_py(), n[at].astype("<i8"), less[:, at].astype("<f4"), held[:, at])
         return out.table()
 
     def pair_reply(table: pa.Table) -> pa.Table:
         """Customers less discounts, for each chunk's pairs."""
         out = Mail()
-        ((bucket, n),) = Mail.read(table, PAIR_COUNTS, a="<u4")
+        ((bucket, n),) = Mail.read(table, PAIR_COUNTS, a="<i8")
         t = (n > 0).astype(np.float64)
-        t[n > 1] = np.mean([x for _, x in Mail.read(table, TABLES, a="<u4")], axis=0)
+        t[n > 1] = np.mean([x for _, x in Mail.read(table, TABLES, a="<i8")], axis=0)
         rest = (n - d * t).astype("<f4")
         for chunk, at in Mail.read(table, PAIR_AT, a="<u4"):
             out.add(PAIR_REPLY, chunk, bucket, rest[np.cumsum(at)])
@@ -444,7 +468,7 @@ def score(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Da
     def work(sent: pa.Table) -> pa.Table:
         """Scores of a chunk's documents by what was sent for its words and pairs."""
         (sizes, ids, flags, bounds), place, before, at, _, _ = chunk_pairs(sent, base)
-        got = Mail.read(sent, KEY_REPLY, a="<u4", b="<f4", c="<f4")
+        got = Mail.read(sent, KEY_REPLY, a="<i8", b="<f4", c="<f4")
         counts = np.concatenate([x[1] for x in got]).astype(np.float64)
         upper = np.concatenate([x[2].reshape(samples, -1) for x in got], axis=1).astype(np.float64)
         held = np.concatenate([x[3].reshape(samples, -1) for x in got], axis=1).astype(np.float64)
@@ -461,5 +485,11 @@ def score(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> Da
     return everything.groupBy("to").applyInArrow(work, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def perplexity(scored: DataFrame) -> DataFrame:
+    """held_out, n_tokens and perplexity of the training and the held-out texts of score()'s rows: 10 to the mean -log10 probability of a token."""
+    mean = -F.sum("score") / F.sum("n_tokens")
+    return scored.groupBy("held_out").agg(F.sum("n_tokens").alias("n_tokens"), F.pow(F.lit(10.0), mean).alias("perplexity"))
+
+
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
