@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -100,27 +100,48 @@ def competitor_ruptures(t: Tables) -> DataFrame:
     return rows.orderBy(F.desc("date_debut"), "offre_id").limit(10).select("offre_id", "nom", "slug", "date_debut")
 
 
-@query(f"SELECT categorie, slug, n, CAST(floor(n / max(n) OVER () * 100) AS BIGINT) AS intensite FROM (SELECT categorie, slug, count(*) AS n FROM {SCOPED.replace('WHERE', 'JOIN fx_site USING (site_id) WHERE')} AND site_id <> 0 GROUP BY 1, 2)")
-def market_heatmap(t: Tables) -> DataFrame:
-    """Events of each category and site, in hundredths of the greatest count, truncated."""
-    cells = scoped(t).join(t.sites, "site_id").groupBy("categorie", "slug").agg(F.count("*").alias("n"))
-    most = F.broadcast(cells.agg(F.max("n").alias("_most")))  # one row
-    return cells.crossJoin(most).select("categorie", "slug", "n", F.floor(F.col("n") / F.col("_most") * 100).cast("long").alias("intensite"))
+RECENT = f"{SCOPED} AND site_id <> 0 AND date_detection >= {LAST} - INTERVAL 30 DAY"
+NAMED = RECENT.replace("WHERE", "JOIN fx_site USING (site_id) WHERE")
 
 
-@query(f"SELECT categorie, count(*) AS n, count(*) FILTER (type_evenement = 'BAISSE_PRIX') AS baisses, count(*) FILTER (type_evenement = 'HAUSSE_PRIX') AS hausses FROM {SCOPED} AND site_id <> 0 GROUP BY categorie ORDER BY n DESC, categorie LIMIT 5")
-def trends_categories(t: Tables) -> DataFrame:
-    """The five categories with the most events."""
+@query(f"""
+WITH cell AS (SELECT categorie, slug, count(*) AS n FROM {NAMED} GROUP BY 1, 2),
+top AS (SELECT categorie, sum(n) AS total FROM cell GROUP BY 1 ORDER BY total DESC, categorie LIMIT 10),
+kept AS (SELECT cell.* FROM cell JOIN top USING (categorie))
+SELECT categorie, slug, coalesce(n, 0) AS n, CAST(floor(coalesce(n, 0) / max(n) OVER () * 100) AS BIGINT) AS intensite
+FROM top CROSS JOIN (SELECT DISTINCT slug FROM kept) LEFT JOIN kept USING (categorie, slug)""")
+def market_heatmap(t: Tables, limit: int = 10) -> DataFrame:
+    """The other sites' events of 30 days, of each of the most active categories and each site, in hundredths of the
+    greatest count, truncated; zero where there are none."""
+    cells = scoped(t).where(since(t, 30)).join(t.sites, "site_id").groupBy("categorie", "slug").agg(F.count("*").alias("n"))
+    top = cells.groupBy("categorie").agg(F.sum("n").alias("_total")).orderBy(F.desc("_total"), "categorie").limit(limit)
+    kept = cells.join(top.select("categorie"), "categorie")
+    grid = top.select("categorie").crossJoin(kept.select("slug").distinct())  # limit x sites
+    out = grid.join(kept, ["categorie", "slug"], "left").na.fill(0, ["n"])
+    most = F.max("n").over(Window.partitionBy())
+    return out.select("categorie", "slug", "n", F.floor(F.col("n") / most * 100).cast("long").alias("intensite"))
+
+
+@query(f"SELECT categorie, count(*) AS n FROM {RECENT} GROUP BY categorie ORDER BY n DESC, categorie LIMIT 3")
+def trends_categories(t: Tables, limit: int = 3) -> DataFrame:
+    """The categories with the most events of 30 days; of equals the first by name."""
+    rows = scoped(t).where(since(t, 30)).groupBy("categorie").agg(F.count("*").alias("n"))
+    return rows.orderBy(F.desc("n"), "categorie").limit(limit)
+
+
+@query(f"SELECT slug, count(*) FILTER (type_evenement = 'BAISSE_PRIX') AS baisses, count(*) FILTER (type_evenement = 'DEBUT_PROMOTION') AS promos FROM {NAMED} GROUP BY slug ORDER BY baisses DESC, slug LIMIT 3")
+def trends_competitors(t: Tables, limit: int = 3) -> DataFrame:
+    """The other sites with the most price drops of 30 days, and their new promotions."""
     kind = F.col("type_evenement")
-    rows = scoped(t).groupBy("categorie").agg(F.count("*").alias("n"), F.count_if(kind == S.PRICE_DROP).alias("baisses"), F.count_if(kind == S.PRICE_RISE).alias("hausses"))
-    return rows.orderBy(F.desc("n"), "categorie").limit(5)
+    rows = scoped(t).where(since(t, 30)).join(t.sites, "site_id").groupBy("slug").agg(F.count_if(kind == S.PRICE_DROP).alias("baisses"), F.count_if(kind == S.PROMO_START).alias("promos"))
+    return rows.orderBy(F.desc("baisses"), "slug").limit(limit)
 
 
-@query(f"SELECT offre_id, nom, count(*) AS n FROM {SCOPED} AND site_id <> 0 AND type_evenement IN ('BAISSE_PRIX', 'HAUSSE_PRIX') GROUP BY ALL ORDER BY n DESC, offre_id LIMIT 10")
-def trends_volatile(t: Tables) -> DataFrame:
-    """The ten offers with the most price events."""
-    rows = scoped(t).where(F.col("type_evenement").isin(S.PRICE_DROP, S.PRICE_RISE)).groupBy("offre_id", "nom").agg(F.count("*").alias("n"))
-    return rows.orderBy(F.desc("n"), "offre_id").limit(10)
+@query(f"SELECT offre_id, min(nom) AS nom, count(*) AS n FROM {RECENT} GROUP BY offre_id ORDER BY n DESC, offre_id LIMIT 3")
+def trends_volatile(t: Tables, limit: int = 3) -> DataFrame:
+    """The other sites' offers with the most events of 30 days."""
+    rows = scoped(t).where(since(t, 30)).groupBy("offre_id").agg(F.min("nom").alias("nom"), F.count("*").alias("n"))
+    return rows.orderBy(F.desc("n"), "offre_id").limit(limit)
 
 
 @query(f"""

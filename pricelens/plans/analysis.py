@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions import prices
 from ..registry import query
 from ..tables import Tables
 
@@ -14,7 +15,9 @@ SELECT *, CASE WHEN own <= 0.95 * market THEN 'moins_cher' WHEN own >= 1.05 * ma
   SELECT produit_id, min(categorie) AS categorie, CAST(min(CASE WHEN {own} THEN prix_original END) AS DOUBLE) AS own, avg(CASE WHEN NOT ({own}) THEN CAST(prix_original AS DOUBLE) END) AS market
   FROM fx_offer WHERE categorie_id IN ({scope}) GROUP BY {key}) WHERE own IS NOT NULL AND market IS NOT NULL"""
 SITE = POSITIONS.format(own="site_id = 0", scope="1, 2, 3", key="produit_id")
-BRAND = POSITIONS.replace("produit_id, min(categorie) AS categorie", "categorie").format(own="lower(marque) = lower('Brand#1')", scope="1, 2, 3, 4, 5, 6", key="categorie")
+BRAND = POSITIONS.replace("produit_id, min(categorie) AS categorie", "groupe_id, min(categorie) AS categorie").format(own="lower(marque) = lower('Brand#1')", scope="1, 2, 3, 4, 5, 6", key="groupe_id")
+#: A category is at risk when more than this share of its products, in percent, are dearer than the market.
+RISK = 25
 
 
 def position(own: Column, market: Column) -> Column:
@@ -39,20 +42,23 @@ def positioning_site(t: Tables) -> DataFrame:
     return site_rows(t).select("produit_id", "categorie", "own", F.round("market", 6).alias("market"), "position")
 
 
-@query(f"SELECT categorie, own, round(market, 6) AS market, position FROM ({BRAND})")
+@query(f"SELECT groupe_id, categorie, own, round(market, 6) AS market, position FROM ({BRAND})")
 def positioning_brand(t: Tables) -> DataFrame:
-    """Each category's lowest price of the own brand, in any case, against the mean of the other brands'."""
+    """Each generic product's lowest price of the own brand, in any case, against the mean of the other brands'."""
     own = F.lower("marque") == t.tenant(2)[4].lower()
-    return positioned(t.offers.where(t.scope(2)), own, ["categorie"]).select("categorie", "own", F.round("market", 6).alias("market"), "position")
+    rows = positioned(t.offers.where(t.scope(2) & F.col("marque").isNotNull()), own, ["groupe_id", "categorie"])
+    return rows.select("groupe_id", "categorie", "own", F.round("market", 6).alias("market"), "position")
 
 
 @query(f"""
-SELECT position, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS pct FROM ({SITE}) GROUP BY position""")
+SELECT position, count(own) AS n, CASE WHEN sum(count(own)) OVER () > 0 THEN round(100.0 * count(own) / sum(count(own)) OVER (), 1) ELSE 0.0 END AS pct
+FROM (SELECT unnest(['moins_cher', 'dans_moyenne', 'plus_cher']) AS position) LEFT JOIN ({SITE}) USING (position) GROUP BY position""")
 def positioning_summary(t: Tables) -> DataFrame:
-    """Products of each position, and their share."""
-    rows = site_rows(t)
-    counts = rows.groupBy("position").agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("_all")))).select("position", "n", F.round(100.0 * F.col("n") / F.col("_all"), 1).cast("double").alias("pct"))
+    """Products of each of the three positions, and their share; an empty position has zeros."""
+    kinds = t.spark.createDataFrame([("moins_cher",), ("dans_moyenne",), ("plus_cher",)], "position string")
+    counts = kinds.join(site_rows(t).groupBy("position").agg(F.count("*").alias("n")), "position", "left").na.fill(0, ["n"])
+    total = F.sum("n").over(Window.partitionBy())  # three rows
+    return counts.select("position", "n", F.coalesce(F.round(F.try_divide(100.0 * F.col("n"), total), 1), F.lit(0.0)).alias("pct"))
 
 
 BY_CATEGORY = f"""
@@ -72,10 +78,21 @@ def positioning_categories(t: Tables) -> DataFrame:
     return by_category(t)
 
 
-@query(f"SELECT categorie, pct_plus_cher FROM ({BY_CATEGORY}) WHERE pct_plus_cher > 1 ORDER BY pct_plus_cher DESC, categorie LIMIT 3")
+def at_risk(rows: DataFrame, bound: float = RISK, most: int = 3) -> DataFrame:
+    """Of categories with pct_plus_cher and total, those over the bound with the greatest share."""
+    return rows.where(F.col("pct_plus_cher") > bound).orderBy(F.desc("pct_plus_cher"), "categorie").limit(most).select("categorie", "pct_plus_cher", F.col("total").alias("nb_produits"))
+
+
+@query(f"SELECT categorie, pct_plus_cher, total AS nb_produits FROM ({BY_CATEGORY}) WHERE pct_plus_cher > {RISK} ORDER BY pct_plus_cher DESC, categorie LIMIT 3")
 def risk_categories(t: Tables) -> DataFrame:
-    """The three categories with the greatest share of dearer products, over a bound."""
-    return by_category(t).where("pct_plus_cher > 1").orderBy(F.desc("pct_plus_cher"), "categorie").limit(3).select("categorie", "pct_plus_cher")
+    """The three categories with the greatest share of dearer products, over the bound."""
+    return at_risk(by_category(t))
+
+
+@query(f"SELECT categorie, pct_plus_cher, total AS nb_produits FROM ({BY_CATEGORY}) WHERE pct_plus_cher > 1 ORDER BY pct_plus_cher DESC, categorie LIMIT 3")
+def watched_categories(t: Tables) -> DataFrame:
+    """The same over a bound of 1 percent."""
+    return at_risk(by_category(t), 1)
 
 
 @query("""
@@ -89,26 +106,39 @@ def cheapest_competitor(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT c.site_id, slug, count(*) FILTER (c.prix_original < o.prix_original) AS moins_chers, count(*) FILTER (c.en_promo) AS promos, count(*) AS communs,
-       least(CAST(round_even(count(*) FILTER (c.prix_original < o.prix_original) / count(*) * 10, 0) AS BIGINT), 10) AS intensite
-FROM fx_offer c JOIN fx_site USING (site_id) JOIN fx_offer o ON o.produit_id = c.produit_id AND o.site_id = 0
-WHERE c.site_id <> 0 AND c.categorie_id IN (1, 2, 3) GROUP BY c.site_id, slug""")
+WITH scope AS (SELECT DISTINCT produit_id FROM fx_offer WHERE categorie_id IN (1, 2, 3)),
+own AS (SELECT produit_id, min(prix_original) AS p FROM fx_offer JOIN scope USING (produit_id) WHERE site_id = 0 GROUP BY 1),
+comp AS (SELECT site_id, produit_id, min(prix_original) AS p FROM fx_offer JOIN scope USING (produit_id) WHERE site_id <> 0 GROUP BY 1, 2),
+cheaper AS (SELECT comp.site_id, count(*) AS n FROM comp JOIN own ON own.produit_id = comp.produit_id AND comp.p < own.p GROUP BY 1),
+promo AS (SELECT site_id, count(*) AS n FROM fx_offer JOIN scope USING (produit_id) WHERE en_promo AND site_id <> 0 GROUP BY 1)
+SELECT s.site_id, slug, coalesce(c.n, 0) AS moins_chers, coalesce(p.n, 0) AS promos,
+       least(CAST(round_even(coalesce(c.n, 0) / greatest((SELECT count(*) FROM scope), 1) * 10, 0) AS BIGINT), 10) AS intensite
+FROM fx_site s LEFT JOIN cheaper c USING (site_id) LEFT JOIN promo p USING (site_id) WHERE s.site_id <> 0""")
 def competitors(t: Tables) -> DataFrame:
-    """For each other site, the products that it sells below the own price, its promotions, and an intensity of 0 to 10."""
-    scoped = t.offers.where(t.scope(1))
-    own = scoped.where(F.col("site_id") == t.tenant(1)[3]).select("produit_id", F.col("prix_original").alias("_own"))
-    rows = scoped.where(F.col("site_id") != t.tenant(1)[3]).join(own, "produit_id").join(t.sites, "site_id")
-    out = rows.groupBy("site_id", "slug").agg(F.count_if(F.col("prix_original") < F.col("_own")).alias("moins_chers"), F.count_if("en_promo").alias("promos"), F.count("*").alias("communs"))
-    return out.withColumn("intensite", F.least(F.bround(F.col("moins_chers") / F.col("communs") * 10).cast("long"), F.lit(10).cast("long")))
+    """Every other site, with the products in scope that it sells below the lowest own price, its promotions in
+    scope, and the former's share of all products in scope as an intensity of 0 to 10."""
+    mine = t.tenant(1)[3]
+    products = t.products.where(t.scope(1)).select("produit_id")
+    scoped = t.current.join(products, "produit_id", "left_semi").withColumn("en_promo", F.col("prix_en_promotion").isNotNull())
+    own = scoped.where(F.col("site_id") == mine).groupBy("produit_id").agg(F.min("prix_original").alias("_own"))
+    other = scoped.where(F.col("site_id") != mine).groupBy("site_id", "produit_id").agg(F.min("prix_original").alias("_low"), F.count_if("en_promo").alias("promos"))
+    rows = other.join(own, "produit_id", "left").groupBy("site_id").agg(F.count_if(F.col("_low") < F.col("_own")).alias("moins_chers"), F.sum("promos").alias("promos"))
+    total = scoped.agg(F.greatest(F.countDistinct("produit_id"), F.lit(1))).scalar()
+    out = t.sites.where(F.col("site_id") != mine).join(rows, "site_id", "left").na.fill(0, ["moins_chers", "promos"])
+    return out.select("site_id", "slug", "moins_chers", "promos", prices.intensity(F.col("moins_chers"), total).cast("long").alias("intensite"))
 
 
-@query("""
-SELECT produit_id, jour, CASE WHEN own < comp THEN 1 WHEN own > comp THEN -1 ELSE 0 END AS score FROM (
+@query(f"""
+SELECT produit_id, jour, CASE WHEN own <= 0.95 * comp THEN 1 WHEN own >= 1.05 * comp THEN -1 WHEN own IS NOT NULL AND comp IS NOT NULL THEN 0 END AS score FROM (
   SELECT produit_id, CAST(date_debut AS DATE) AS jour, avg(CASE WHEN site_id = 0 THEN CAST(prix_original AS DOUBLE) END) AS own, avg(CASE WHEN site_id <> 0 THEN CAST(prix_original AS DOUBLE) END) AS comp
-  FROM fx_snapshot, (SELECT max(observed_at) AS m FROM fx_obs) WHERE date_debut >= m - INTERVAL 365 DAY GROUP BY 1, 2) WHERE own IS NOT NULL AND comp IS NOT NULL""")
+  FROM fx_snapshot JOIN fx_product USING (produit_id) WHERE categorie_id IN (1, 2, 3) AND date_debut >= (SELECT max(observed_at) FROM fx_obs) - INTERVAL 30 DAY GROUP BY 1, 2)""")
 def position_history(t: Tables) -> DataFrame:
-    """For each product and day with both, whether the mean own price was below, at or above the others'."""
-    price, own = F.col("prix_original").cast("double"), F.col("site_id") == 0
-    recent = t.with_offer(t.snapshots).where(F.col("date_debut") >= t.as_of - F.expr("INTERVAL 365 DAYS"))
+    """For each product in scope and day of the last 30 with a new price: 1 if the mean own one is cheaper, -1 if it is
+    dearer, 0 between, null where one side has none."""
+    price, own = F.col("prix_original").cast("double"), F.col("site_id") == t.tenant(1)[3]
+    recent = t.with_offer(t.snapshots).where(F.col("date_debut") >= t.as_of - F.expr("INTERVAL 30 DAYS"))
+    recent = recent.join(t.products.where(t.scope(1)).select("produit_id"), "produit_id", "left_semi")
     rows = recent.groupBy("produit_id", F.to_date("date_debut").alias("jour")).agg(F.avg(F.when(own, price)).alias("own"), F.avg(F.when(~own, price)).alias("comp"))
-    return rows.where("own is not null and comp is not null").select("produit_id", "jour", F.when(F.col("own") < F.col("comp"), 1).when(F.col("own") > F.col("comp"), -1).otherwise(0).alias("score"))
+    where = position(F.col("own"), F.col("comp"))
+    score = F.when(F.col("own").isNotNull() & F.col("comp").isNotNull(), F.when(where == "moins_cher", 1).when(where == "plus_cher", -1).otherwise(0))
+    return rows.select("produit_id", "jour", score.alias("score"))

@@ -89,21 +89,29 @@ def product_comparison(t: Tables) -> DataFrame:
 
 
 @query(f"""
-SELECT offre_id, jour, CAST(prix_original AS DOUBLE) AS prix FROM (
+WITH day AS (SELECT CAST(unnest(generate_series(m - INTERVAL {SPAN} DAY, m, INTERVAL 1 DAY)) AS DATE) AS jour FROM (SELECT max(observed_at) AS m FROM fx_obs)),
+active AS (SELECT * FROM (
   SELECT s.*, d.jour, row_number() OVER (PARTITION BY offre_id, d.jour ORDER BY date_debut DESC, run DESC) AS n
-  FROM fx_snapshot s JOIN (SELECT CAST(unnest(generate_series(m - INTERVAL {SPAN} DAY, m, INTERVAL 1 DAY)) AS DATE) AS jour FROM (SELECT max(observed_at) AS m FROM fx_obs)) d
-  ON CAST(date_debut AS DATE) <= d.jour AND (date_fin IS NULL OR CAST(date_fin AS DATE) >= d.jour)) WHERE n = 1""")
+  FROM fx_snapshot s JOIN day d ON CAST(date_debut AS DATE) <= d.jour AND (date_fin IS NULL OR CAST(date_fin AS DATE) >= d.jour)) WHERE n = 1)
+SELECT o.offre_id, day.jour, CAST(a.prix_original AS DOUBLE) AS prix,
+       CASE WHEN a.prix_original IS NOT NULL THEN a.prix_en_promotion IS NOT NULL AND a.prix_en_promotion < a.prix_original END AS en_promo
+FROM (SELECT DISTINCT offre_id FROM fx_snapshot JOIN fx_product USING (produit_id) WHERE categorie_id IN (1, 2, 3)) o CROSS JOIN day LEFT JOIN active a ON a.offre_id = o.offre_id AND a.jour = day.jour""")
 def price_history(t: Tables) -> DataFrame:
-    """The price of each offer on each of the last days, the last one included."""
+    """The price of each offer in scope, and whether it was on promotion, on each of the last days; null on days without one."""
     last = F.to_date(t.as_of)
-    return intervals.daily_as_of(t.snapshots, F.date_sub(last, SPAN), last).select("offre_id", "jour", double("prix_original").alias("prix"))
+    scoped = t.with_offer(t.snapshots).join(t.products.where(t.scope(1)).select("produit_id"), "produit_id", "left_semi")
+    active = intervals.daily_as_of(scoped, F.date_sub(last, SPAN), last)
+    days = scoped.select("offre_id").distinct().withColumn("jour", F.explode(F.sequence(F.date_sub(last, SPAN), last)))
+    promo = F.coalesce(F.col("prix_en_promotion") < F.col("prix_original"), F.lit(False))
+    return days.join(active, ["offre_id", "jour"], "left").select("offre_id", "jour", double("prix_original").alias("prix"), F.when(F.col("prix_original").isNotNull(), promo).alias("en_promo"))
 
 
-@query("SELECT categorie_id, categorie, count(DISTINCT produit_id) AS nb_produits FROM fx_offer WHERE categorie_id NOT IN (1, 2, 3) GROUP BY ALL")
+@query("SELECT c.categorie_id, c.categorie, count(DISTINCT produit_id) AS nb_produits FROM fx_category c LEFT JOIN fx_offer o ON o.categorie_id = c.categorie_id WHERE c.categorie_id NOT IN (1, 2, 3) GROUP BY ALL")
 def available_categories(t: Tables) -> DataFrame:
-    """Categories that are not in scope."""
+    """Categories that are not in scope and their products on sale, 0 for those without any."""
     scope = t.scopes.where("tenant_id = 1")
-    return t.offers.join(scope, "categorie_id", "left_anti").groupBy("categorie_id", "categorie").agg(F.countDistinct("produit_id").alias("nb_produits"))
+    counts = t.offers.groupBy("categorie_id").agg(F.countDistinct("produit_id").alias("nb_produits"))
+    return t.categories.join(scope, "categorie_id", "left_anti").join(counts, "categorie_id", "left").na.fill(0, ["nb_produits"])
 
 
 @query("SELECT offre_id, nom, slug, CAST(prix_original AS DOUBLE) AS prix, stock_status FROM fx_offer JOIN fx_site USING (site_id) WHERE categorie_id IN (1, 2, 3) AND (nom ILIKE '%1%' OR marque ILIKE '%#2%') AND en_promo")

@@ -93,9 +93,10 @@ class Tables:
 
     @cached_property
     def products(self) -> DataFrame:
-        """produit_id, nom, marque, categorie_id, categorie."""
-        part = self.raw("part").select(F.col("p_partkey").cast("long").alias("produit_id"), F.col("p_name").alias("nom"), F.col("p_brand").alias("marque"), F.col("p_type").alias("categorie"))
-        return part.join(F.broadcast(self.categories), "categorie")  # one row for each part type
+        """produit_id, nom, marque, categorie_id, categorie, groupe_id: the generic product, sold by several brands."""
+        part = self.raw("part").select(F.col("p_partkey").cast("long").alias("produit_id"), F.col("p_name").alias("nom"), F.col("p_brand").alias("marque"), F.col("p_type").alias("categorie"), F.col("p_size").alias("_size"))
+        rows = part.join(self.categories, "categorie")
+        return rows.withColumn("groupe_id", F.col("categorie_id") * 1000 + F.col("_size")).drop("_size")
 
     @cached_property
     def current(self) -> DataFrame:
@@ -109,8 +110,8 @@ class Tables:
 
     @cached_property
     def as_of(self) -> Column:
-        """The last observation, read once: one value."""
-        return F.lit(self.raw("lineitem").agg(F.max("l_shipdate").cast("timestamp_ntz")).head()[0]).cast("timestamp_ntz")
+        """The last observation, a one-row subquery of the plan."""
+        return self.raw("lineitem").agg(F.max("l_shipdate").cast("timestamp_ntz")).scalar()
 
     def tenant(self, tenant_id: int) -> tuple:
         return next(t for t in TENANTS if t[0] == tenant_id)
@@ -154,8 +155,8 @@ FROM fx_obs WINDOW w AS (PARTITION BY offre_id ORDER BY observed_at, k1, k2)""",
     "fx_snapshot": """
 SELECT offre_id, produit_id, site_id, run, observed_at AS date_debut, lead(observed_at) OVER (PARTITION BY offre_id ORDER BY run) AS date_fin, nb_observations, prix_original, prix_en_promotion, stock_status
 FROM fx_head WHERE row_no = 1""",
-    "fx_product": "SELECT CAST(p_partkey AS BIGINT) AS produit_id, p_name AS nom, p_brand AS marque, categorie_id, categorie FROM part JOIN fx_category ON p_type = categorie",
-    "fx_offer": "SELECT s.*, prix_en_promotion IS NOT NULL AS en_promo, nom, marque, categorie_id, categorie FROM fx_snapshot s JOIN fx_product USING (produit_id) WHERE date_fin IS NULL",
+    "fx_product": "SELECT CAST(p_partkey AS BIGINT) AS produit_id, p_name AS nom, p_brand AS marque, categorie_id, categorie, categorie_id * 1000 + p_size AS groupe_id FROM part JOIN fx_category ON p_type = categorie",
+    "fx_offer": "SELECT s.*, prix_en_promotion IS NOT NULL AS en_promo, nom, marque, categorie_id, categorie, groupe_id FROM fx_snapshot s JOIN fx_product USING (produit_id) WHERE date_fin IS NULL",
     "fx_pair": """
 SELECT *, row_number() OVER w AS nth, lag(prix_original) OVER w AS p0, lag(prix_en_promotion) OVER w AS q0, lag(stock_status) OVER w AS s0
 FROM fx_snapshot WINDOW w AS (PARTITION BY offre_id ORDER BY run)""",
@@ -180,4 +181,8 @@ def sql(query: str) -> str:
         if name in text:
             needed.insert(0, name)
             text += VIEWS[name]
-    return ("WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed) + "\n" if needed else "") + query
+    views = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed)
+    own = query.strip()
+    if not views:
+        return own
+    return f"WITH {views},\n{own[5:]}" if own.startswith("WITH ") else f"WITH {views}\n{own}"
