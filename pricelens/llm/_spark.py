@@ -60,10 +60,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def place(c: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
-
-
 def bits_of(cells: DataFrame, size: int) -> np.ndarray:
     """size bits, 64 to a number, of which those in cells (their only column) are set. They are gathered by Spark."""
     c = cells.columns[0]
@@ -73,21 +69,39 @@ def bits_of(cells: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def id_filter(ids: DataFrame, bits: int = FILTER_BITS):
-    """A column function that is true for every id in ids (their only column), and for few others.
+class IdFilter:
+    """Tells every id in ids (their only column), and few others, by a bit array of at most 2**bits bits.
 
-    The ids are told by a bit array of at most 2**bits bits, made by Spark and broadcast, so that rows
-    without one of them need not move. Of more ids than bits it lets more rows through, and loses none.
+    It is made by Spark and broadcast, so that rows without one of the ids need not move. Of more ids
+    than bits it lets more rows through, and loses none.
     """
-    bits = min(bits, max(16, (16 * ids.count()).bit_length()))
-    shared = ids.sparkSession.sparkContext.broadcast(bits_of(ids.select(place(F.col(ids.columns[0]), bits).alias("cell")), 1 << bits))
 
-    @F.pandas_udf("boolean")
-    def hit(p: pd.Series) -> pd.Series:
-        p = p.to_numpy()
-        return pd.Series((shared.value[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)) > 0)
+    def __init__(self, ids: DataFrame, bits: int = FILTER_BITS) -> None:
+        self.bits = min(bits, max(16, (16 * ids.count()).bit_length()))
+        self.shared = ids.sparkSession.sparkContext.broadcast(bits_of(ids.select(self.place(F.col(ids.columns[0])).alias("cell")), 1 << self.bits))
+
+    def place(self, c: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(c), 64 - self.bits)
+
+    def where(self, c: Column) -> Column:
+        """Whether an id is told."""
+        shared = self.shared
+
+        @F.pandas_udf("boolean")
+        def hit(p: pd.Series) -> pd.Series:
+            return pd.Series(marked(shared.value, p.to_numpy()))
+
+        return hit(self.place(c))
+
+
+def marked(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits at these places are set."""
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)) > 0
+
 
-    return lambda c: hit(place(c, bits))
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows, but not known to be partitioned by keys (long): a join with sums by a key then shuffles both sides on its own, and Spark can split a hot key."""
+    return df.withColumns({k: F.col(k).bitwiseOR(F.lit(0).cast("long")) for k in keys})
 
 
 def quoted(name: str) -> str:

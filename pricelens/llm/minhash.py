@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import documents, id_filter, remove, shared_folder, shuffle_partitions, stored, written
+from ._spark import IdFilter, apart, documents, remove, shared_folder, shuffle_partitions, stored, written
 from ._words import GRAM_BASE, U64, Words, mix, prefix, run_hash, slices
 
 SHINGLE = 5
@@ -115,7 +115,7 @@ def components(links: DataFrame) -> DataFrame:
     spark, folder = links.sparkSession, shared_folder(links.sparkSession, "components")
 
     def least(df: DataFrame) -> DataFrame:
-        return df.join(df.groupBy("u").agg(F.min("v").alias("m")), "u")
+        return df.join(apart(df.groupBy("u").agg(F.min("v").alias("m")), "u"), "u")
 
     edges, before, k = written(links.select("u", "v").where("u <> v").distinct(), f"{folder}/0"), None, 0
     while True:
@@ -136,8 +136,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def some_texts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, text of the documents whose id is in nodes (a few others may come along)."""
-    wanted = id_filter(nodes)
-    return texts.where("doc_id is not null").where(wanted(F.col("doc_id"))).select(F.col("doc_id").alias("node"), "text")
+    wanted = IdFilter(nodes)
+    return texts.where("doc_id is not null").where(wanted.where(F.col("doc_id"))).select(F.col("doc_id").alias("node"), "text")
 
 
 def sets(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +171,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     spark = texts.sparkSession
     by_u = pairs.groupBy("u").agg((1 + F.expr(f"sum(n) div {LOT_SHINGLES // 4}")).cast("int").alias("slices"))
     lots = max(shuffle_partitions(spark), 1 + (pairs.agg(F.sum("n")).head()[0] or 0) // LOT_SHINGLES)
-    ours = pairs.join(by_u, "u").select("u", F.pmod(F.xxhash64("v"), "slices").cast("int").alias("slice"), F.col("v").alias("node"))
+    ours = pairs.join(apart(by_u, "u"), "u").select("u", F.pmod(F.xxhash64("v"), "slices").cast("int").alias("slice"), F.col("v").alias("node"))
     hubs = by_u.select("u", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("u").alias("node"))
     sent = ours.unionByName(hubs).join(some_texts(texts, pairs.select("u").union(pairs.select("v"))), "node")
 
@@ -203,9 +203,10 @@ def met(members: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = rows.groupBy("band", "label").agg(F.count("*").alias("own_rows"))
     mixed = sizes.groupBy("band").agg(F.sum("own_rows").alias("n_rows"), F.count("*").alias("n_labels"), F.sum(F.when(F.col("own_rows") <= block, F.col("own_rows")).otherwise(0)).alias("n_small")).where("n_labels > 1")
+    mixed = apart(mixed, "band")
     small = rows.join(mixed.where(F.col("n_rows") <= block).select("band"), "band")
     small = small.select("band", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("own"), "node", "label", "n")
-    large = rows.join(mixed.where(F.col("n_rows") > block), "band").join(sizes, ["band", "label"])
+    large = rows.join(mixed.where(F.col("n_rows") > block), "band").join(apart(sizes, "band", "label"), ["band", "label"])
     pure = F.col("own_rows") > block
     # Numbers of blocks: those of small components from 0, those of each large one by hash, far above.
     of_small = F.pmod(F.xxhash64("label"), F.greatest(F.ceil(F.col("n_small") / block), F.lit(1)))
@@ -337,7 +338,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     classes = stored(classes.select("a", "b", F.col("_one.doc_id").alias("node"), F.col("_one.n").alias("n"), F.col("_one.signature").alias("signature")), "classes")
     banded = classes.select("node", "n", F.explode(band_keys(F.col("signature"), bands, rows)).alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("_rows")).where("_rows > 1").select("band", "hub")
-    members = stored(banded.join(hubs, "band"), "members")
+    members = stored(banded.join(apart(hubs, "band"), "band"), "members")
     # Pass 1: of the least classes of its bands, a class is held against that of most bands.
     votes = members.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("votes"), F.max("n").alias("n"))
     best = votes.groupBy("node").agg(F.min(F.struct(-F.col("votes"), "hub", "n")).alias("_best"))

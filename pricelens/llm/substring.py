@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import bits_of, documents, id_filter, quoted, stored
+from ._spark import IdFilter, apart, bits_of, documents, marked, quoted, stored
 from ._spark import words as words_of
 from ._words import GRAM_BASE, OTHER_BASE, U64, Words, mix, prefix, run_hash, slices
 
@@ -96,10 +96,6 @@ def sketch(texts: DataFrame, window: int, depth: int, cell_bits: int) -> np.ndar
     return bits_of(counted.select("cell"), depth << cell_bits)
 
 
-def marked(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 6] >> (at & 63).astype(U64) & U64(1)) > 0
-
-
 def candidates(rows: DataFrame, marks: np.ndarray, window: int, depth: int, cell_bits: int) -> DataFrame:
     """The stretches whose anchor may repeat: doc_id, _row, start, n, anchor, b (a hash of all their words), name."""
     shared = rows.sparkSession.sparkContext.broadcast(marks)
@@ -123,12 +119,15 @@ def candidates(rows: DataFrame, marks: np.ndarray, window: int, depth: int, cell
 
 
 def windows(rows: DataFrame, names: DataFrame, window: int, name_bits: int = 26) -> DataFrame:
-    """doc_id, _row, start, anchor, hash of each window of the stretches with one of names (a few others may come along)."""
+    """doc_id, _row, start, anchor, hash of each window of the stretches in names: doc_id, name (a few others may come along)."""
     at = F.shiftrightunsigned("name", 64 - name_bits).alias("cell")
     shared = rows.sparkSession.sparkContext.broadcast(bits_of(names.select(at), 1 << name_bits))
+    docs = IdFilter(names.select("doc_id"))
+    told = docs.shared
 
     def work(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(marked(told.value, batch.column(3).to_numpy())))
             ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for words in slices(batch.column(2)):
                 text, first, n, anchor = stretches(words, window)
@@ -142,7 +141,8 @@ def windows(rows: DataFrame, names: DataFrame, window: int, name_bits: int = 26)
                     cols = [np.repeat(doc, n), np.repeat(row, n), begin - np.repeat(words.bounds[text], n), np.repeat(anchor, n).view(np.int64), each.view(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "_row", "start", "anchor", "hash"])
 
-    return rows.mapInArrow(work, "doc_id long, _row long, start long, anchor long, hash long")
+    placed = rows.select("doc_id", "_row", "text", docs.place(F.col("doc_id")))
+    return placed.mapInArrow(work, "doc_id long, _row long, start long, anchor long, hash long")
 
 
 def covered(rows: DataFrame, window: int = WINDOW, depth: int = DEPTH, cell_bits: int | None = None) -> DataFrame:
@@ -153,16 +153,15 @@ def covered(rows: DataFrame, window: int = WINDOW, depth: int = DEPTH, cell_bits
     cell_bits = cell_bits or sized(rows)
     found = stored(candidates(rows, sketch(rows.select("text"), window, depth, cell_bits), window, depth, cell_bits), "stretches")
     first = found.groupBy("anchor", "b").agg(F.min("doc_id").alias("least"))
-    whole = stored(found.join(first, ["anchor", "b"]).select("doc_id", "_row", "start", "n", "anchor", "name", (F.col("least") < F.col("doc_id")).alias("later")), "classes")
+    whole = stored(found.join(apart(first, "anchor", "b"), ["anchor", "b"]).select("doc_id", "_row", "start", "n", "anchor", "name", (F.col("least") < F.col("doc_id")).alias("later")), "classes")
     runs = whole.where("later").select("doc_id", "_row", "start", (F.col("start") + F.col("n") + window - 1).alias("stop"))
     # What is left of each class is its first document's; anchors with one document are done.
     own = whole.where("not later")
     several = own.groupBy("anchor").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).where("_low < _high").select("anchor")
-    names = stored(own.join(several, "anchor").select("doc_id", "name"), "names")
-    some = rows.where(id_filter(names.select("doc_id"))(F.col("doc_id")))
-    each = stored(windows(some, names, window), "windows")
+    names = stored(own.join(apart(several, "anchor"), "anchor").select("doc_id", "name"), "names")
+    each = stored(windows(rows, names, window), "windows")
     least = each.groupBy("anchor", "hash").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).where("_low < _high").select("anchor", "hash", "_low")
-    single = each.join(least, ["anchor", "hash"]).where("_low < doc_id").select("doc_id", "_row", "start", (F.col("start") + window).alias("stop"))
+    single = each.join(apart(least, "anchor", "hash"), ["anchor", "hash"]).where("_low < doc_id").select("doc_id", "_row", "start", (F.col("start") + window).alias("stop"))
     return runs.unionByName(single)
 
 
@@ -183,15 +182,22 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH,
     rows = keyed.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "_row", "text")
     runs = covered(rows, window, depth, cell_bits).groupBy("doc_id", "_row").agg(F.collect_list(F.struct("start", "stop")).alias("_runs"))
     runs = stored(runs.withColumnsRenamed({"doc_id": "_doc", "_row": "_key"}), "runs")
-    hit = F.coalesce(id_filter(runs.select("_doc"))(F.col("doc_id").cast("long")), F.lit(False))
-    named_ = keyed.withColumn("_hit", hit)
-    lost = named_.where("_hit").join(runs, (F.col("doc_id") == F.col("_doc")) & (F.col("_row") == F.col("_key")), "left").select("doc_id", "text", "_runs", "_others")
-    rest = named_.where("not _hit").select("doc_id", "text", F.lit(None).cast(runs.schema["_runs"].dataType).alias("_runs"), "_others")
+    lose = IdFilter(runs.select("_doc"))
+    told, number = lose.shared, F.col("doc_id").cast("long")
+    # Rows whose place is not null are passed over if their document may lose words: they come in the other part.
+    lost = keyed.where(number.isNotNull() & lose.where(number)).join(runs, (number == F.col("_doc")) & (F.col("_row") == F.col("_key")), "left")
+    lost = lost.select("doc_id", "text", "_runs", "_others", F.lit(None).cast("long").alias("_place"))
+    rest = keyed.select("doc_id", "text", F.lit(None).cast(runs.schema["_runs"].dataType).alias("_runs"), "_others", F.when(number.isNotNull(), lose.place(number)).alias("_place"))
     joined = lost.unionByName(rest)
 
     def work(batches):
         for batch in batches:
-            ids, texts, runs, others = batch.columns
+            place = batch.column(4)
+            away = place.is_valid().to_numpy(zero_copy_only=False).copy()
+            away[away] = marked(told.value, place.drop_null().to_numpy())
+            if away.any():
+                batch = batch.filter(pa.array(~away))
+            ids, texts, runs, others, _ = batch.columns
             for words in slices(texts):
                 begin, count = words.first, len(words.bounds) - 1
                 some = runs.slice(begin, count)
