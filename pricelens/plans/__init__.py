@@ -1,3 +1,3 @@
 """Named queries; importing the modules registers them."""
 
-from . import activity, analysis, catalog, parsing  # noqa: F401
+from . import activity, analysis, catalog, matching, parsing  # noqa: F401

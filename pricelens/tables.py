@@ -34,6 +34,20 @@ RULES = [
 USERS = [(1, 1, True), (2, 1, True), (3, 1, False), (4, 2, True), (5, 3, True)]
 
 
+#: Columns of a listing, in order, in what both SQL dialects read.
+LISTING = {
+    "cap": "CAST(power(2, 3 + produit_id % 4) AS BIGINT)",
+    "offre_id": "produit_id * 10 + site_id",
+    "code": "concat('MX', CAST(size + 100 AS STRING), '-', CAST(produit_id % 97 AS STRING))",
+    "nom": "concat(marque, ' ', nom, ' ', code, ' ', CAST(cap AS STRING), CASE site_id WHEN 0 THEN 'Go' WHEN 1 THEN ' GB' WHEN 2 THEN 'gb' ELSE ' go' END)",
+    "held": "CASE WHEN site_id = 3 AND produit_id % 5 = 0 THEN cap * 2 ELSE cap END",
+    "ram": "CASE site_id WHEN 0 THEN concat(CAST(held AS STRING), ' Go') WHEN 1 THEN concat(CAST(held AS STRING), 'GB') WHEN 2 THEN concat(CAST(held AS STRING), ' gb') ELSE concat(CAST(held * 1000 AS STRING), ' Mo') END",
+    "ecran": "CASE site_id WHEN 0 THEN '15,6 pouces' WHEN 1 THEN '15.6\"' WHEN 2 THEN '15.6 inch' ELSE '15.6in' END",
+    "frequence": "CASE WHEN site_id % 2 = 0 THEN '2,5 GHz' ELSE '2500 MHz' END",
+    "couleur": "CASE WHEN produit_id % 2 = 0 THEN 'Noir' ELSE 'Blanc' END",
+}
+
+
 class Tables:
     """The domain's tables over one folder of the driver's tables."""
 
@@ -108,6 +122,24 @@ class Tables:
         """The current state of each offer, with its product's columns."""
         return self.current.withColumn("en_promo", F.col("prix_en_promotion").isNotNull()).join(self.products, "produit_id")
 
+    @cached_property
+    def families(self) -> DataFrame:
+        """categorie_id, parent_id: two families of categories."""
+        return self.categories.select("categorie_id", (100 + F.col("categorie_id") % 2).alias("parent_id"))
+
+    @cached_property
+    def listings(self) -> DataFrame:
+        """Each product as four sites list it: offre_id, site_id, produit_id, nom, marque, categorie_id, groupe_id, fiche (a spec sheet in the site's spelling), couleur, vector."""
+        part = self.raw("part").select(F.col("p_partkey").cast("long").alias("produit_id"), F.col("p_size").alias("size"))
+        rows = part.join(self.products, "produit_id").withColumn("site_id", F.explode(F.array(*(F.lit(k).cast("long") for k in range(4)))))
+        for name, text in LISTING.items():
+            rows = rows.withColumn(name, F.expr(text))
+        sheet = {"Marque": "marque", "Modèle": "code", "Mémoire vive": "ram", "Taille de l'écran": "ecran", "Fréquence": "frequence", "Couleur": "couleur"}
+        fiche = F.create_map(*(x for k, v in sheet.items() for x in (F.lit(k), F.col(v))))
+        vectors = self.raw("embeddings").select(F.col("vec_id").alias("_vec"), F.col("embedding").cast("array<double>").alias("vector"))
+        rows = rows.withColumn("_vec", F.col("produit_id") % 200 + F.col("site_id")).join(vectors, "_vec", "left")
+        return rows.select("offre_id", "site_id", "produit_id", "nom", "marque", "categorie_id", "groupe_id", fiche.alias("fiche"), "couleur", "vector")
+
     @cached_property
     def as_of(self) -> Column:
         """The last observation, a one-row subquery of the plan."""
@@ -157,6 +189,10 @@ SELECT offre_id, produit_id, site_id, run, observed_at AS date_debut, lead(obser
 FROM fx_head WHERE row_no = 1""",
     "fx_product": "SELECT CAST(p_partkey AS BIGINT) AS produit_id, p_name AS nom, p_brand AS marque, categorie_id, categorie, categorie_id * 1000 + p_size AS groupe_id FROM part JOIN fx_category ON p_type = categorie",
     "fx_offer": "SELECT s.*, prix_en_promotion IS NOT NULL AS en_promo, nom, marque, categorie_id, categorie, groupe_id FROM fx_snapshot s JOIN fx_product USING (produit_id) WHERE date_fin IS NULL",
+    "fx_listing": """
+SELECT p.produit_id * 10 + s AS offre_id, s AS site_id, p.produit_id, p.marque, p.categorie_id, p.groupe_id, CAST(power(2, 3 + p.produit_id % 4) AS BIGINT) AS cap, CAST(e.embedding AS DOUBLE[]) AS vector,
+       'MX' || (p_size + 100) || '-' || p.produit_id % 97 AS code, CASE WHEN p.produit_id % 2 = 0 THEN 'Noir' ELSE 'Blanc' END AS couleur
+FROM fx_product p JOIN part ON p_partkey = p.produit_id CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS s) LEFT JOIN embeddings e ON e.vec_id = p.produit_id % 200 + s""",
     "fx_pair": """
 SELECT *, row_number() OVER w AS nth, lag(prix_original) OVER w AS p0, lag(prix_en_promotion) OVER w AS q0, lag(stock_status) OVER w AS s0
 FROM fx_snapshot WINDOW w AS (PARTITION BY offre_id ORDER BY run)""",
