@@ -361,6 +361,15 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """docs without the rows that near_duplicates() does not keep. Only documents that may go are moved. Rows with a null doc_id stay."""
+    gone = stored(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    number = F.col("doc_id").cast("long")
+    may_go = F.coalesce(IdFilter(gone).where(number) & number.isNotNull(), F.lit(False))
+    stay = docs.where(~may_go)
+    return stay.unionByName(docs.where(may_go).join(gone, number == F.col("_gone"), "left_anti"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import documents, words
+from ._spark import documents, quoted, words
 
 #: Cells of the multinomials: the table's size at every size of the corpus.
 CELLS = 1 << 16
@@ -70,24 +70,25 @@ def measured(docs: DataFrame, table: list[float], threshold: float = THRESHOLD)
     alike, and null doc_ids make no difference. No row moves: all of it is computed in place.
     """
     text, w, u = F.coalesce(F.col("text"), F.lit("")), F.col("_w"), F.col("_u")
+    columns = [c for c in docs.columns if c != "quality"]
     ratios = F.split(F.lit(",".join(f"{x:.9g}" for x in table)), ",").cast("array<double>")
     total = F.aggregate(_cells(u), F.lit(0.0), lambda a, c: a + F.get(ratios, c))
     starts = F.slice(u, F.lit(1), F.greatest(F.size(u) - 2, F.lit(0)))
     windows = F.transform(starts, lambda x, i: F.xxhash64(x, F.get(u, i + 1), F.get(u, i + 2)))
-    # Only texts with equal windows need more: the hash above, the place in the bits below; sorted, equal hashes are neighbours.
+    # Only texts with equal windows need more: sorted by hash and place, equal hashes are neighbours.
     some = F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.col("_h")).otherwise(F.array().cast("array<bigint>"))
-    bits = F.ceil(F.log2(F.size(u) + 2)).cast("int")
-    keys = F.sort_array(F.transform(some, lambda x, i: F.call_function("shiftleft", x, F.col("_bits")).bitwiseOR(i.cast("long"))))
+    keys = F.sort_array(F.transform(some, lambda x, i: F.struct(x.alias("hash"), i.cast("long").alias("place"))))
     beside = F.arrays_zip(F.col("_k").alias("a"), F.slice("_k", F.lit(2), F.size("_k")).alias("b"))
-    same = F.filter(beside, lambda z: F.call_function("shiftright", z["a"].bitwiseXOR(z["b"]), F.col("_bits")) == 0)
-    place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1)
-    places = F.sort_array(F.array_distinct(F.flatten(F.transform(same, lambda z: F.array(place(z["a"]), place(z["b"]))))))
+    same = F.filter(beside, lambda z: z["a"]["hash"] == z["b"]["hash"])
+    places = F.sort_array(F.array_distinct(F.flatten(F.transform(same, lambda z: F.array(z["a"]["place"], z["b"]["place"])))))
     step = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last"))
     covered = F.aggregate(F.col("_p"), step, lambda a, x: F.struct((a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"])
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     n = F.size(w).cast("long")
-    first = docs.withColumn("_w", words(F.col("text"))).withColumn("_u", _codes(w))
-    first = first.withColumn("_h", windows).withColumn("_bits", bits).withColumn("_k", keys).withColumn("_p", places)
+    # The caller's columns go along in one, so that none has the name of ours.
+    packed = docs.select(F.struct(*(F.col(quoted(c)) for c in columns)).alias("_docs"), "text")
+    first = packed.withColumn("_w", words(F.col("text"))).withColumn("_u", _codes(w))
+    first = first.withColumn("_h", windows).withColumn("_k", keys).withColumn("_p", places)
     facts = first.withColumn("_lines", lines).withColumn("_n", n).withColumn("_repeat", covered).withColumn("_ratio", total / F.greatest(2 * n - 1, F.lit(1)))
     bad = (F.col("_n") < 50) | (100 * F.col("_repeat") > 50 * F.col("_n"))
     out = F.struct(
@@ -101,7 +102,7 @@ def measured(docs: DataFrame, table: list[float], threshold: float = THRESHOLD)
         # The number keeps a caller's filter on the verdict above this projection: pushed below, it would have all of the above computed for each word anew.
         (~bad & (F.col("_ratio") >= threshold) & (F.monotonically_increasing_id() >= 0)).alias("kept"),
     )
-    return facts.withColumn("quality", out).drop("_w", "_u", "_h", "_bits", "_k", "_p", "_lines", "_n", "_repeat", "_ratio")
+    return facts.withColumn("quality", out).select(*(F.col("_docs").getField(c).alias(c) for c in columns), "quality")
 
 
 def judged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
