@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.llm import minhash, packing, quality, substring
-from pricelens.llm._spark import documents, shared_folder
+from pricelens.llm._spark import documents, quoted, shared_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep, as they are."""
-    judged = quality.judged(spark, docs.withColumnRenamed("quality", "_quality") if "quality" in docs.columns else docs, sf_dir)
-    kept = judged.where("quality.kept").drop("quality")
-    return kept.withColumnRenamed("_quality", "quality").select(docs.columns)
+    """The documents that the quality rules keep, as they are. A column named quality comes back as it was."""
+    own = "quality" in docs.columns
+    if own:
+        name = next(c for k in range(len(docs.columns) + 1) if (c := f"quality_{k}") not in docs.columns)
+        docs = docs.withColumnRenamed("quality", name)
+    kept = quality.judged(spark, docs, sf_dir).where("quality.kept").drop("quality")
+    return kept.withColumnRenamed(name, "quality") if own else kept
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the least doc_id. Rows with a null doc_id stay."""
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(docs.columns)
+    return minhash.first_of_groups(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     out = substring.dedup_substrings(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select([quoted(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
