@@ -1,6 +1,8 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Of the hashes of all runs of GRAM words, the smallest in every WINDOW neighbouring ones is chosen,
+A run of GRAM words has a rolling hash: a polynomial in BASE of its words' hashes, modulo the prime
+MODULUS, so that the next run's follows from it by one word less and one more. Of the hashes of all
+runs the smallest in every WINDOW neighbouring ones is chosen,
 of equals the rightmost, and its place is kept. So any two texts that share GRAM + WINDOW - 1 words
 in a row share a chosen hash.
 """
@@ -14,6 +16,8 @@ from ._spark import documents, words
 from .sharding import by_range
 
 GRAM, WINDOW = 3, 8
+#: The rolling hash: word hashes are reduced modulo a prime below 2**31, and so is every step.
+MODULUS, BASE = (1 << 31) - 1, 1_103_515_245
 #: Bits of a place in a text: it may have 2**31 words.
 PLACE = 31
 #: Parts of the table in which rows find their next one. A part is a range of doc_id.
@@ -21,12 +25,18 @@ PART_ROWS = 4096
 
 
 def grams(u: Column, gram: int) -> Column:
-    """A number for each run of gram words, from the words' hashes: its 32-bit hash above, its place, counted down, below, so
+    """A number for each run of gram words, from the words' hashes: its rolling hash above, its place, counted down, below, so
     that the smallest is that of the smallest hash and, of equals, the rightmost. Texts of fewer words
     have one run of all; texts without words none."""
     last = F.lit((1 << PLACE) - 1).cast("long")
     run = F.greatest(F.size(u) - gram + 1, F.least(F.size(u), F.lit(1)))
-    code = lambda x, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(x, *(F.get(u, i + k) for k in range(1, gram))), 33), PLACE).bitwiseOR(last - i)
+
+    def code(x: Column, i: Column) -> Column:
+        # What the recurrence gives for this run, in closed form: SQL computes all places side by side.
+        for k in range(1, gram):
+            x = (x * BASE + F.coalesce(F.get(u, i + k), F.lit(0))) % MODULUS
+        return F.shiftleft(x, PLACE).bitwiseOR(last - i)
+
     return F.transform(F.slice(u, F.lit(1), run), code)
 
 
@@ -41,7 +51,7 @@ def winnowed(frame: DataFrame, text: Column, name: str, gram: int = GRAM, window
     A text of at most window runs has one chosen. Null and empty texts have none.
     """
     u, g = F.col("_u"), F.col("_g")
-    frame = frame.withColumn("_u", F.transform(words(text), lambda x: F.xxhash64(x))).withColumn("_g", grams(u, gram))
+    frame = frame.withColumn("_u", F.transform(words(text), lambda x: F.pmod(F.xxhash64(x), F.lit(MODULUS)))).withColumn("_g", grams(u, gram))
     count, span = F.col("_n"), 1
     frame = frame.withColumn("_n", F.greatest(F.size(g) - window + 1, F.least(F.size(g), F.lit(1))))
     while span < window:  # the least of 1, 2, 4, ... neighbours, then of window
@@ -67,12 +77,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
-def next_of(frame: DataFrame, columns: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+def next_of(frame: DataFrame, columns: list[str], rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """frame with next_<c> for each of columns: the value of the next row by doc_id (nulls first, then
-    text), of the last row the first's. No row is in one task with more than its part's."""
-    parts = max(1, -(-frame.count() // part_rows))
-    frame = by_range(frame, "doc_id", "_part", parts)
-    order = Window.partitionBy("_part").orderBy(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    a hash of the text, then the text), of the last row the first's. rows holds the doc_ids. A part of
+    the rows is in one task, never all rows of a common doc_id or of null."""
+    tie = F.xxhash64("text")
+    frame = by_range(frame, "doc_id", "_part", rows, tie, part_rows)
+    order = Window.partitionBy("_part").orderBy(F.asc_nulls_first("doc_id"), tie, "text")
     marked = frame.withColumn("_last", F.lead(F.lit(False), 1, True).over(order)).withColumn("_first", F.row_number().over(order) == 1)
     for c in columns:
         marked = marked.withColumn(f"_next_{c}", F.lead(c).over(order))
@@ -98,12 +109,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     Null texts count as empty, and an empty text has an empty fingerprint; two empty ones have
-    likeness 1. Null doc_ids come first; rows of the same doc_id follow each other by text. A table of
+    likeness 1. Null doc_ids come first; rows of the same doc_id follow each other by a hash of the text,
+    so that many of them can be in many tasks; rows alike in both are equal. Texts are taken whole, up
+    to 2**31 words. A table of
     one row follows itself; an empty one gives none. Other columns of docs are not read.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # A text's own fingerprint goes along to the row before it, which so need not make it again.
-    rows = next_of(winnowed(rows, F.col("text"), "_own"), ["text", "_own"])
+    rows = next_of(winnowed(rows, F.col("text"), "_own"), ["text", "_own"], rows)
     rows = rows.withColumn("_edited", edited(F.col("text"), F.col("next_text")))
     rows = winnowed(rows, F.col("_edited"), "_changed").withColumnRenamed("next__own", "_next")
     for c in ("_own", "_changed", "_next"):

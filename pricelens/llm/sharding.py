@@ -3,11 +3,21 @@
 Groups of equal texts, in the order of their smallest doc_id, go to shards as wholes. The smallest
 capacity at which a greedy walk needs no more than the shards there are is found by binary search,
 and the walk at that capacity gives the cuts.
+
+The walk asks for the last group that ends up to some place. The driver has a bounded table of units,
+each the groups that end in a span of bytes, with the first and the last of their ends. Two walks
+follow from it: a cautious one that takes the first end of a unit it cannot see into, and a bold one
+that takes the place itself. The least capacities of both enclose the true one. While they differ, the
+spans into which the cuts can fall are told again in finer units; once they agree, the cautious walk's
+cuts, which are ends of groups, are exact.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,37 +25,59 @@ from pyspark.sql import functions as F
 from ._spark import cut, documents
 
 SHARDS = 40
-#: The walk's units for each shard: neighbouring groups whose ends fall into the same 1/UNITS of a
-#: shard's mean size are one unit. It bounds what comes to the driver, and cuts are off by less.
+#: Units for each shard that come to the driver at once, at most.
 UNITS = 4096
-#: Parts in which rows are ranked one after the other.
-PARTS = 1024
+#: Rows of a part, about, in which rows are ranked one after the other, and the number of parts, at most.
+PART_ROWS, PARTS = 50_000, 8192
+#: Pieces into which a key that many rows share, or null, is split.
+SPLIT = 64
 
 
 def sizes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16
 
 
-def minimax_cuts(units: list[int], shards: int) -> list[int]:
-    """Indexes at which shards 1, 2, ... begin, so that the largest shard is as small as it can be."""
-    total = [0]
-    for x in units:
-        total.append(total[-1] + x)
+def walk(first: list[int], last: list[int], capacity: int, shards: int, bold: bool) -> list[int]:
+    """Where shards 1, 2, ... end, by units with their first and last ends. It stands still where no end is in reach."""
+    out, at = [], 0
+    for _ in range(shards):
+        to = at + capacity
+        k = bisect_right(first, to) - 1
+        if k >= 0:
+            end = last[k] if to >= last[k] else (to if bold else first[k])
+            at = max(at, end)
+        out.append(at)
+    return out
 
-    def walk(capacity: int) -> list[int] | None:
-        cuts, at = [], 0
-        while at < len(units):
-            at = bisect_right(total, total[at] + capacity) - 1
-            cuts.append(at)
-            if len(cuts) > shards:
-                return None
-        return cuts[:-1]
 
-    low, high = max([*units, -(-total[-1] // shards)], default=0), total[-1]
+def least(first: list[int], last: list[int], low: int, high: int, shards: int, bold: bool) -> int:
+    """The least capacity, from low to high, at which a walk comes to the end; high does."""
     while low < high:
         middle = (low + high) // 2
-        low, high = (low, middle) if walk(middle) is not None else (middle + 1, high)
-    return walk(low) or []
+        if walk(first, last, middle, shards, bold)[-1] >= last[-1]:
+            high = middle
+        else:
+            low = middle + 1
+    return low
+
+
+def minimax_ends(ends: Callable[[list[tuple[int, int]], int], list[tuple[int, int]]], total: int, largest: int, shards: int, units: int) -> list[int]:
+    """Where the shards end at the least capacity. ends(spans, grain) gives, for the groups that end within one of the
+    spans (from, to], the first and last end of each grain of them, in order. largest: the bytes of the largest group."""
+    low, high = max(largest, -(-total // shards)), total
+    spans, grain = [(0, total)], 2 * total
+    while True:
+        grain = max(1, min(grain // 2, sum(b - a for a, b in spans) // (shards * units)))
+        first, last = (list(x) for x in zip(*ends(spans, grain), strict=True))
+        low, high = least(first, last, low, high, shards, True), least(first, last, low, high, shards, False)
+        if low == high:
+            return walk(first, last, high, shards, False)
+        spans = []
+        for a, b in sorted(zip(walk(first, last, low, shards, False), walk(first, last, high, shards, True), strict=True)):
+            if spans and a - 1 <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+            else:
+                spans.append((a - 1, b))
 
 
 def running(df: DataFrame, part: str, order: list, value: str, name: str) -> DataFrame:
@@ -56,52 +88,76 @@ def running(df: DataFrame, part: str, order: list, value: str, name: str) -> Dat
     """
     own = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts = df.groupBy(part).agg(F.sum(value).alias("_sum"))
-    start = parts.select(part, (F.sum("_sum").over(Window.orderBy(part)) - F.col("_sum")).alias("_start"))  # PARTS rows
-    return df.withColumn(name, F.sum(value).over(own) - F.col(value)).join(F.broadcast(start), part).withColumn(name, F.col(name) + F.col("_start")).drop("_start")
+    start = parts.select(part, (F.sum("_sum").over(Window.orderBy(part)) - F.col("_sum")).alias("_start"))  # a row for each part
+    return df.withColumn(name, F.sum(value).over(own) - F.col(value)).join(start, part).withColumn(name, F.col(name) + F.col("_start")).drop("_start")
+
 
+def by_range(df: DataFrame, key: str, part: str, rows: DataFrame | None = None, tie: Column | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """df with a number that ascends with key, nulls first; about as many rows have each. rows: where the keys are read, if not from df.
 
-def by_range(df: DataFrame, key: str, part: str, parts: int = PARTS) -> DataFrame:
-    """df with a number of 0 to parts that ascends with key; about as many rows have each, but equal keys stay together. Nulls have 0."""
-    bounds = df.where(F.col(key).isNotNull()).agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000).alias("b")).head()["b"] or []
+    Equal keys stay together, but for null and for keys that fill parts alone: these are split by tie, a
+    64-bit number by which such rows have to be ordered next.
+    """
+    rows = df if rows is None else rows
+    parts = max(1, min(PARTS, -(-rows.count() // part_rows)))
+    bounds = rows.where(F.col(key).isNotNull()).agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000).alias("b")).head()["b"] or [] if parts > 1 else []
+    heavy = sorted(k for k, n in Counter(bounds).items() if n > 1)
     bounds = sorted(set(bounds))
-    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>") if bounds else F.array().cast("array<long>")
-    # The number of bounds up to the key, by binary search; a place beyond the last bound counts as greater.
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length())))) if bounds else F.array().cast("array<int>")
-    at = F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(F.coalesce(F.get(table, at + s - 1) <= F.col(key), F.lit(False)), s).otherwise(0))
-    return df.withColumn(part, at.cast("int"))
+
+    def count_up_to(values: list[int]) -> Column:
+        """The number of values up to the key, by binary search; a place beyond the last counts as greater."""
+        if not values:
+            return F.lit(0)
+        table = F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+        steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(values).bit_length()))))
+        return F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(F.coalesce(F.get(table, at + s - 1) <= F.col(key), F.lit(False)), s).otherwise(0))
+
+    at = F.when(F.col(key).isNull(), 0).otherwise(count_up_to(bounds) + 1)
+    if tie is None:
+        return df.withColumn(part, at.cast("int"))
+    alone = F.col(key).isNull()
+    if heavy:
+        alone = alone | F.col(key).isin(*heavy)  # the least of its part
+    piece = F.shiftrightunsigned(tie.bitwiseXOR(F.lit(-(1 << 63))), 64 - SPLIT.bit_length() + 1)
+    return df.withColumn(part, (at * (SPLIT + 1) + F.when(alone, piece).otherwise(SPLIT)).cast("int"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, units: int = UNITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs.
 
     The law is ``bytes``: shards of near equal size, but rows of equal texts share a shard, so that a
-    text with many copies can make its shard larger than the mean. Null texts are one group, of 16
-    bytes a row, and not equal to empty ones. Slots number a shard's rows by doc_id (nulls first),
-    then text; rows alike in both may change places. An empty table gives no row. Other columns of
-    docs are not read.
+    text with many copies can make its shard larger than the mean. The largest shard is as small as it
+    can be. Null texts are one group, of 16 bytes a row, and not equal to empty ones. Slots number a
+    shard's rows by doc_id (nulls first), then by a hash of the text; rows alike in both may change
+    places. Texts of any length count whole. An empty table gives no row. Other columns of docs are not
+    read.
     """
     text = F.col("text")
     rows = docs.select(
-        "doc_id", sizes(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(F.md5(text.cast("binary")), F.lit("")).alias("_text")
+        F.col("doc_id").cast("long").alias("doc_id"), sizes(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(F.md5(text.cast("binary")), F.lit("")).alias("_text")
     )
     rows = cut(rows)
     groups = rows.groupBy("_text").agg(F.sum("size").alias("bytes"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first"))
-    groups = cut(running(by_range(groups, "first", "_part"), "_part", ["first", "_text"], "bytes", "before"))
-    total = groups.agg(F.sum("bytes")).head()[0] or 0
-    grain = max(1, total // (shards * units))
-    unit = F.expr(f"(before + bytes - 1) div {grain}")
-    ends = groups.groupBy(unit.alias("unit")).agg(F.min("before").alias("before"), F.sum("bytes").alias("bytes")).orderBy("unit").collect()
-    cuts = minimax_cuts([r.bytes for r in ends], shards)
-    begins = [ends[k].before for k in cuts]
-    table = F.split(F.lit(",".join(map(str, begins))), ",").cast("array<long>") if begins else F.array().cast("array<long>")
-    placed = groups.select("_text", F.size(F.filter(table, lambda b: b <= F.col("before"))).alias("shard"))
-    out = by_range(rows.join(placed, "_text"), "doc_id", "_part")
+    tie = F.xxhash64("_text")
+    groups = cut(groups.withColumn("_tie", tie))
+    groups = cut(running(by_range(groups, "first", "_part", tie=F.col("_tie")), "_part", ["first", "_tie", "_text"], "bytes", "before").withColumn("end", F.col("before") + F.col("bytes")))
+    total, largest = groups.agg(F.sum("bytes"), F.max("bytes")).head()
+
+    def ends(spans: list[tuple[int, int]], grain: int) -> list[tuple[int, int]]:
+        within = reduce(lambda x, y: x | y, ((F.col("end") > a) & (F.col("end") <= b) for a, b in spans))
+        told = groups.where(within).groupBy(F.expr(f"(end - 1) div {grain}").alias("unit")).agg(F.min("end").alias("a"), F.max("end").alias("b"))
+        return sorted((r.a, r.b) for r in told.collect())  # shards x units rows, and one more for each span
+
+    cuts = minimax_ends(ends, total, largest, shards, units) if total else []
+    number = sum((F.when(F.col("before") >= c, 1).otherwise(0) for c in cuts[:-1]), F.lit(0))
+    placed = groups.select("_text", number.alias("shard"))
+    out = by_range(rows.join(placed, "_text"), "doc_id", "_part", rows, tie)
     counts = out.groupBy("shard", "_part").count()
     start = counts.select("shard", "_part", (F.sum("count").over(Window.partitionBy("shard").orderBy("_part")) - F.col("count")).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("shard", "_part").orderBy(F.asc_nulls_first("doc_id"), "_text")) - 1
+    rank = F.row_number().over(Window.partitionBy("shard", "_part").orderBy(F.asc_nulls_first("doc_id"), tie, "_text")) - 1
     return (
         out.withColumn("_rank", rank)
-        .join(F.broadcast(start), ["shard", "_part"])  # shards x PARTS rows at most
+        .join(start, ["shard", "_part"])  # a row for each shard and part
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("_rank") + F.col("_start")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
 

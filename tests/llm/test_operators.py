@@ -106,6 +106,44 @@ def test_url_rules(spark):
     assert [got[i] for i in range(len(given))] == wanted
 
 
+def test_url_index_is_as_all_rules(spark):
+    """Addresses made of the rules' words, with marks between or not, and odd ones, against all rules in their order."""
+    rng = random.Random(3)
+    parts = [*urls.TOPICS[:6], *urls.BEFORE[:4], "law", "history", "wp-login", "cgi-bin", "a.exe", "x", "123456789012", "xn--a", "日本", "Casino", "net", "org", "fr", "example.com", "de"]
+    given = ["http://" + "".join(rng.choice(parts) + rng.choice([".", "/", "-", "_", "", "/"]) for _ in range(rng.randrange(1, 7))) for _ in range(500)]
+    given += ["http://" + "/".join(["casino", *["y" * 50] * 2000, "top-poker"])]
+    rows = spark.createDataFrame([(i, u, "kept", "gone") for i, u in enumerate(given)], "page_id long, url string, address string, host string")
+    extra = [("block", "日本/", []), ("block", r"^q\.", [])]
+    got = urls.filter_urls(rows, urls.rules_frame(spark, pattern_rules=[*urls.PATTERN_RULES, *extra]))
+    assert got.columns == ["page_id", "url", "address", "host", "path", "rule", "verdict"]
+    for r in got.collect():
+        address, host = r.host + r.path, r.host
+        fit = [(len(rule), rule, v) for v, rule in urls.HOST_RULES if f".{host}".endswith("." + rule.split("/", 1)[0]) and r.path.startswith("/" + rule.split("/", 1)[1])]
+        wanted = max(fit)[2] if fit else next((v for v, p, _ in [*urls.PATTERN_RULES, *extra] if re.search(p, address)), "allow")
+        assert (r.verdict, r.rule, r.address) == (wanted, max(fit)[1] if fit else None, "kept"), r.url
+    assert len(urls.PATTERN_RULES) > 200 and urls.filter_urls(rows.limit(0), urls.rules_frame(spark)).count() == 0
+
+
+def winnow(text):
+    """Chosen runs of a text and their places, by the plain definition."""
+    import xxhash
+
+    code = [(h - (1 << 64) if h >> 63 else h) % fingerprint.MODULUS for h in (xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words(text))]
+    runs = []
+    for i in range(len(code) - fingerprint.GRAM + 1 if len(code) >= fingerprint.GRAM else min(len(code), 1)):
+        h = 0
+        for k in range(fingerprint.GRAM):
+            h = (h * fingerprint.BASE + (code[i + k] if i + k < len(code) else 0)) % fingerprint.MODULUS
+        runs.append(h)
+    chosen = []
+    for i in range(max(len(runs) - fingerprint.WINDOW + 1, min(len(runs), 1))):
+        part = runs[i : i + fingerprint.WINDOW]
+        at = max(k for k in range(len(part)) if part[k] == min(part)) + i
+        if (runs[at], at) not in chosen:
+            chosen.append((runs[at], at))
+    return chosen
+
+
 def test_winnowing(docs, none):
     got = by_id(fingerprint.fingerprints(docs))
     texts = [t or "" for _, t, _ in ROWS]
@@ -117,6 +155,11 @@ def test_winnowing(docs, none):
         assert bool(got[i].fingerprint) == bool(words(t))
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
         chosen = [tuple(x.split(":")) for x in got[i].fingerprint.split()]
+        own, other, after = winnow(t), winnow(changed), winnow(following)
+        assert [(int(h, 16), int(p)) for h, p in chosen] == own
+        assert [(int(h, 16), int(p)) for h, p in (x.split(":") for x in got[i].edited_fingerprint.split())] == other
+        like = lambda a, b: len({h for h, _ in a} & {h for h, _ in b}) / len(u) if (u := {h for h, _ in a} | {h for h, _ in b}) else 1.0
+        assert (got[i].near_edited, got[i].near_next) == (like(own, other), like(own, after))
         places = sorted(int(p) for _, p in chosen)
         runs = max(len(words(t)) - fingerprint.GRAM + 1, 0)
         if runs > fingerprint.WINDOW:  # each window holds a chosen run
@@ -181,6 +224,48 @@ def test_shard_files(spark, docs, none, ids):
     assert sstable.read_shards(sstable.write_shards(none, path, 2, shared_folder(spark, "t"))).count() == 0
 
 
+def least_capacity(sizes, shards):
+    """The smallest greatest load of contiguous shards, by trying every capacity that a run of groups has."""
+    sums = [0]
+    for x in sizes:
+        sums.append(sums[-1] + x)
+
+    def fits(capacity):
+        left, n = 0, 1
+        for x in sizes:
+            if x > capacity:
+                return False
+            if left + x > capacity:
+                left, n = 0, n + 1
+            left += x
+        return n <= shards
+
+    return min(c for i in range(len(sums)) for j in range(i) if fits(c := sums[i] - sums[j]))
+
+
+def test_minimax_ends():
+    rng = random.Random(5)
+    for units in (1, 2, 7, 1000):
+        for _ in range(40):
+            sizes = [rng.choice([1, 5, 16, rng.randrange(1, 3000)]) for _ in range(rng.randrange(1, 60))]
+            shards, ends, calls = rng.randrange(1, 9), [], []
+            for x in sizes:
+                ends.append((ends[-1] if ends else 0) + x)
+
+            def told(spans, grain, ends=ends, calls=calls):
+                got = defaultdict(list)
+                for e in ends:
+                    if any(a < e <= b for a, b in spans):
+                        got[(e - 1) // grain].append(e)
+                calls.append(len(got))
+                return sorted((min(v), max(v)) for v in got.values())
+
+            cuts = sharding.minimax_ends(told, ends[-1], max(sizes), shards, units)
+            assert set(cuts) <= set(ends) and cuts[-1] == ends[-1]
+            assert max(b - a for a, b in zip([0, *cuts], cuts)) == least_capacity(sizes, shards)
+            assert units < 1000 or max(calls) <= 2 * shards * units + 2 * shards + 2
+
+
 def test_sharding(docs, none):
     rows = sharding.shard(docs, shards=5).collect()
     assert {r.doc_id: r.size for r in rows} == {i: len((t or "").encode()) + 16 for i, t, _ in ROWS}
@@ -189,7 +274,18 @@ def test_sharding(docs, none):
         slots[r.shard].append(r.slot)
         assert home.setdefault(ROWS[r.doc_id][1], r.shard) == r.shard
     assert all(s == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(5))
-    assert sharding.minimax_cuts([5, 1, 1, 1, 5, 2], 3) == [3, 5] and sharding.minimax_cuts([], 3) == []
+    sizes = {}
+    for i, t, _ in ROWS:
+        sizes[t] = sizes.get(t, 0) + len((t or "").encode()) + 16
+    loads = defaultdict(int)
+    for r in rows:
+        loads[r.shard] += r.size
+    assert max(loads.values()) == least_capacity(list(sizes.values()), 5)
+    assert max(fine := Counter(r.shard for r in sharding.shard(docs, shards=5, units=1).collect())) <= 4 and sum(fine.values()) == len(ROWS)
+    again = defaultdict(int)
+    for r in sharding.shard(docs, shards=5, units=1).collect():
+        again[r.shard] += r.size
+    assert again == loads
     assert sharding.shard(none).count() == 0
 
 
