@@ -122,6 +122,23 @@ class Tables:
         """The current state of each offer, with its product's columns."""
         return self.current.withColumn("en_promo", F.col("prix_en_promotion").isNotNull()).join(self.products, "produit_id")
 
+    @cached_property
+    def runs(self) -> DataFrame:
+        """run_id, site_id, date_debut, date_fin, statut: forty runs, one a day."""
+        n = F.col("id")
+        begin = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + n.cast("int") * F.expr("INTERVAL 1 DAY")
+        state = F.when(n % 7 == 0, "ECHOUE").when(n % 11 == 0, "EN_COURS").otherwise("TERMINE")
+        return self.spark.range(1, 41).select(n.alias("run_id"), (n % 5).alias("site_id"), begin.alias("date_debut"), F.when(n % 11 != 0, begin + n.cast("int") * F.expr("INTERVAL 10 MINUTE")).alias("date_fin"), state.alias("statut"))
+
+    @cached_property
+    def page_stats(self) -> DataFrame:
+        """run_id, site, category_url, page_number, products_found, has_next_page, duration_ms, scraped_at: an order is a listing page that a run read."""
+        k, c = F.col("o_orderkey"), F.col("o_custkey")
+        return self.raw("orders").select(
+            (1 + k % 40).alias("run_id"), F.concat(F.lit("site"), (k % 5).cast("string")).alias("site"), F.concat(F.lit("http://shop/c"), (c % 20).cast("string")).alias("category_url"), (1 + k % 4).alias("page_number"),
+            F.when(c % 9 == 0, 0).otherwise(c % 25).alias("products_found"), F.when(k % 3 == 0, 1).otherwise(0).alias("has_next_page"), F.when(c % 10 != 0, F.col("o_totalprice").cast("double")).alias("duration_ms"), F.col("o_orderdate").cast("timestamp_ntz").alias("scraped_at"),
+        )
+
     @cached_property
     def families(self) -> DataFrame:
         """categorie_id, parent_id: two families of categories."""
@@ -189,6 +206,14 @@ SELECT offre_id, produit_id, site_id, run, observed_at AS date_debut, lead(obser
 FROM fx_head WHERE row_no = 1""",
     "fx_product": "SELECT CAST(p_partkey AS BIGINT) AS produit_id, p_name AS nom, p_brand AS marque, categorie_id, categorie, categorie_id * 1000 + p_size AS groupe_id FROM part JOIN fx_category ON p_type = categorie",
     "fx_offer": "SELECT s.*, prix_en_promotion IS NOT NULL AS en_promo, nom, marque, categorie_id, categorie, groupe_id FROM fx_snapshot s JOIN fx_product USING (produit_id) WHERE date_fin IS NULL",
+    "fx_offer_run": "SELECT *, 1 + offre_id % 40 AS run_id FROM fx_offer",
+    "fx_session": """
+SELECT n AS run_id, n % 5 AS site_id, TIMESTAMP '2024-01-01' + to_days(CAST(n AS INTEGER)) AS date_debut, CASE WHEN n % 11 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(n AS INTEGER)) + to_minutes(n * 10) END AS date_fin,
+       CASE WHEN n % 7 = 0 THEN 'ECHOUE' WHEN n % 11 = 0 THEN 'EN_COURS' ELSE 'TERMINE' END AS statut FROM (SELECT unnest(range(1, 41)) AS n)""",
+    "fx_stat": """
+SELECT 1 + o_orderkey % 40 AS run_id, 'site' || o_orderkey % 5 AS site, 'http://shop/c' || o_custkey % 20 AS category_url, 1 + o_orderkey % 4 AS page_number,
+       CASE WHEN o_custkey % 9 = 0 THEN 0 ELSE o_custkey % 25 END AS products_found, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS has_next_page,
+       CASE WHEN o_custkey % 10 <> 0 THEN CAST(o_totalprice AS DOUBLE) END AS duration_ms, CAST(o_orderdate AS TIMESTAMP) AS scraped_at FROM orders""",
     "fx_listing": """
 SELECT p.produit_id * 10 + s AS offre_id, s AS site_id, p.produit_id, p.marque, p.categorie_id, p.groupe_id, CAST(power(2, 3 + p.produit_id % 4) AS BIGINT) AS cap, CAST(e.embedding AS DOUBLE[]) AS vector,
        'MX' || (p_size + 100) || '-' || p.produit_id % 97 AS code, CASE WHEN p.produit_id % 2 = 0 THEN 'Noir' ELSE 'Blanc' END AS couleur
