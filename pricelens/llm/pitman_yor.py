@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, documents, shuffle_partitions
+from ._spark import cut, documents
 from ._words import U64, Words, mix, slices
 
 BURN_IN, SAMPLES = 2, 3
@@ -40,8 +40,9 @@ BURN_IN, SAMPLES = 2, 3
 CONTEXT, ROOT = (0.6, 2.0), (0.5, 1.0)
 #: Documents and bytes of a chunk, the unit in which words are looked up, at most (a longer text is one chunk).
 CHUNK_DOCS, CHUNK_BYTES = 2048, 1 << 23
-#: Bytes of text for each bucket of words and pairs.
-BUCKET_BYTES = 1 << 25
+#: Bytes of text for each bucket of words and pairs. A chunk and a bucket send each other a message only
+#: if they share words or pairs, so there are never more messages than distinct words and pairs of chunks.
+BUCKET_BYTES = 1 << 24
 END = U64(0x9AE16A3B2F90404F) & ~U64(255)
 #: Customers of a dish up to which the number of tables is drawn from its exact chances.
 EXACT = 1024
@@ -168,7 +169,7 @@ def marked(docs: DataFrame) -> tuple[DataFrame, int]:
     held = F.coalesce((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).cast("int"), F.lit(0))
     rows = docs.select(F.col("doc_id").cast("long"), held.alias("held"), F.col("text").cast("string"))
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    return rows, max(shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES)
+    return rows, 1 + size // BUCKET_BYTES
 
 
 #: Messages: what kind, to which bucket or chunk, from which, and arrays in an order that both know.
