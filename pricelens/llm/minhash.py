@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import IdFilter, apart, documents, remove, shared_folder, shuffle_partitions, stored, written
+from ._spark import IdFilter, apart, documents, quoted, remove, shared_folder, shuffle_partitions, stored, written
 from ._words import GRAM_BASE, U64, Words, mix, prefix, run_hash, slices
 
 SHINGLE = 5
@@ -364,10 +364,10 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
 def first_of_groups(docs: DataFrame) -> DataFrame:
     """docs without the rows that near_duplicates() does not keep. Only documents that may go are moved. Rows with a null doc_id stay."""
     gone = stored(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    number = F.col("doc_id").cast("long")
-    may_go = F.coalesce(IdFilter(gone).where(number) & number.isNotNull(), F.lit(False))
-    stay = docs.where(~may_go)
-    return stay.unionByName(docs.where(may_go).join(gone, number == F.col("_gone"), "left_anti"))
+    packed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_docs"))
+    may_go = F.col("_id").isNotNull() & IdFilter(gone).where(F.col("_id"))
+    out = packed.where(~may_go).unionByName(packed.where(may_go).join(gone, F.col("_id") == F.col("_gone"), "left_anti"))
+    return out.select(*(F.col("_docs").getField(c).alias(c) for c in docs.columns))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
