@@ -20,13 +20,13 @@ def upserted_offers(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT r AS reference_id, list_sort(list(o)) AS ids FROM (SELECT 1 + p_partkey % 50 AS r, CAST(p_partkey AS BIGINT) AS o FROM part WHERE p_partkey % 4 > 0 UNION SELECT CAST(unnest(range(1, 51)) AS BIGINT), 1) GROUP BY r""")
+SELECT r AS reference_id, array_to_string(list_sort(list(o)), ',') AS ids FROM (SELECT 1 + p_partkey % 50 AS r, CAST(p_partkey AS BIGINT) AS o FROM part WHERE p_partkey % 4 > 0 UNION SELECT CAST(unnest(range(1, 51)) AS BIGINT), 1) GROUP BY r""")
 def linked_references(t: Tables) -> DataFrame:
     """References with the offers that were linked to them added to what they had."""
     offers = t.raw("part").select(F.col("p_partkey").cast("long").alias("offre_id"), F.lit(None).cast("long").alias("produit_id"))
     references = t.spark.range(1, 51).select(F.col("id").alias("reference_id"), F.array(F.lit(1).cast("long")).alias("offre_ids"))
     decided = offers.select("offre_id", (1 + F.col("offre_id") % 50).alias("reference_id"), F.lit(1.0).alias("score"), F.when(F.col("offre_id") % 4 > 0, "AUTO").otherwise("REVIEW").alias("layer"))
-    return sinks.link_matches(offers, references, decided)[1].select("reference_id", F.array_sort("offre_ids").alias("ids"))
+    return sinks.link_matches(offers, references, decided)[1].select("reference_id", F.array_join(F.array_sort("offre_ids").cast("array<string>"), ",").alias("ids"))
 
 
 @query("""
