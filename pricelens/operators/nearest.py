@@ -32,7 +32,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK) ->
     def work(table: pa.Table) -> pa.Table:
         ids, asks = table["id"].to_numpy(), table["asks"].to_numpy()
         vectors = table["vector"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(np.float64)
-        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)  # a zero vector is like nothing
         order = np.argsort(ids, kind="stable")
         a, b = order[asks[order]], order[~asks[order]]
         like = vectors[a] @ vectors[b].T
