@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions import labels
 from ..operators import events
 from ..registry import query
 from ..tables import Tables
@@ -124,3 +125,23 @@ def pressure_index(t: Tables) -> DataFrame:
     """A fifth of the other sites' events of 7 days, 100 at most, and its level."""
     index = scoped(t).where(since(t, 7)).agg(F.least(F.lit(100).cast("long"), F.floor(F.count("*") / 5 + 0.5).cast("long")).alias("pression"))
     return index.withColumn("niveau", F.when(F.col("pression") > 70, "haute").when(F.col("pression") > 40, "moyenne").otherwise("basse"))
+
+
+@query(f"""
+SELECT n.user_id, n.offre_id, n.run, n.rule_id, CASE e.type_evenement WHEN 'BAISSE_PRIX' THEN slug || ' a baissé un produit' WHEN 'HAUSSE_PRIX' THEN 'Hausse de prix détectée sur ' || slug
+  WHEN 'DEBUT_PROMOTION' THEN 'Promotion détectée sur ' || slug WHEN 'RUPTURE_STOCK' THEN 'Rupture détectée sur ' || slug WHEN 'RETOUR_STOCK' THEN 'Retour en stock sur ' || slug ELSE 'Nouveau produit sur ' || slug END AS message
+FROM ({FANNED}) n JOIN fx_event e ON e.offre_id = n.offre_id AND e.run = n.run JOIN fx_site s ON s.site_id = e.site_id WHERE e.date_detection >= {LAST} - INTERVAL 30 DAY""")
+def alert_inbox(t: Tables) -> DataFrame:
+    """The notifications of 30 days with their messages."""
+    told = t.events.where(since(t, 30)).join(t.sites, "site_id").select("offre_id", "run", labels.event_message(F.col("type_evenement"), F.col("slug")).alias("message"))
+    return alert_fan_out(t).join(told, ["offre_id", "run"]).select("user_id", "offre_id", "run", "rule_id", "message")
+
+
+@query("""
+SELECT run_id, CASE WHEN s < 3600 THEN 'il y a ' || CAST(floor(s / 60) AS BIGINT) || ' min' WHEN s < 86400 THEN 'il y a ' || CAST(floor(s / 3600) AS BIGINT) || 'h' WHEN s < 604800 THEN 'il y a ' || CAST(floor(s / 86400) AS BIGINT) || 'j' ELSE strftime(date_debut, '%-d/%m') END AS age,
+       CASE WHEN date_fin IS NULL THEN NULL WHEN date_fin + INTERVAL 24 HOUR < TIMESTAMP '2024-02-10 12:00:00' THEN TIMESTAMP '2024-02-11 12:00:00' ELSE date_fin + INTERVAL 24 HOUR END AS prochaine
+FROM (SELECT *, epoch(TIMESTAMP '2024-02-10 12:00:00') - epoch(date_debut) AS s FROM fx_session)""")
+def run_ages(t: Tables) -> DataFrame:
+    """How long ago each run began, seen from a fixed day, and when the next one is due."""
+    now = F.lit("2024-02-10 12:00:00").cast("timestamp_ntz")
+    return t.runs.select("run_id", labels.age(F.col("date_debut"), now).alias("age"), labels.next_run(F.col("date_fin"), now).alias("prochaine"))
