@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL."""
 
-from . import bpe, fingerprint, minhash, packing, pitman_yor, quality, sharding, sstable, substring, urls
+from . import audit, bpe, fingerprint, minhash, packing, pitman_yor, quality, sharding, sstable, substring, urls
 
-QUERIES = {f.__name__: f for f in (substring.op1_substring_dedup, minhash.op3_minhash_near_dedup, fingerprint.op5_winnowing, pitman_yor.op6_pitman_yor, bpe.op7_byte_bpe, quality.op2_quality_rules, urls.op4_url_filters, sstable.op8_sstable_shards, sharding.op9_minimax_sharding, packing.op10_nnls_packing)}
-ORACLES: dict[str, str] = {"op3_minhash_near_dedup": minhash.OP3_SQL, "op4_url_filters": urls.OP4_SQL}
+QUERIES = {f.__name__: f for f in (substring.op1_substring_dedup, minhash.op3_minhash_near_dedup, fingerprint.op5_winnowing, pitman_yor.op6_pitman_yor, bpe.op7_byte_bpe, quality.op2_quality_rules, urls.op4_url_filters, sstable.op8_sstable_shards, sharding.op9_minimax_sharding, packing.op10_nnls_packing, audit.op13_filter_audit)}
+ORACLES: dict[str, str] = {"op3_minhash_near_dedup": minhash.OP3_SQL, "op4_url_filters": urls.OP4_SQL, "op13_filter_audit": audit.OP13_SQL}
