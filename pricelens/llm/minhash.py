@@ -140,11 +140,11 @@ def some_texts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.where("doc_id is not null").where(wanted.where(F.col("doc_id"))).select(F.col("doc_id").alias("node"), "text")
 
 
-def sets(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def sets(texts: pa.ChunkedArray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of all texts, end to end, and where each text's begin."""
     each, ends, at = [np.zeros(0, U64)], [np.zeros(1, np.int64)], 0
     for words in slices(texts):
-        own, bounds = shingles(words)
+        own, bounds = shingles(words, size)
         each.append(own)
         ends.append(bounds[1:] + at)
         at += len(own)
@@ -163,7 +163,7 @@ def similar(one: np.ndarray, flat: np.ndarray, bounds: np.ndarray, rows: np.ndar
     return 100 * shared >= percent * (len(one) + n - shared)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
     """u, v of the pairs (u, v, n: the size of v's set) whose sets are similar enough. Texts of the pairs' documents move, others don't.
 
     What belongs to one u is split into slices of bounded size, each of which gets u's text; slices are dealt out in lots.
@@ -179,7 +179,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         u, part, node = (table[c].to_numpy() for c in ("u", "slice", "node"))
         order = np.lexsort((node, part, u))
         u, part, node = u[order], part[order], node[order]
-        flat, bounds = sets(table["text"].take(pa.array(order)))
+        flat, bounds = sets(table["text"].take(pa.array(order)), size)
         begin = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (part[1:] != part[:-1])))
         left, right = [], []
         for i, j in zip(begin, np.append(begin[1:], len(u)), strict=True):
