@@ -28,6 +28,8 @@ MASKS = 1 << len(FILTERS)
 COPY = 1 << FILTERS.index("E")
 #: Characters of distinct texts that a task holds against each other at once.
 LOT_CHARS = 8_000_000
+#: Documents of a partition of fingerprints, about.
+PART_ROWS = 50_000
 ROWS = "part string, filter_order string, step int, filter string, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 
 
@@ -99,7 +101,7 @@ def masks(docs: DataFrame, fingerprint: Callable[[Column], Column] = F.xxhash64,
     facts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_part"), text.alias("_text"))
     facts = facts.withColumn("_words", words(F.col("_text")))
     rows = facts.select("_id", "_part", failures(F.col("_text"), F.col("_words")).alias("_mask"), fingerprint(F.col("_text")).cast("long").alias("_key"), "_text").rdd
-    parts = max(shuffle_partitions(docs.sparkSession), rows.getNumPartitions())
+    parts = max(shuffle_partitions(docs.sparkSession), rows.getNumPartitions(), docs.count() // PART_ROWS)
     first = rows.mapPartitions(lambda r: lots(r, lot_chars))
     return first.repartitionAndSortWithinPartitions(parts, lambda k: k[0]).mapPartitions(chains)
 
