@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let, one_for_each
 from .prices import parse_price
 from .text import clean, page_number
 
-# Texts of stock labels, in the order in which they are asked.
+# Texts of several sites' stock labels, and the values of embedded data that mean the same, in the order in which they are asked.
 STOCK = (("IN_STOCK", "en stock|disponible|instock"), ("RUPTURE", "rupture|epuis|épuis|outofstock|hors stock"), ("SUR_COMMANDE", "sur commande|preorder"))
 
 
@@ -28,8 +29,7 @@ def links(html: Column, url: Column) -> Column:
     found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?is)<a\b[^>]*\bhref="([^"]*)"[^>]*>.*?</a>'), F.lit(0))
     told = F.transform(found, lambda a: F.struct(F.regexp_extract(a, r'(?i)\bhref="([^"]*)"', 1).alias("link"), text_of(a).alias("name")))
     kept = F.filter(told, lambda x: (x["link"] != "") & ~x["link"].startswith("#") & ~F.lower(x["link"]).startswith("javascript"))
-    full = F.transform(kept, lambda x: F.struct(absolute(x["link"], url).alias("url"), x["name"].alias("name")))
-    return F.filter(full, lambda x, i: ~F.exists(F.slice(full, F.lit(1), i), lambda y: y["url"] == x["url"]))
+    return one_for_each(F.transform(kept, lambda x: F.struct(absolute(x["link"], url).alias("url"), x["name"].alias("name"))), "url")
 
 
 def text_of(html: Column) -> Column:
@@ -60,13 +60,12 @@ def spec_sheet(html: Column) -> Column:
     cells = lambda tag: F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1)), text_of)
 
     def paired(names: Column, values: Column) -> Column:
-        n = F.least(F.size(names), F.size(values))
-        rows = F.transform(F.slice(names, F.lit(1), n), lambda k, i: F.struct(k.alias("key"), F.get(values, i).alias("value")))
-        rows = F.filter(rows, lambda r: r["key"].isNotNull())
-        return F.map_from_entries(F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, F.lit(1), i), lambda y: y["key"] == r["key"])))
+        rows = let(F.struct(names.alias("names"), values.alias("values")), lambda x: F.transform(
+            F.slice(x["names"], F.lit(1), F.least(F.size(x["names"]), F.size(x["values"]))), lambda k, i: F.struct(k.alias("key"), F.get(x["values"], i).alias("value"))
+        ))
+        return F.map_from_entries(one_for_each(F.filter(rows, lambda r: r["key"].isNotNull()), "key"))
 
-    listed = paired(cells("dt"), cells("dd"))
-    return F.when(F.size(listed) > 0, listed).otherwise(paired(cells("th"), cells("td")))
+    return let(paired(cells("dt"), cells("dd")), lambda listed: F.when(F.size(listed) > 0, listed).otherwise(paired(cells("th"), cells("td"))))
 
 
 def stock_status(label: Column) -> Column:

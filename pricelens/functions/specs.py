@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import one_for_each
 from .text import normalize_key, slug
 
 # Phrases that mark a spec key as one of a profile's keys.
@@ -91,8 +92,7 @@ def normalize_specs(specs: Column, exclude: Iterable[str]) -> Column:
     exclude = tuple(exclude)
     entries = F.transform(F.map_entries(F.coalesce(specs, F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("raw"), normalize_key(e["key"]).alias("key"), normalize_value(e["key"], e["value"]).alias("value")))
     kept = F.filter(entries, lambda e: ~key_matches(e["raw"], exclude) & ~e["value"].isin(*GENERIC))
-    last = F.filter(kept, lambda e, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
+    return F.map_from_entries(F.transform(one_for_each(kept, "key", last=True), lambda e: F.struct(e["key"], e["value"])))
 
 
 def model_slug(text: Column) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.specs import capacities, key_matches
+from ..functions.specs import capacities, key_matches, normalize_value
+from ..functions.text import normalize_key
 from .nearest import nearest
 
 
@@ -28,6 +29,15 @@ class Profile:
     semantic: float = 0.80
 
 
+# What the four signals count in a score.
+MODEL, SPEC, SEMANTIC, NAME = 0.40, 0.25, 0.20, 0.15
+# What a conflict of hard keys takes off, each and at most: where models are alike from SAME_MODEL on, and elsewhere.
+SAME_MODEL, HARD_SAME, HARD_OTHER = 0.99, (0.07, 0.20), (0.15, 0.45)
+# What unlike models take off, below each ratio; and capacities that differ in names of like models.
+UNLIKE = ((0.68, 0.25), (0.95, 0.10))
+CAPACITY = (0.95, 0.30)
+# Fixed value: the ratio of models that a link asks for.
+LINKED_MODEL = 0.97
 # The profile of computers. Others are given by the caller.
 COMPUTERS = Profile(
     "informatique",
@@ -84,7 +94,8 @@ def candidates(offers: DataFrame, references: DataFrame, categories: DataFrame,
     sibling of it; where its brand has none there, of its brand in all categories (relaxed).
 
     offers: offre_id, marque_slug, categorie_id, vector; references: reference_id and the same; categories: categorie_id,
-    parent_id (null at the top). Offers or references without vector get no candidates by it and are left for review elsewhere.
+    parent_id (null at the top). An offer without vector, or whose references have none, gets all of them, in the order of their
+    ids, at a similarity of 0; a reference without vector is no candidate where another has one.
     """
     def family(df: DataFrame) -> DataFrame:
         placed = df.join(categories.select("categorie_id", "parent_id"), "categorie_id", "left")
@@ -97,8 +108,16 @@ def candidates(offers: DataFrame, references: DataFrame, categories: DataFrame,
     def rows(df: DataFrame, key: str, *by: str) -> DataFrame:
         return df.select(F.col(key).alias("query_id" if key == "offre_id" else "item_id"), F.concat_ws("\x00", *by).alias("group"), "vector")
 
-    tight = nearest(rows(near, "offre_id", "marque_slug", "family"), rows(r, "reference_id", "marque_slug", "family"), k).withColumn("relaxed", F.lit(False))
-    loose = nearest(rows(far, "offre_id", "marque_slug"), rows(r, "reference_id", "marque_slug"), k).withColumn("relaxed", F.lit(True))
+    def pool(asked: DataFrame, *by: str) -> DataFrame:
+        q, items = rows(asked, "offre_id", *by), rows(r, "reference_id", *by)
+        placed = items.where("vector is not null").select("group").distinct().withColumn("_placed", F.lit(True))
+        q = q.join(placed, "group", "left")
+        plain = q.where("vector is null or _placed is null").join(items.select("group", "item_id"), "group").select("query_id", "item_id", F.lit(0.0).alias("similarity"))
+        plain = plain.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("item_id")))
+        return nearest(q.where("_placed").drop("_placed"), items, k).unionByName(plain)
+
+    tight = pool(near, "marque_slug", "family").withColumn("relaxed", F.lit(False))
+    loose = pool(far, "marque_slug").withColumn("relaxed", F.lit(True))
     return tight.unionByName(loose).select(F.col("query_id").alias("offre_id"), F.col("item_id").alias("reference_id"), F.col("similarity").alias("s_semantic"), "rank", "relaxed")
 
 
@@ -109,12 +128,14 @@ def scored(pairs: DataFrame, offers: DataFrame, references: DataFrame, profile:
     rows = rows.withColumn("s_model", best_ratio("models_a", "models_b")).withColumn("s_name", token_ratio("nom_a", "nom_b")).withColumn("_spec", spec_facts(F.col("specs_a"), F.col("specs_b"), profile.hard_keys))
     m, hard = F.col("s_model"), F.col("_spec.n_hard")
     less = lambda x, by: F.greatest(F.lit(0.0), x - by)
-    total = 0.40 * m + 0.25 * F.col("_spec.score") + 0.20 * F.col("s_semantic") + 0.15 * F.col("s_name")
-    total = F.when(hard >= 1, less(total, F.when(m >= 0.99, F.least(hard * 0.07, F.lit(0.20))).otherwise(F.least(hard * 0.15, F.lit(0.45))))).otherwise(total)
+    total = MODEL * m + SPEC * F.col("_spec.score") + SEMANTIC * F.col("s_semantic") + NAME * F.col("s_name")
+    off = lambda each, most: F.least(hard * each, F.lit(most))
+    total = F.when(hard >= 1, less(total, F.when(m >= SAME_MODEL, off(*HARD_SAME)).otherwise(off(*HARD_OTHER)))).otherwise(total)
     both = (F.size("models_a") > 0) & (F.size("models_b") > 0)
-    total = F.when(both & (m < 0.68), less(total, 0.25)).when(both & (m < 0.95), less(total, 0.10)).otherwise(total)
+    (far, much), (wide, some) = UNLIKE
+    total = F.when(both & (m < far), less(total, much)).when(both & (m < wide), less(total, some)).otherwise(total)
     a, b = capacities(F.col("nom_a")), capacities(F.col("nom_b"))
-    total = F.when((m >= 0.95) & (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b), less(total, 0.30)).otherwise(total)
+    total = F.when((m >= CAPACITY[0]) & (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b), less(total, CAPACITY[1])).otherwise(total)
     return rows.select(*pairs.columns, F.round("s_model", 3).alias("s_model"), m.alias("_model"), F.round("_spec.score", 3).alias("s_spec"), F.round("s_name", 3).alias("s_name"), "_spec.n_common", "_spec.n_conflict", "_spec.n_hard", F.round(total, 4).alias("score"))
 
 
@@ -124,7 +145,7 @@ def decided(rows: DataFrame, profile: Profile = COMPUTERS) -> DataFrame:
     best = rows.withColumn("_n", F.row_number().over(by)).withColumn("_second", F.lead("score", 1, 0.0).over(by)).where("_n = 1")
     best = best.withColumn("margin", F.round(F.col("score") - F.col("_second"), 4))
     high, wide = F.col("score") >= profile.auto, F.col("margin") >= profile.margin
-    same, near = F.col("_model") >= 0.97, F.round("s_semantic", 3) >= profile.semantic
+    same, near = F.col("_model") >= LINKED_MODEL, F.round("s_semantic", 3) >= profile.semantic
     layer = F.when(high & same & wide & near, "AUTO").when((F.col("score") >= profile.review) | (high & ~wide), "REVIEW").otherwise("NO_MATCH")
     why = F.when(~same, "model<0.97").when(~wide, f"margin<{profile.margin}").when(~near, f"semantic<{profile.semantic}")
     best = best.withColumn("layer", layer)
@@ -142,3 +163,38 @@ def buckets(decisions: DataFrame, family: str = "family") -> DataFrame:
     """Decisions of each layer, by family and in all (family null)."""
     count = lambda x: F.count_if(F.col("layer") == x).alias(x.lower())
     return decisions.rollup(family).agg(F.count("*").alias("total"), count("AUTO"), count("REVIEW"), count("NO_MATCH"))
+
+
+def richest_sheets(references: DataFrame, offers: DataFrame) -> DataFrame:
+    """references (reference_id, offre_ids, ...) with specs: the sheet with the most keys among its offers (offre_id, specs), the first in offre_ids of equals; empty without any."""
+    member = references.select("reference_id", F.posexplode("offre_ids").alias("_at", "offre_id"))
+    held = member.join(offers.where(F.size("specs") > 0).select("offre_id", "specs"), "offre_id")
+    best = held.groupBy("reference_id").agg(F.max_by("specs", F.struct(F.size("specs"), -F.col("_at"))).alias("specs"))
+    out = references.join(best, "reference_id", "left")
+    return out.withColumn("specs", F.coalesce("specs", F.create_map().cast(T.MapType(T.StringType(), T.StringType()))))
+
+
+#: Keys of a sheet that an embedded text tells, at most.
+TEXT_KEYS = 8
+
+
+def embedding_text(name: Column, brand: Column, specs: Column, hard_keys: tuple[str, ...], most: int = TEXT_KEYS) -> Column:
+    """name | brand | key=value ...: the first hard keys of a sheet that have a value, in the sheet's order, normalised."""
+    entries = F.filter(F.map_entries(F.coalesce(specs, F.create_map().cast("map<string,string>"))), lambda e: key_matches(e["key"], hard_keys))
+    told = F.filter(F.transform(entries, lambda e: F.struct(normalize_key(e["key"]).alias("k"), normalize_value(e["key"], e["value"]).alias("v"))), lambda e: e["v"] != "")
+    text = F.array_join(F.transform(F.slice(told, 1, most), lambda e: F.concat(e["k"], F.lit("="), e["v"])), " ")
+    return F.btrim(F.concat(F.btrim(F.coalesce(name, F.lit(""))), F.lit(" | "), F.btrim(F.coalesce(brand, F.lit(""))), F.lit(" | "), text))
+
+
+# The signals of a comment that are shown, and their names.
+CRITERIA = (("s_model", "model"), ("s_spec", "spec"), ("s_name", "name"))
+
+
+def criteria(candidates: DataFrame, key: str) -> DataFrame:
+    """key, critere, score, detail, justification: a row for each signal in a candidate's JSON comment (commentaire); none for one that cannot be read. detail: the models of both sides."""
+    data = F.when(F.get_json_object("commentaire", "$").isNotNull(), F.col("commentaire"))
+    field = lambda name: F.get_json_object(data, f"$.{name}")
+    names = lambda c: F.coalesce(F.concat(F.lit("['"), F.array_join(F.from_json(field(c), "array<string>"), "', '"), F.lit("']")), F.lit("None"))
+    detail = F.when(field("offer_models").isNotNull() | field("ref_models").isNotNull(), F.concat(F.lit("offer="), names("offer_models"), F.lit(" ref="), names("ref_models")))
+    each = F.array(*(F.struct(F.lit(label).alias("critere"), field(name).try_cast("double").alias("score"), (detail if label == "model" else F.lit(None).cast("string")).alias("detail")) for name, label in CRITERIA))
+    return candidates.select(key, F.explode(each).alias("_c"), field("justification").alias("justification")).where("_c.score is not null").select(key, "_c.*", "justification")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK) ->
 
     Null vectors are left out. A group of many items and queries is dealt out by blocks of both, each
     pair of blocks to one task, from which k rows a query come; the k best of these remain. So what
-    moves is the vectors, once for each block of the other side. Similarities are of 64-bit sums;
-    of equals the smaller item_id goes first.
+    moves is the vectors, once for each block of the other side. Similarities are of 64-bit sums, to nine
+    decimals; of equals the smaller item_id goes first.
     """
     def blocks(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
@@ -31,11 +32,14 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK) ->
 
     def work(table: pa.Table) -> pa.Table:
         ids, asks = table["id"].to_numpy(), table["asks"].to_numpy()
-        vectors = table["vector"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(np.float64)
+        lists = table["vector"].combine_chunks()
+        if len(set(pc.list_value_length(lists).to_pylist())) > 1:
+            raise ValueError("vectors of unequal lengths")
+        vectors = lists.flatten().to_numpy().reshape(len(ids), -1).astype(np.float64)
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)  # a zero vector is like nothing
         order = np.argsort(ids, kind="stable")
         a, b = order[asks[order]], order[~asks[order]]
-        like = vectors[a] @ vectors[b].T
+        like = np.round(vectors[a] @ vectors[b].T, 9)
         best = np.argsort(-like, axis=1, kind="stable")[:, :k]
         n = best.shape[1]
         return pa.table({"query_id": np.repeat(ids[a], n), "item_id": ids[b][best.ravel()], "similarity": np.take_along_axis(like, best, 1).ravel()})

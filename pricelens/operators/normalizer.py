@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import specs as S
 from ..functions.text import without_query
+from .dictionary import phrases_in
 
 # A sheet's keys that name the brand, without marks and spaces, and patterns of model codes in names, in order.
 BRAND_KEYS = ("marque", "brand", "fabricant", "constructeur", "marqueproduit", "marquedelarticle")
@@ -46,15 +47,11 @@ def model_of_name(name: Column, brand: Column) -> Column:
 def brands_in_names(offers: DataFrame, brands: DataFrame, key: str = "offre_id") -> DataFrame:
     """key, found: for each name, the longest of brands (marque) that stands in it at a word's beginning and ends at a mark, of equals the first in order.
 
-    Names are cut into runs of words, as many as a brand has at most, and joined to brands by the run, so no name meets all brands.
+    Names are cut into runs that are joined to brands by equality, so a name meets the brands that stand in it only.
     """
-    known = brands.select(F.col("marque").alias("found"), brand_name(F.col("marque")).alias("bare")).where("bare <> ''")
-    known = known.withColumn("first", F.regexp_extract("bare", r"^[^\s]+", 0)).withColumn("stem", F.regexp_extract("first", "^[a-z0-9]*", 0))
-    names = offers.where("nom is not null").select(key, F.lower("nom").alias("lower"))
-    words = names.withColumn("word", F.explode(F.array_distinct(F.filter(F.split("lower", r"\s+"), lambda x: x != "")))).withColumn("stem", F.regexp_extract("word", "^[a-z0-9]*", 0))
-    # A brand's first word and the name's word begin with the same letters and digits, if the brand has more than that it has a mark next.
-    met = words.join(known, "stem").where(F.expr(r"lower rlike concat('(?:^|\\s)\\Q', bare, '\\E(?:\\s|$|[^a-z0-9])')"))
-    best = met.groupBy(key).agg(F.min(F.struct(-F.length("bare"), "found")).alias("_b"))
+    known = brands.select(F.col("marque").alias("found"), brand_name(F.col("marque")).alias("phrase")).where("phrase <> ''")
+    met = phrases_in(offers.select(key, F.col("nom").alias("text")), known, key).join(known, "phrase")
+    best = met.groupBy(key).agg(F.min(F.struct(-F.length("phrase"), "found")).alias("_b"))
     return best.select(key, F.col("_b.found").alias("found"))
 
 

@@ -5,17 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_key
+from . import textindex
 from .nearest import nearest
 
 CHUNK, OVERLAP = 512, 64
 SEPARATORS = ("\n\n", "\n", ".", " ", "")
 RRF = 60
-# Words that full text does not ask for, accents folded.
-STOP = ("au", "aux", "avec", "ce", "ces", "dans", "de", "des", "du", "elle", "en", "et", "eux", "il", "je", "la", "le", "les", "leur", "lui", "ma", "mais", "me", "mes", "moi", "mon", "ne", "nos", "notre", "nous", "on", "ou", "par", "pas", "pour", "qu", "que", "qui", "sa", "se", "ses", "son", "sur", "ta", "te", "tes", "toi", "ton", "tu", "un", "une", "vos", "votre", "vous", "est", "a")
 
 
 def pieces(text: str, separators: tuple[str, ...]) -> Iterator[str]:
@@ -61,27 +59,9 @@ def chunked(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("document_id").cast("long").alias("document_id"), "content").mapInPandas(work, "document_id long, chunk_index int, content string")
 
 
-def lexemes(text: Column) -> Column:
-    """The words of a text that full text asks for: folded, of two letters at least, no stop words, without the endings of plurals."""
-    words = F.filter(F.split(normalize_key(text), " "), lambda w: (F.length(w) > 1) & ~w.isin(*STOP))
-    return F.transform(words, lambda w: F.regexp_replace(w, "(?<=...)(?:es|s|x|e)$", ""))
-
-
-def by_keywords(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, chunk_id, score, rank: the chunks of the query's tenant that hold all of its lexemes, by how often they do; of equals the smaller id.
-
-    queries: query_id, tenant_id, text; chunks: chunk_id, tenant_id, content. Counts of lexemes meet by
-    tenant and lexeme. Stems are shortened endings, and the score is the sum of logarithms of counts: a
-    text search's own dictionary and weights rank otherwise.
-    """
-    asked = queries.select("query_id", "tenant_id", F.array_distinct(lexemes(F.col("text"))).alias("wanted")).where(F.size("wanted") > 0)
-    words = asked.select("query_id", "tenant_id", F.size("wanted").alias("n"), F.explode("wanted").alias("lexeme"))
-    held = chunks.select("chunk_id", "tenant_id", F.explode(lexemes(F.col("content"))).alias("lexeme"))
-    held = held.join(words.select("tenant_id", "lexeme").distinct(), ["tenant_id", "lexeme"], "left_semi")
-    held = held.groupBy("chunk_id", "tenant_id", "lexeme").agg(F.count("*").alias("tf"))
-    met = words.join(held, ["tenant_id", "lexeme"]).groupBy("query_id", "chunk_id", "n").agg(F.count("*").alias("found"), F.round(F.sum(F.log1p("tf")), 9).alias("score"))
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return met.where("found = n").select("query_id", "chunk_id", "score").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+def by_keywords(queries: DataFrame, index: textindex.Index, k: int = 10) -> DataFrame:
+    """query_id, chunk_id, score, rank: the k best chunks of the query's tenant that hold all words of the query (query_id, tenant_id, text)."""
+    return textindex.search(queries, index, k)
 
 
 def by_meaning(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:

@@ -1,3 +1,3 @@
 """Named queries; importing the modules registers them."""
 
-from . import activity, analysis, assistant, backoffice, catalog, changes, documents, matching, parsing  # noqa: F401
+from . import activity, analysis, assistant, backoffice, catalog, changes, documents, matching, parsing, review, streams  # noqa: F401

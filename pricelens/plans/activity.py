@@ -21,7 +21,7 @@ def scoped(t: Tables, own: bool = False) -> DataFrame:
 
 
 def since(t: Tables, days: int):
-    return F.col("date_detection") >= t.as_of - F.expr(f"INTERVAL {days} DAYS")
+    return t.months(days) & (F.col("date_detection") >= t.as_of - F.expr(f"INTERVAL {days} DAYS"))
 
 
 @query(f"""
@@ -70,7 +70,7 @@ def series(t: Tables, rows: DataFrame, days: int) -> DataFrame:
     """A row for each of the last days, a column of counts for each type, zero where there is none."""
     last = F.to_date(t.as_of)
     calendar = t.spark.range(1).select(F.explode(F.sequence(F.date_sub(last, days - 1), last)).alias("jour"))
-    counts = rows.withColumn("jour", F.to_date("date_detection")).where(F.col("jour") >= F.date_sub(last, days - 1))
+    counts = rows.where(t.months(days)).withColumn("jour", F.to_date("date_detection")).where(F.col("jour") >= F.date_sub(last, days - 1))
     return calendar.join(counts.groupBy("jour").pivot("type_evenement", list(S.EVENT_TYPES)).count(), "jour", "left").na.fill(0)
 
 
@@ -113,13 +113,14 @@ FROM top CROSS JOIN (SELECT DISTINCT slug FROM kept) LEFT JOIN kept USING (categ
 def market_heatmap(t: Tables, limit: int = 10) -> DataFrame:
     """The other sites' events of 30 days, of each of the most active categories and each site, in hundredths of the
     greatest count, truncated; zero where there are none."""
-    cells = scoped(t).where(since(t, 30)).join(t.sites, "site_id").groupBy("categorie", "slug").agg(F.count("*").alias("n"))
-    top = cells.groupBy("categorie").agg(F.sum("n").alias("_total")).orderBy(F.desc("_total"), "categorie").limit(limit)
-    kept = cells.join(top.select("categorie"), "categorie")
-    grid = top.select("categorie").crossJoin(kept.select("slug").distinct())  # limit x sites
-    out = grid.join(kept, ["categorie", "slug"], "left").na.fill(0, ["n"])
-    most = F.max("n").over(Window.partitionBy())
-    return out.select("categorie", "slug", "n", F.floor(F.col("n") / most * 100).cast("long").alias("intensite"))
+    cells = scoped(t).where(since(t, 30)).groupBy("categorie", "site_id").agg(F.count("*").alias("n")).join(t.sites, "site_id")
+    # From here on a row a category, its sites (as many as there are) in a map.
+    rows = cells.groupBy("categorie").agg(F.sum("n").alias("_total"), F.map_from_entries(F.collect_list(F.struct("slug", "n"))).alias("_cells"))
+    top = rows.orderBy(F.desc("_total"), "categorie").limit(limit)
+    whole = Window.partitionBy()  # over limit rows
+    out = top.withColumn("_most", F.max(F.array_max(F.map_values("_cells"))).over(whole)).withColumn("_slugs", F.array_distinct(F.flatten(F.collect_list(F.map_keys("_cells")).over(whole))))
+    n = F.coalesce(F.element_at("_cells", F.col("slug")), F.lit(0).cast("long"))
+    return out.withColumn("slug", F.explode("_slugs")).select("categorie", "slug", n.alias("n"), F.floor(n / F.col("_most") * 100).cast("long").alias("intensite"))
 
 
 @query(f"SELECT categorie, count(*) AS n FROM {RECENT} GROUP BY categorie ORDER BY n DESC, categorie LIMIT 3")

@@ -120,10 +120,13 @@ def competitors(t: Tables) -> DataFrame:
     mine = t.tenant(1)[3]
     products = t.products.where(t.scope(1)).select("produit_id")
     scoped = t.current.join(products, "produit_id", "left_semi").withColumn("en_promo", F.col("prix_en_promotion").isNotNull())
-    own = scoped.where(F.col("site_id") == mine).groupBy("produit_id").agg(F.min("prix_original").alias("_own"))
-    other = scoped.where(F.col("site_id") != mine).groupBy("site_id", "produit_id").agg(F.min("prix_original").alias("_low"), F.count_if("en_promo").alias("promos"))
-    rows = other.join(own, "produit_id", "left").groupBy("site_id").agg(F.count_if(F.col("_low") < F.col("_own")).alias("moins_chers"), F.sum("promos").alias("promos"))
-    total = scoped.agg(F.greatest(F.countDistinct("produit_id"), F.lit(1))).scalar()
+    # A row a product: the lowest price and the promotions of each site (as many as there are sites).
+    cells = scoped.groupBy("produit_id", "site_id").agg(F.min("prix_original").alias("low"), F.count_if("en_promo").alias("promos"))
+    own = F.min(F.when(F.col("site_id") == mine, F.col("low")))
+    products = cells.groupBy("produit_id").agg(own.alias("_own"), F.collect_list(F.struct("site_id", "low", "promos")).alias("_sites"))
+    each = products.select("_own", F.explode("_sites").alias("_s"))
+    rows = each.groupBy("_s.site_id").agg(F.count_if(F.col("_s.low") < F.col("_own")).alias("moins_chers"), F.sum("_s.promos").alias("promos"))
+    total = F.greatest(scoped.agg(F.countDistinct("produit_id")).scalar(), F.lit(1))
     out = t.sites.where(F.col("site_id") != mine).join(rows, "site_id", "left").na.fill(0, ["moins_chers", "promos"])
     return out.select("site_id", "slug", "moins_chers", "promos", prices.intensity(F.col("moins_chers"), total).cast("long").alias("intensite"))
 
@@ -136,7 +139,7 @@ def position_history(t: Tables) -> DataFrame:
     """For each product in scope and day of the last 30 with a new price: 1 if the mean own one is cheaper, -1 if it is
     dearer, 0 between, null where one side has none."""
     price, own = F.col("prix_original").cast("double"), F.col("site_id") == t.tenant(1)[3]
-    recent = t.with_offer(t.snapshots).where(F.col("date_debut") >= t.as_of - F.expr("INTERVAL 30 DAYS"))
+    recent = t.with_offer(t.snapshots).where(t.months(30) & (F.col("date_debut") >= t.as_of - F.expr("INTERVAL 30 DAYS")))
     recent = recent.join(t.products.where(t.scope(1)).select("produit_id"), "produit_id", "left_semi")
     rows = recent.groupBy("produit_id", F.to_date("date_debut").alias("jour")).agg(F.avg(F.when(own, price)).alias("own"), F.avg(F.when(~own, price)).alias("comp"))
     where = position(F.col("own"), F.col("comp"))

@@ -113,11 +113,11 @@ def rule_triggers(t: Tables) -> DataFrame:
 @query(f"""
 SELECT categorie, round(avg(own), 6) AS own, round(avg(market), 6) AS market, count(*) AS n FROM (
   SELECT produit_id, min(categorie) AS categorie, CAST(min(CASE WHEN site_id = 0 THEN prix_original END) AS DOUBLE) AS own, avg(CASE WHEN site_id <> 0 THEN CAST(prix_original AS DOUBLE) END) AS market FROM fx_offer WHERE categorie_id IN (1, 2, 3) GROUP BY 1)
-WHERE own IS NOT NULL AND market IS NOT NULL GROUP BY categorie ORDER BY n DESC, categorie LIMIT 7""")
+WHERE own IS NOT NULL AND market IS NOT NULL GROUP BY categorie ORDER BY own DESC, categorie LIMIT 7""")
 def category_averages(t: Tables) -> DataFrame:
-    """Mean own and market prices of the seven categories with the most products."""
+    """Mean own and market prices of the seven categories with the highest own ones."""
     rows = site_rows(t).groupBy("categorie").agg(F.round(F.avg("own"), 6).alias("own"), F.round(F.avg("market"), 6).alias("market"), F.count("*").alias("n"))
-    return rows.orderBy(F.desc("n"), "categorie").limit(7)
+    return rows.orderBy(F.desc("own"), "categorie").limit(7)
 
 
 @query(f"SELECT least(100, CAST(floor(n / 5 + 0.5) AS BIGINT)) AS pression, CASE WHEN least(100, floor(n / 5 + 0.5)) > 70 THEN 'haute' WHEN least(100, floor(n / 5 + 0.5)) > 40 THEN 'moyenne' ELSE 'basse' END AS niveau FROM (SELECT count(*) AS n FROM {SCOPED} AND site_id <> 0 AND date_detection >= {LAST} - INTERVAL 7 DAY)")
@@ -138,10 +138,10 @@ def alert_inbox(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT run_id, CASE WHEN s < 3600 THEN 'il y a ' || CAST(floor(s / 60) AS BIGINT) || ' min' WHEN s < 86400 THEN 'il y a ' || CAST(floor(s / 3600) AS BIGINT) || 'h' WHEN s < 604800 THEN 'il y a ' || CAST(floor(s / 86400) AS BIGINT) || 'j' ELSE strftime(date_debut, '%-d/%m') END AS age,
-       CASE WHEN date_fin IS NULL THEN NULL WHEN date_fin + INTERVAL 24 HOUR < TIMESTAMP '2024-02-10 12:00:00' THEN TIMESTAMP '2024-02-11 12:00:00' ELSE date_fin + INTERVAL 24 HOUR END AS prochaine
-FROM (SELECT *, epoch(TIMESTAMP '2024-02-10 12:00:00') - epoch(date_debut) AS s FROM fx_session)""")
+SELECT run_id, CASE WHEN s < 3600 THEN 'il y a ' || CAST(floor(s / 60) AS BIGINT) || ' min' WHEN s < 86400 THEN 'il y a ' || CAST(floor(s / 3600) AS BIGINT) || 'h' WHEN s < 604800 THEN 'il y a ' || CAST(floor(s / 86400) AS BIGINT) || 'j' ELSE day(date_debut) || ' ' || ['janv.', 'févr.', 'mars', 'avr.', 'mai', 'juin', 'juil.', 'août', 'sept.', 'oct.', 'nov.', 'déc.'][month(date_debut)] END AS age,
+       CASE WHEN date_fin IS NULL THEN NULL WHEN date_fin + INTERVAL 24 HOUR < now THEN now + INTERVAL 24 HOUR ELSE date_fin + INTERVAL 24 HOUR END AS prochaine
+FROM (SELECT *, epoch(now) - epoch(date_debut) AS s FROM (SELECT *, max(date_debut) OVER () + INTERVAL 12 HOUR AS now FROM fx_session))""")
 def run_ages(t: Tables) -> DataFrame:
-    """How long ago each run began, seen from a fixed day, and when the next one is due."""
-    now = F.lit("2024-02-10 12:00:00").cast("timestamp_ntz")
+    """How long ago each run began, seen from twelve hours after the last, and when the next one is due."""
+    now = t.runs.agg(F.max("date_debut") + F.expr("INTERVAL 12 HOURS")).scalar()
     return t.runs.select("run_id", labels.age(F.col("date_debut"), now).alias("age"), labels.next_run(F.col("date_fin"), now).alias("prochaine"))

@@ -21,13 +21,13 @@ def double(c: str):
 @query("SELECT offre_id, run, date_debut, date_fin, nb_observations, CAST(prix_original AS DOUBLE) AS prix_original, CAST(prix_en_promotion AS DOUBLE) AS prix_en_promotion, stock_status FROM fx_snapshot")
 def snapshot_compaction(t: Tables) -> DataFrame:
     """All observations as validity intervals."""
-    return t.snapshots.select("offre_id", "run", "date_debut", "date_fin", "nb_observations", double("prix_original"), double("prix_en_promotion"), "stock_status")
+    return t.compacted.select("offre_id", "run", "date_debut", "date_fin", "nb_observations", double("prix_original"), double("prix_en_promotion"), "stock_status")
 
 
 @query("SELECT offre_id, run, type_evenement, CAST(valeur_avant AS DOUBLE) AS valeur_avant, CAST(valeur_apres AS DOUBLE) AS valeur_apres, date_detection FROM fx_event")
 def event_detection(t: Tables) -> DataFrame:
     """The event of each interval that has one."""
-    return t.events.select("offre_id", "run", "type_evenement", double("valeur_avant"), double("valeur_apres"), "date_detection")
+    return events.detect(t.compacted).select("offre_id", "run", "type_evenement", double("valeur_avant"), double("valeur_apres"), "date_detection")
 
 
 @query("SELECT categorie_id, categorie, count(DISTINCT produit_id) AS nb_produits FROM fx_offer WHERE categorie_id IN (1, 2, 3) GROUP BY ALL")
@@ -100,10 +100,9 @@ def price_history(t: Tables) -> DataFrame:
     """The price of each offer in scope, and whether it was on promotion, on each of the last days; null on days without one."""
     last = F.to_date(t.as_of)
     scoped = t.with_offer(t.snapshots).join(t.products.where(t.scope(1)).select("produit_id"), "produit_id", "left_semi")
-    active = intervals.daily_as_of(scoped, F.date_sub(last, SPAN), last)
-    days = scoped.select("offre_id").distinct().withColumn("jour", F.explode(F.sequence(F.date_sub(last, SPAN), last)))
+    days = intervals.calendar_as_of(scoped.select("offre_id", "run", "date_debut", "date_fin", "prix_original", "prix_en_promotion"), F.date_sub(last, SPAN), last)
     promo = F.coalesce(F.col("prix_en_promotion") < F.col("prix_original"), F.lit(False))
-    return days.join(active, ["offre_id", "jour"], "left").select("offre_id", "jour", double("prix_original").alias("prix"), F.when(F.col("prix_original").isNotNull(), promo).alias("en_promo"))
+    return days.select("offre_id", "jour", double("prix_original").alias("prix"), F.when(F.col("prix_original").isNotNull(), promo).alias("en_promo"))
 
 
 @query("SELECT c.categorie_id, c.categorie, count(DISTINCT produit_id) AS nb_produits FROM fx_category c LEFT JOIN fx_offer o ON o.categorie_id = c.categorie_id WHERE c.categorie_id NOT IN (1, 2, 3) GROUP BY ALL")

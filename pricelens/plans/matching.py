@@ -46,10 +46,36 @@ def near(t: Tables) -> DataFrame:
 WITH q AS (SELECT * FROM fx_listing WHERE site_id <> 0), r AS (SELECT * FROM fx_listing WHERE site_id = 0),
 pool AS (SELECT q.offre_id, r.offre_id AS reference_id, list_cosine_similarity(q.vector, r.vector) AS s FROM q JOIN r ON q.marque = r.marque AND q.categorie_id % 2 = r.categorie_id % 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY offre_id ORDER BY round(s, 9) DESC, reference_id) AS rank FROM pool)
-SELECT offre_id, count(*) AS n, round(min(s), 6) AS least, round(max(s), 6) AS most FROM ranked WHERE rank <= 15 GROUP BY offre_id""")
+SELECT offre_id, reference_id, round(round(s, 9), 6) AS s_semantic, rank FROM ranked WHERE rank <= 15""")
 def match_candidates(t: Tables) -> DataFrame:
     """The candidates of each offer: its brand's references in the categories of its family, the 15 nearest."""
-    return near(t).groupBy("offre_id").agg(F.count("*").alias("n"), F.round(F.min("s_semantic"), 6).alias("least"), F.round(F.max("s_semantic"), 6).alias("most"))
+    return near(t).select("offre_id", "reference_id", F.round("s_semantic", 6).alias("s_semantic"), "rank")
+
+
+#: The cascade in SQL over the listings: what each offer and reference is after normalisation, the pairs of match_candidates, common subsequences by a bit for each letter, and the score.
+CASCADE = """
+listed AS (SELECT l.offre_id, l.site_id, l.produit_id, l.marque, l.categorie_id, vector, cap, lower(replace(code, '-', '')) AS model, CASE WHEN site_id = 3 AND produit_id % 5 = 0 THEN cap * 2 ELSE cap END AS held,
+  array_to_string(list_sort(list_filter(string_split(l.marque || ' ' || p.nom || ' ' || code || ' ' || cap || CASE site_id WHEN 0 THEN 'Go' WHEN 1 THEN ' GB' WHEN 2 THEN 'gb' ELSE ' go' END, ' '), lambda x: x <> '')), ' ') AS words FROM fx_listing l JOIN fx_product p USING (produit_id)),
+pool AS (SELECT q.offre_id, r.offre_id AS reference_id, coalesce(round(list_cosine_similarity(q.vector, r.vector), 9), 0) AS sem, q.vector IS NULL OR r.vector IS NULL AS bare FROM listed q JOIN listed r ON q.site_id <> 0 AND r.site_id = 0 AND q.marque = r.marque AND q.categorie_id % 2 = r.categorie_id % 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY offre_id ORDER BY sem DESC, reference_id) AS rank FROM pool),
+text AS (SELECT DISTINCT words AS s FROM listed UNION SELECT DISTINCT model FROM listed),
+letter AS (SELECT s, CAST(ascii(substr(s, i::int, 1)) AS HUGEINT) AS c, sum(CAST(1 AS HUGEINT) << (i::int - 1)) AS mask FROM text, generate_series(1, 100) g(i) WHERE i <= length(s) GROUP BY ALL),
+masks AS (SELECT s, map_from_entries(list((c, mask))) AS m FROM letter GROUP BY s),
+pairs AS (SELECT DISTINCT q.words AS a, r.words AS b FROM ranked k JOIN listed q ON q.offre_id = k.offre_id JOIN listed r ON r.offre_id = k.reference_id WHERE rank <= 15 UNION SELECT DISTINCT q.model, r.model FROM ranked k JOIN listed q ON q.offre_id = k.offre_id JOIN listed r ON r.offre_id = k.reference_id WHERE rank <= 15),
+states AS (
+  SELECT a, b, list_reduce(list_prepend((CAST(1 AS HUGEINT) << length(a)) - 1, list_transform(string_split(b, ''), lambda x: CAST(ascii(x) AS HUGEINT))),
+    lambda s, c: ((s + (s & coalesce(m[c], 0))) | (s - (s & coalesce(m[c], 0)))) & ((CAST(1 AS HUGEINT) << length(a)) - 1)) AS state FROM pairs JOIN masks ON masks.s = pairs.a),
+ratios AS (SELECT a, b, 2.0::DOUBLE * (length(a) - bit_count(state)) / (length(a) + length(b)) AS ratio FROM states),
+signals AS (
+  SELECT k.offre_id, k.reference_id, k.rank, k.sem, m.ratio AS model, n.ratio AS name, CASE WHEN q.model = r.model THEN 0 ELSE 1 END + CASE WHEN q.held = r.held THEN 0 ELSE 1 END AS n_conflict, CASE WHEN q.held = r.held THEN 0 ELSE 1 END AS n_hard, q.cap <> r.cap AS other_capacity
+  FROM ranked k JOIN listed q ON q.offre_id = k.offre_id JOIN listed r ON r.offre_id = k.reference_id JOIN ratios m ON m.a = q.model AND m.b = r.model JOIN ratios n ON n.a = q.words AND n.b = r.words WHERE rank <= 15),
+one AS (SELECT *, (5 - n_conflict) / 5.0::DOUBLE AS spec, 0.40::DOUBLE * model + 0.25::DOUBLE * ((5 - n_conflict) / 5.0::DOUBLE) + 0.20::DOUBLE * sem + 0.15::DOUBLE * name AS t0 FROM signals),
+two AS (SELECT *, CASE WHEN n_hard >= 1 THEN greatest(0, t0 - CASE WHEN model >= 0.99 THEN least(n_hard * 0.07::DOUBLE, 0.20) ELSE least(n_hard * 0.15::DOUBLE, 0.45) END) ELSE t0 END AS t1 FROM one),
+three AS (SELECT *, CASE WHEN model < 0.68 THEN greatest(0, t1 - 0.25::DOUBLE) WHEN model < 0.95 THEN greatest(0, t1 - 0.10::DOUBLE) ELSE t1 END AS t2 FROM two),
+scored AS (SELECT *, round(CASE WHEN model >= 0.95 AND other_capacity THEN greatest(0, t2 - 0.30::DOUBLE) ELSE t2 END, 4) AS score FROM three),
+best AS (SELECT *, round(score - coalesce(lead(score) OVER w, 0), 4) AS margin, row_number() OVER w AS nth FROM scored WINDOW w AS (PARTITION BY offre_id ORDER BY score DESC, rank)),
+decided AS (
+  SELECT *, CASE WHEN score >= 0.74 AND model >= 0.97 AND margin >= 0.10 AND round(sem, 3) >= 0.75 THEN 'AUTO' WHEN score >= 0.32 THEN 'REVIEW' ELSE 'NO_MATCH' END AS layer FROM best WHERE nth = 1)"""
 
 
 def decisions(t: Tables) -> DataFrame:
@@ -57,13 +83,16 @@ def decisions(t: Tables) -> DataFrame:
     return matching.decided(matching.scored(near(t), offers, references))
 
 
-@query(None)
+@query(f"""WITH {CASCADE.strip()}
+SELECT offre_id, reference_id, score, round(model, 3) AS s_model, round(spec, 3) AS s_spec, round(name, 3) AS s_name, 5 AS n_common, n_conflict, n_hard, margin, layer,
+  CASE WHEN layer = 'REVIEW' AND score >= 0.74 THEN CASE WHEN model < 0.97 THEN 'model<0.97' WHEN margin < 0.10 THEN 'margin<0.1' WHEN round(sem, 3) < 0.75 THEN 'semantic<0.75' ELSE '' END ELSE '' END AS reason, false AS relaxed FROM decided""")
 def match_decisions(t: Tables) -> DataFrame:
     """The best reference of each offer, its score and margin, and whether it is linked, reviewed or dropped."""
     return decisions(t).select("offre_id", "reference_id", "score", "s_model", "s_spec", "s_name", "n_common", "n_conflict", "n_hard", "margin", "layer", "reason", "relaxed")
 
 
-@query(None)
+@query(f"""WITH {CASCADE.strip()}
+SELECT 100 + categorie_id % 2 AS family, count(*) AS total, count(*) FILTER (layer = 'AUTO') AS auto, count(*) FILTER (layer = 'REVIEW') AS review, count(*) FILTER (layer = 'NO_MATCH') AS no_match FROM decided JOIN fx_listing USING (offre_id) GROUP BY ROLLUP (100 + categorie_id % 2)""")
 def match_summary(t: Tables) -> DataFrame:
     """Offers of each layer, by family and in all."""
     placed = decisions(t).join(t.listings.select("offre_id", "categorie_id"), "offre_id").join(t.families.select("categorie_id", F.col("parent_id").alias("family")), "categorie_id")
@@ -94,7 +123,8 @@ def url_survivors(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT offre_id, marque AS brand, code AS modele, CASE WHEN site_id = 3 AND produit_id % 5 = 0 THEN cap * 2 ELSE cap END AS cap, categorie_id FROM fx_listing""")
+SELECT offre_id, marque AS brand, '{"Modèle":"' || code || '","ram":"' || CASE site_id WHEN 0 THEN held || ' Go' WHEN 1 THEN held || 'GB' WHEN 2 THEN held || ' gb' ELSE held * 1000 || ' Mo' END || '"}' AS specs, categorie_id
+FROM (SELECT *, CASE WHEN site_id = 3 AND produit_id % 5 = 0 THEN cap * 2 ELSE cap END AS held FROM fx_listing)""")
 def normalized_offers(t: Tables) -> DataFrame:
     """Every offer with brand, category and canonical sheet filled in. A third have no brand on their sheet, and take it from their name."""
     from ..operators import normalizer
@@ -105,7 +135,5 @@ def normalized_offers(t: Tables) -> DataFrame:
     keys = t.spark.createDataFrame([(str(s), k, v) for s in range(4) for k, v in (("Mémoire vive", "ram"), ("Modèle", "Modèle"))], "site string, key string, canonical string")
     places = t.spark.range(1, 7).select(F.explode(F.array(*(F.lit(str(s)) for s in range(4)))).alias("site"), F.concat(F.lit("http://shop/"), F.col("id").cast("string")).alias("url"), F.col("id").alias("categorie_id"))
     out = normalizer.normalize_offers(offers, brands, keys, places)
-    # Memory in MB on site 3 is told by thousands.
-    ram = F.regexp_extract(F.element_at("specs", F.lit("ram")), r"(\d+)", 1).cast("long")
-    size = F.when(F.element_at("specs", F.lit("ram")).contains("Mo"), F.expr("cast(regexp_extract(specs['ram'], '(\\\\d+)', 1) as long) div 1000")).otherwise(ram)
-    return out.select("offre_id", F.col("marque").alias("brand"), F.element_at("specs", F.lit("Modèle")).alias("modele"), size.alias("cap"), "categorie_id")
+    sheet = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("specs"))))
+    return out.select("offre_id", F.col("marque").alias("brand"), sheet.alias("specs"), "categorie_id")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 def upsert(table: DataFrame, incoming: DataFrame, key: str, order: str, mutable: Sequence[str]) -> DataFrame:
     """table with incoming rows of its columns: a known key takes the mutable columns of its last row (by order), a new one its last row.
-    Rows of a null key are left out."""
-    last = incoming.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*table.columns), order).alias("_new"))
+    A null order comes before all others. Rows of a null key are left out."""
+    last = incoming.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*table.columns), F.struct(F.col(order).isNotNull(), order)).alias("_new"))
     known = F.coalesce(F.col("_known"), F.lit(False))
     rows = table.withColumn("_known", F.lit(True)).join(last, key, "full")
     columns = [F.when(known & ((F.lit(c not in mutable)) | F.col("_new").isNull()), F.col(c)).otherwise(F.col(f"_new.{c}")).alias(c) for c in table.columns if c != key]

@@ -2,16 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-PRICES = ("prix_original", "prix_en_promotion")
-INTERVAL = "offre_id long, run long, date_debut timestamp, nb_observations long, prix_original double, prix_en_promotion double, stock_status string, avant_original double, avant_promotion double, avant_stock string"
-STATE = "run long, date_debut timestamp, nb long, original double, promotion double, stock string"
 
 
 def first_seen(urls: DataFrame, key: str, at: str, late: str = "1 hour") -> DataFrame:
@@ -19,39 +11,6 @@ def first_seen(urls: DataFrame, key: str, at: str, late: str = "1 hour") -> Data
     return urls.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def changes(observations: DataFrame) -> DataFrame:
-    """A row for each observation that opens a new interval of its offer, with the values of the interval before and
-    nb_observations, the observations that one had (0 for an offer's first).
-
-    observations: offre_id, observed_at, prix_original, prix_en_promotion (double), stock_status. The state
-    of an offer is its open interval. Rows of one batch are taken by time; one that comes in a later
-    batch counts as observed then, as there is no order between batches.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("observed_at", kind="stable")
-        held = state.getOption
-        out = []
-        for r in rows.itertuples(index=False):
-            now = tuple(None if pd.isna(x) else x for x in (r.prix_original, r.prix_en_promotion, r.stock_status))
-            if held is not None and like(held[3:], now):
-                held = (*held[:2], held[2] + 1, *held[3:])
-                continue
-            run = held[0] + 1 if held else 1
-            out.append((key[0], run, r.observed_at, held[2] if held else 0, *now, *(held[3:] if held else (None, None, None))))
-            held = (run, r.observed_at, 1, *now)
-        state.update(held)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in INTERVAL.split(", ")])
-
-    return observations.groupBy("offre_id").applyInPandasWithState(step, INTERVAL, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def like(a: tuple, b: tuple) -> bool:
-    """Prices equal at two decimals, and the same stock; two nulls are equal, one is not."""
-    same = lambda x, y: (x is None) == (y is None) and (x is None or round(x, 2) == round(y, 2))
-    return same(a[0], b[0]) and same(a[1], b[1]) and a[2] == b[2]
-
-
 def activity(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events of each type in each window of event time; a window is out once the watermark has passed it."""
     return events.withWatermark("date_detection", late).groupBy(F.window("date_detection", window).alias("fenetre"), "type_evenement").agg(F.count("*").alias("n"))

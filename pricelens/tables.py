@@ -3,16 +3,22 @@
 A site is a region, a product a part, a category a part type, an offer a product on a site; an order
 line is one observation of an offer's price and stock. Dates come from the data: ``as_of`` is the
 last observation.
+
+Intervals and events are derived once for each state of the input and kept in the shared folder, by
+month; queries over some days read the months that these fall in.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas as S
+from . import storage
 from .operators import events, intervals
 
 #: tenant_id, plan, profile, own_site_id, own_brand, categories in scope.
@@ -48,6 +54,14 @@ LISTING = {
 }
 
 
+def bound(text: str, names: tuple[str, ...]) -> str:
+    """text with the names of tables as arguments of spark.sql()."""
+    text = text.replace("{", "{{").replace("}", "}}")
+    for n in names:
+        text = re.sub(rf"\bFROM {n}\b", f"FROM {{_{n}}}", text)
+    return text
+
+
 class Tables:
     """The domain's tables over one folder of the driver's tables."""
 
@@ -57,6 +71,10 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def sql(self, text: str, *names: str) -> DataFrame:
+        """A query over some of the driver's tables."""
+        return self.spark.sql(bound(text, names), **{f"_{n}": self.raw(n) for n in names})
+
     @cached_property
     def sites(self) -> DataFrame:
         """site_id, slug."""
@@ -92,13 +110,41 @@ class Tables:
         )
 
     @cached_property
-    def snapshots(self) -> DataFrame:
+    def compacted(self) -> DataFrame:
         """Compacted observations: offre_id, run, date_debut, date_fin, nb_observations, prices, stock_status."""
         return intervals.compact(self.observations, order=("observed_at", "k1", "k2"))
 
+    def kept(self, name: str, inputs: tuple[str, ...], build: Callable[[str], object]) -> str:
+        """The path of what build(path) derives from these of the driver's tables, once for each state of them."""
+        return storage.kept(self.spark, name, [f"{self.folder}/{x}.parquet" for x in inputs], build)
+
+    @cached_property
+    def history(self) -> str:
+        """The path of the kept intervals and events, by month, and of the current intervals."""
+        month = lambda c: F.date_format(c, "yyyyMM").cast("int").alias("mois")
+
+        def build(path: str) -> None:
+            snapshots = storage.written(self.compacted.select("*", month("date_debut")).repartitionByRange("mois", "offre_id"), f"{path}/snapshots", "mois")
+            # An event needs the interval before, so it is told of whole histories.
+            storage.written(events.detect(snapshots.drop("mois")).select("*", month("date_detection")).repartitionByRange("mois", "offre_id"), f"{path}/events", "mois")
+            storage.written(intervals.open_intervals(snapshots.drop("mois")), f"{path}/current")
+            storage.written(self.raw("lineitem").agg(F.max("l_shipdate").cast("timestamp_ntz").alias("as_of")), f"{path}/as_of")
+
+        return self.kept("history", ("lineitem", "part", "supplier", "nation"), build)
+
+    def months(self, days: int) -> Column:
+        """Whether mois is of the last days."""
+        return F.col("mois") >= F.date_format(self.as_of - F.expr(f"INTERVAL {days} DAYS"), "yyyyMM").cast("int")
+
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        """The kept intervals, with the month in which they begin."""
+        return self.spark.read.parquet(f"{self.history}/snapshots")
+
     @cached_property
     def events(self) -> DataFrame:
-        return self.with_offer(events.detect(self.snapshots))
+        """The kept events, with their month."""
+        return self.with_offer(self.spark.read.parquet(f"{self.history}/events"))
 
     @staticmethod
     def with_offer(df: DataFrame) -> DataFrame:
@@ -115,7 +161,7 @@ class Tables:
     @cached_property
     def current(self) -> DataFrame:
         """Open interval of each offer."""
-        return self.with_offer(intervals.open_intervals(self.snapshots))
+        return self.with_offer(self.spark.read.parquet(f"{self.history}/current"))
 
     @cached_property
     def offers(self) -> DataFrame:
@@ -124,11 +170,12 @@ class Tables:
 
     @cached_property
     def runs(self) -> DataFrame:
-        """run_id, site_id, date_debut, date_fin, statut: forty runs, one a day."""
-        n = F.col("id")
-        begin = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + n.cast("int") * F.expr("INTERVAL 1 DAY")
+        """run_id, site_id, date_debut, date_fin, statut: the runs that read page_stats, each begun run_id days after its first page."""
+        n = F.col("run_id")
+        first = self.raw("orders").groupBy((1 + F.col("o_orderkey") % 40).cast("long").alias("run_id")).agg(F.min("o_orderdate").cast("timestamp_ntz").alias("_first"))
+        begin = F.col("_first") + n.cast("int") * F.expr("INTERVAL 1 DAY")
         state = F.when(n % 7 == 0, "ECHOUE").when(n % 11 == 0, "EN_COURS").otherwise("TERMINE")
-        return self.spark.range(1, 41).select(n.alias("run_id"), (n % 5).alias("site_id"), begin.alias("date_debut"), F.when(n % 11 != 0, begin + n.cast("int") * F.expr("INTERVAL 10 MINUTE")).alias("date_fin"), state.alias("statut"))
+        return first.select("run_id", (n % 5).alias("site_id"), begin.alias("date_debut"), F.when(n % 11 != 0, begin + n.cast("int") * F.expr("INTERVAL 10 MINUTE")).alias("date_fin"), state.alias("statut"))
 
     @cached_property
     def page_stats(self) -> DataFrame:
@@ -160,7 +207,7 @@ class Tables:
     @cached_property
     def as_of(self) -> Column:
         """The last observation, a one-row subquery of the plan."""
-        return self.raw("lineitem").agg(F.max("l_shipdate").cast("timestamp_ntz")).scalar()
+        return self.spark.read.parquet(f"{self.history}/as_of").scalar()
 
     def tenant(self, tenant_id: int) -> tuple:
         return next(t for t in TENANTS if t[0] == tenant_id)
@@ -208,8 +255,8 @@ FROM fx_head WHERE row_no = 1""",
     "fx_offer": "SELECT s.*, prix_en_promotion IS NOT NULL AS en_promo, nom, marque, categorie_id, categorie, groupe_id FROM fx_snapshot s JOIN fx_product USING (produit_id) WHERE date_fin IS NULL",
     "fx_offer_run": "SELECT *, 1 + offre_id % 40 AS run_id FROM fx_offer",
     "fx_session": """
-SELECT n AS run_id, n % 5 AS site_id, TIMESTAMP '2024-01-01' + to_days(CAST(n AS INTEGER)) AS date_debut, CASE WHEN n % 11 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(n AS INTEGER)) + to_minutes(n * 10) END AS date_fin,
-       CASE WHEN n % 7 = 0 THEN 'ECHOUE' WHEN n % 11 = 0 THEN 'EN_COURS' ELSE 'TERMINE' END AS statut FROM (SELECT unnest(range(1, 41)) AS n)""",
+SELECT n AS run_id, n % 5 AS site_id, d + to_days(CAST(n AS INTEGER)) AS date_debut, CASE WHEN n % 11 <> 0 THEN d + to_days(CAST(n AS INTEGER)) + to_minutes(n * 10) END AS date_fin,
+       CASE WHEN n % 7 = 0 THEN 'ECHOUE' WHEN n % 11 = 0 THEN 'EN_COURS' ELSE 'TERMINE' END AS statut FROM (SELECT CAST(1 + o_orderkey % 40 AS BIGINT) AS n, CAST(min(o_orderdate) AS TIMESTAMP) AS d FROM orders GROUP BY 1)""",
     "fx_stat": """
 SELECT 1 + o_orderkey % 40 AS run_id, 'site' || o_orderkey % 5 AS site, 'http://shop/c' || o_custkey % 20 AS category_url, 1 + o_orderkey % 4 AS page_number,
        CASE WHEN o_custkey % 9 = 0 THEN 0 ELSE o_custkey % 25 END AS products_found, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS has_next_page,

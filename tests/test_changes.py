@@ -5,7 +5,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from pricelens import sinks, streaming
-from pricelens.operators import intervals
 
 
 def test_sinks(spark, tmp_path):
@@ -25,18 +24,10 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "b")).groupBy("layer").count().count() == 3
 
 
-def test_streamed_changes_are_the_intervals(spark, tmp_path):
-    t0 = dt.datetime(2024, 1, 1)
-    rows = [(o, t0 + dt.timedelta(hours=h), p, q, s) for o, h, p, q, s in [(1, 0, 10.0, None, "IN_STOCK"), (1, 1, 10.001, None, "IN_STOCK"), (1, 2, 11.0, None, "IN_STOCK"), (1, 3, 11.0, 9.0, "IN_STOCK"), (2, 0, None, None, "RUPTURE"), (2, 5, None, None, None), (2, 6, None, None, None)]]
-    schema = "offre_id long, observed_at timestamp, prix_original double, prix_en_promotion double, stock_status string"
-    spark.createDataFrame(rows[:2], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    spark.createDataFrame(rows[2:], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    query = streaming.changes(stream).writeStream.format("memory").queryName("changes").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = {(r.offre_id, r.run, r.date_debut, r.prix_original) for r in spark.table("changes").collect()}
-    batch = intervals.compact(spark.createDataFrame(rows, schema), prices=("prix_original", "prix_en_promotion"))
-    assert got == {(r.offre_id, r.run, r.date_debut, r.prix_original) for r in batch.collect()} and len(got) == 5
+def test_null_order_is_the_first(spark):
+    table = spark.createDataFrame([(1, "old", 1.0)], "k long, nom string, prix double")
+    rows = spark.createDataFrame([(2, "new", 3.0, None), (1, "a", 5.0, None), (1, "b", 6.0, 1), (None, "c", 1.0, 1)], "k long, nom string, prix double, seen long")
+    assert sorted(map(tuple, sinks.upsert(table, rows, "k", "seen", ["prix"]).collect())) == [(1, "old", 6.0), (2, "new", 3.0)]
 
 
 def test_seen_once(spark, tmp_path):

@@ -94,9 +94,14 @@ def test_candidates_relax_and_nearest_blocks(spark):
     references = spark.createDataFrame([(7, "a", 11, [1.0, 0.1]), (8, "a", 12, [0.0, 1.0])], row.replace("offre_id", "reference_id"))
     categories = spark.createDataFrame([(10, 1), (11, 1), (12, 2), (30, None)], "categorie_id long, parent_id long")
     got = {(r.offre_id, r.reference_id): r.relaxed for r in matching.candidates(offers, references, categories).collect()}
-    assert got == {(1, 7): False, (2, 8): True, (2, 7): True}
+    assert got == {(1, 7): False, (2, 8): True, (2, 7): True, (4, 7): False}
     left = matching.unmatched(offers, spark.createDataFrame([(1,), (2,)], "offre_id long"), references)
     assert {r.offre_id: r.reason for r in left.collect()} == {3: "no_brand_in_referentiel", 4: "no_candidate_after_prefilter"}
+    bare = references.withColumn("vector", F.when(F.col("reference_id") == 7, F.col("vector")))
+    rows = {(r.offre_id, r.reference_id): r.s_semantic for r in matching.candidates(offers, bare, categories).collect()}
+    assert set(rows) == {(1, 7), (2, 7), (4, 7)} and rows[4, 7] == 0.0  # a reference without vector stands back behind one with
+    rows = {(r.offre_id, r.reference_id): (r.s_semantic, r.rank) for r in matching.candidates(offers, references.withColumn("vector", F.lit(None).cast("array<double>")), categories).collect()}
+    assert rows == {(1, 7): (0.0, 1), (2, 7): (0.0, 1), (2, 8): (0.0, 2), (4, 7): (0.0, 1)}
     q = spark.createDataFrame([(i, "g", [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "query_id long, group string, vector array<double>")
     items = q.select(F.col("query_id").alias("item_id"), "group", "vector")
     rows = lambda block: sorted((r.query_id, r.rank, r.item_id, round(r.similarity, 9)) for r in nearest.nearest(q, items, 3, block).collect())

@@ -1,9 +1,12 @@
 """Chunks, full text, fusion and page parsing against hand-written cases."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from pricelens.functions import pages
-from pricelens.operators import retrieval
+from pricelens.operators import retrieval, textindex
 
 
 def test_chunks(spark):
@@ -34,7 +37,47 @@ def test_fusion(spark):
 def test_full_text_wants_all_words(spark):
     chunks = spark.createDataFrame([(1, 1, "Les prix des téléphones baissent"), (2, 1, "Le prix du téléphone : prix en baisse"), (3, 2, "prix téléphone"), (4, 1, "prix")], "chunk_id long, tenant_id long, content string")
     queries = spark.createDataFrame([(7, 1, "Prix du téléphone"), (8, 1, "de la")], "query_id long, tenant_id long, text string")
-    assert [(r.query_id, r.chunk_id, r["rank"]) for r in retrieval.by_keywords(queries, chunks).orderBy("rank").collect()] == [(7, 2, 1), (7, 1, 2)]
+    assert [(r.query_id, r.chunk_id, r["rank"]) for r in retrieval.by_keywords(queries, textindex.build(chunks)).orderBy("rank").collect()] == [(7, 2, 1), (7, 1, 2)]
+
+
+def ts_rank(places):
+    """The published formula, over the places of each lexeme."""
+    if len(places) == 1:
+        return sum(0.1 / (j + 1) ** 2 for j in range(len(places[0]))) / 1.64493406685
+    left = 1.0
+    for i, a in enumerate(places):
+        for b in places[:i]:
+            for p in a:
+                for q in b:
+                    w = abs(p - q)
+                    left *= 1 if w == 0 else 1 - math.sqrt(0.01 * (1e-30 if w > 100 else 1 / (1.005 + 0.05 * math.exp(w / 1.5 - 2))))
+    return 1 - left
+
+
+def test_ranks_of_the_index(spark, tmp_path):
+    rng = random.Random(1)
+    vocabulary = ["prix", "promo", "stock", "rupture", "télé", "de", "la", "x"]
+    rows = [(k, k % 2, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 300)))) for k in range(30)] + [(30, 0, None), (31, 1, "")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, tenant_id long, content string")
+    index = textindex.build(chunks.where("chunk_id < 20"), str(tmp_path / "index"))
+    textindex.add(index, chunks.where("chunk_id >= 20"))
+    queries = [(1, 0, "prix promo"), (2, 1, "rupture stock prix"), (3, 0, "la télé"), (4, 1, "x de la"), (5, 0, "absent prix")]
+    got = {(r.query_id, r.chunk_id): r.score for r in textindex.search(spark.createDataFrame(queries, "query_id long, tenant_id long, text string"), index, 100).collect()}
+    stem = lambda w: {"prix": "pri", "télé": "tel"}.get(w, w)
+    wanted = {}
+    for q, tenant, text in queries:
+        asked = {stem(w) for w in text.split()} - {"de", "la", "x"}
+        for i, t, content in rows:
+            said = [stem(w) for w in (content or "").split()]
+            places = [[p + 1 for p, w in enumerate(said) if w == x] for x in sorted(asked)]
+            if t == tenant and asked and all(places):
+                wanted[q, i] = ts_rank(places)
+    assert set(got) == set(wanted) and all(abs(got[k] - wanted[k]) < 1e-8 for k in got) and len(got) > 20
+    near = spark.createDataFrame([(9, 0, "stock de la rupture")], "query_id long, tenant_id long, text string")
+    found = {r.chunk_id for r in textindex.phrase(near, index).collect()}
+    assert found == {i for i, t, c in rows if t == 0 and any(a == "stock" and b == "rupture" for a, b in zip((c or "").split(), (c or "").split()[3:]))}
+    plan = textindex.search(near, index)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#").replace("PartitionFilters: [isnotnull(bucket", "PartitionFilters: [bucket") or "PartitionFilters: [" in plan
 
 
 HTML = """<a href="/a">A</a><a class="x" href="/a">again</a><a href="#top">t</a><a href="javascript:f()">j</a><a href="http://b/c?page=4">C &amp; D</a>
