@@ -56,14 +56,14 @@ def next_page(url: Column, html: Column) -> Column:
 
 
 def spec_sheet(html: Column) -> Column:
-    """A page's sheet as a map: names and values of a definition list, up to the shorter of both, else rows of a table with <th> and <td>. Blank names are left out; of equal names the first stays."""
+    """A page's sheet as a map: names and values of a definition list, up to the shorter of both, else rows of a table with <th> and <td>. Blank names and values are left out; of equal names the last stays."""
     cells = lambda tag: F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1)), text_of)
 
     def paired(names: Column, values: Column) -> Column:
         rows = let(F.struct(names.alias("names"), values.alias("values")), lambda x: F.transform(
             F.slice(x["names"], F.lit(1), F.least(F.size(x["names"]), F.size(x["values"]))), lambda k, i: F.struct(k.alias("key"), F.get(x["values"], i).alias("value"))
         ))
-        return F.map_from_entries(one_for_each(F.filter(rows, lambda r: r["key"].isNotNull()), "key"))
+        return F.map_from_entries(one_for_each(F.filter(rows, lambda r: r["key"].isNotNull() & r["value"].isNotNull()), "key", last=True))
 
     return let(paired(cells("dt"), cells("dd")), lambda listed: F.when(F.size(listed) > 0, listed).otherwise(paired(cells("th"), cells("td"))))
 

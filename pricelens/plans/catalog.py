@@ -37,9 +37,9 @@ def product_categories(t: Tables) -> DataFrame:
 
 
 @query("SELECT marque, count(DISTINCT produit_id) AS nb_produits FROM fx_offer WHERE categorie_id IN (1, 2, 3) AND marque ILIKE '%#1%' GROUP BY marque ORDER BY nb_produits DESC, marque LIMIT 50")
-def product_brands(t: Tables) -> DataFrame:
+def product_brands(t: Tables, q: str = "#1") -> DataFrame:
     """The 50 brands in scope with the most products, among those whose name has a text."""
-    rows = t.offers.where(t.scope(1) & F.col("marque").ilike("%#1%")).groupBy("marque").agg(F.countDistinct("produit_id").alias("nb_produits"))
+    rows = t.offers.where(t.scope(1) & F.col("marque").ilike(f"%{q}%")).groupBy("marque").agg(F.countDistinct("produit_id").alias("nb_produits"))
     return rows.orderBy(F.desc("nb_produits"), "marque").limit(50)
 
 
@@ -49,8 +49,10 @@ SELECT produit_id, nom, marque, categorie, count(DISTINCT site_id) AS nb_sites,
 FROM fx_offer JOIN fx_site USING (site_id) WHERE categorie_id IN (1, 2, 3) GROUP BY ALL"""
 
 
-def listed(t: Tables) -> DataFrame:
+def listed(t: Tables, categorie_id: int | None = None) -> DataFrame:
     rows = t.offers.where(t.scope(1)).join(t.sites, "site_id")
+    if categorie_id:
+        rows = rows.where(F.col("categorie_id") == categorie_id)
     return rows.groupBy("produit_id", "nom", "marque", "categorie").agg(
         F.countDistinct("site_id").alias("nb_sites"),
         F.min("prix_original").cast("double").alias("prix_min"),
@@ -155,3 +157,106 @@ WHERE date_debut < m AND (date_fin IS NULL OR date_fin >= m - INTERVAL 90 DAY)""
 def offer_history(t: Tables) -> DataFrame:
     """Intervals that touch the last 90 days."""
     return intervals.overlapping(t.snapshots, t.as_of - F.expr("INTERVAL 90 DAYS"), t.as_of).select("offre_id", "run", "date_debut", "date_fin", double("prix_original").alias("prix"))
+
+
+#: Orders of the product list by name; another name gives that of product names.
+SORTS = {"prix_asc": (F.asc_nulls_last, "prix_min"), "ecart_desc": (F.desc_nulls_last, "_spread"), "recent": (F.desc_nulls_last, "derniere")}
+
+
+def products_page(t: Tables, q: str | None = None, brands: tuple[str, ...] = (), categorie_id: int | None = None, en_promo: bool = False, min_sites: int | None = None, low: float | None = None, high: float | None = None, sort: str = "", page: int = 1, limit: int = 20) -> DataFrame:
+    """A page of products in scope under any of the filters, with the total and the number of pages. Brands are taken in any case; low and high ask that the range of prices overlaps theirs; of equals the smaller number."""
+    rows = listed(t, categorie_id).withColumn("_spread", F.col("prix_max") - F.col("prix_min"))
+    if q:
+        rows = rows.where(F.col("nom").ilike(f"%{q}%") | F.col("marque").ilike(f"%{q}%"))
+    if brands:
+        rows = rows.where(F.lower("marque").isin(*(b.lower() for b in brands)))
+    if en_promo:
+        rows = rows.where("has_promo")
+    if min_sites:
+        rows = rows.where(F.col("nb_sites") >= min_sites)
+    if low is not None:
+        rows = rows.where(F.col("prix_max") >= low)
+    if high is not None:
+        rows = rows.where(F.col("prix_min") <= high)
+    order, column = SORTS.get(sort, (F.asc_nulls_last, "nom"))
+    total = rows.agg(F.count("*")).scalar()
+    out = rows.orderBy(order(column), "produit_id").offset((page - 1) * limit).limit(limit)
+    return out.drop("_spread").withColumn("total", total).withColumn("pages", F.ceil(F.col("total") / limit))
+
+
+def page_sql(rows: str, where: str, order: str, page: int, limit: int) -> str:
+    return f"SELECT *, count(*) OVER () AS total, CAST(ceil(count(*) OVER () / {limit}) AS BIGINT) AS pages FROM ({rows}) WHERE {where} ORDER BY {order} LIMIT {limit} OFFSET {(page - 1) * limit}"
+
+
+@query(page_sql(LIST, "lower(marque) IN ('brand#1', 'brand#2', 'brand#13') AND has_promo AND prix_max >= 905 AND prix_min <= 1050", "prix_min ASC NULLS LAST, produit_id", 1, 20))
+def products_by_price(t: Tables) -> DataFrame:
+    """Products of three brands on promotion within a range of prices, the cheapest first."""
+    return products_page(t, brands=("BRAND#1", "brand#2", "Brand#13"), en_promo=True, low=905, high=1050, sort="prix_asc")
+
+
+@query(page_sql(LIST.replace("IN (1, 2, 3)", "IN (1, 2, 3) AND categorie_id = 2"), "(nom ILIKE '%a%' OR marque ILIKE '%a%') AND nb_sites >= 2", "derniere DESC NULLS LAST, produit_id", 2, 10))
+def products_recent(t: Tables) -> DataFrame:
+    """The second page of a category's products whose name or brand has a text, those seen last first."""
+    return products_page(t, q="a", categorie_id=2, min_sites=2, sort="recent", page=2, limit=10)
+
+
+@query(page_sql(LIST, "true", "nom ASC NULLS LAST, produit_id", 3, 20))
+def products_by_name(t: Tables) -> DataFrame:
+    """The third page of all products, by name."""
+    return products_page(t, page=3)
+
+
+def all_offers(t: Tables) -> DataFrame:
+    """Every offer that was ever seen, with its product, and the site of its run and its open interval where there are any: offers of runs after the 30th have no run here, every 17th no open interval."""
+    seen = t.with_offer(t.current.select("offre_id")).join(t.products, "produit_id").withColumn("run_id", 1 + F.col("offre_id") % 40).drop("site_id")
+    runs = t.runs.where("run_id <= 30").select("run_id", F.col("site_id").alias("run_site"))
+    sites = t.sites.select(F.col("site_id").alias("run_site"), "slug")
+    now = t.snapshots.where("date_fin is null and offre_id % 17 <> 0").select("offre_id", "prix_original", "prix_en_promotion", "stock_status")
+    return seen.join(runs, "run_id", "left").join(sites, "run_site", "left").join(now, "offre_id", "left")
+
+
+def offers_page(t: Tables, q: str | None = None, marque: str | None = None, categorie_id: int | None = None, site_id: int | None = None, en_promo: bool = False, en_stock: bool = False, sort: str = "nom", order: str = "asc", page: int = 1, limit: int = 50) -> DataFrame:
+    """A page of offers in scope under any of the filters, by name or current price, nulls last in either direction; with the total and the number of pages."""
+    rows = all_offers(t).where(t.scope(1))
+    if q:
+        rows = rows.where(F.col("nom").ilike(f"%{q}%") | F.col("marque").ilike(f"%{q}%"))
+    if marque:
+        rows = rows.where(F.col("marque") == marque)
+    if categorie_id:
+        rows = rows.where(F.col("categorie_id") == categorie_id)
+    if site_id is not None:
+        rows = rows.where(F.col("run_site") == site_id)
+    if en_promo:
+        rows = rows.where(F.col("prix_en_promotion").isNotNull())
+    if en_stock:
+        rows = rows.where(F.col("stock_status") == "IN_STOCK")
+    column = "prix_original" if sort == "prix" else "nom"
+    total = rows.agg(F.count("*")).scalar()
+    out = rows.orderBy(F.desc_nulls_last(column) if order == "desc" else F.asc_nulls_last(column), "offre_id").offset((page - 1) * limit).limit(limit)
+    return out.select("offre_id", "nom", "marque", "slug", double("prix_original").alias("prix"), "stock_status", total.alias("total"), F.ceil(total / limit).alias("pages"))
+
+
+ALL_OFFERS = """
+SELECT o.offre_id, o.nom, o.marque, slug, CAST(s.prix_original AS DOUBLE) AS prix, s.stock_status, s.prix_en_promotion AS _promo, r.site_id AS _site
+FROM fx_offer_run o LEFT JOIN (SELECT run_id, site_id FROM fx_session WHERE run_id <= 30) r USING (run_id) LEFT JOIN fx_site w ON w.site_id = r.site_id
+LEFT JOIN (SELECT * FROM fx_snapshot WHERE date_fin IS NULL AND offre_id % 17 <> 0) s ON s.offre_id = o.offre_id WHERE o.categorie_id IN (1, 2, 3)"""
+
+
+@query(f"SELECT * EXCLUDE (_promo, _site) FROM ({page_sql(ALL_OFFERS, 'true', 'prix DESC NULLS LAST, offre_id', 1, 50)})")
+def offers_by_price(t: Tables) -> DataFrame:
+    """The dearest offers, those without a run or a current price with them."""
+    return offers_page(t, sort="prix", order="desc")
+
+
+@query(f"SELECT * EXCLUDE (_promo, _site) FROM ({page_sql(ALL_OFFERS, 'prix IS NULL', 'nom ASC NULLS LAST, offre_id', 1, 1000)})")
+def offers_unpriced(t: Tables) -> DataFrame:
+    """Offers without an open interval: the left join keeps them, without price and stock."""
+    rows = all_offers(t).where(t.scope(1) & F.col("prix_original").isNull())
+    total = rows.agg(F.count("*")).scalar()
+    return rows.orderBy("nom", "offre_id").limit(1000).select("offre_id", "nom", "marque", "slug", double("prix_original").alias("prix"), "stock_status", total.alias("total"), F.ceil(total / 1000).alias("pages"))
+
+
+@query(f"""SELECT * EXCLUDE (_promo, _site) FROM ({page_sql(ALL_OFFERS, "(nom ILIKE '%e%' OR marque ILIKE '%e%') AND _site = 2 AND _promo IS NOT NULL AND stock_status = 'IN_STOCK'", 'nom ASC NULLS LAST, offre_id', 1, 20)})""")
+def offers_filtered(t: Tables) -> DataFrame:
+    """Offers of one site on promotion and in stock whose name or brand has a text, by name."""
+    return offers_page(t, q="e", site_id=2, en_promo=True, en_stock=True, limit=20)
