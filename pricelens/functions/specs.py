@@ -87,6 +87,20 @@ def normalize_value(key: Column, value: Column) -> Column:
     )
 
 
+# What the older matcher folds: units of storage, watts, inches, and names of no system.
+OLD_UNITS = (("go", "gb"), ("to", "tb"), ("mo", "mb"))
+NO_SYSTEM = r"(?i)free[\s_\-]?dos|sans\s+os\b|no\s+os\b"
+
+
+def old_value(value: Column) -> Column:
+    """A spec's value as the older matcher spells it. Null gives an empty text."""
+    v = F.lower(F.btrim(F.coalesce(value, F.lit(""))))
+    for unit, name in (*OLD_UNITS, *((n, n) for _, n in OLD_UNITS)):
+        v = F.regexp_replace(v, rf"(\d+(?:\.\d+)?)\s*{unit}\b", f"$1{name}")
+    v = F.regexp_replace(F.regexp_replace(v, r"(\d+(?:\.\d+)?)\s*watts?\b", "$1w"), r"(\d+(?:\.\d+)?)\s*(?:pouces?|inch(?:es)?)\b", '$1"')
+    return F.btrim(F.regexp_replace(F.regexp_replace(v, NO_SYSTEM, "freedos"), r"(\d+)\.0\b", "$1"))
+
+
 def normalize_specs(specs: Column, exclude: Iterable[str]) -> Column:
     """A sheet (a map) with normalised keys and values, without excluded keys and values that say nothing. Of keys that become one, the last wins."""
     exclude = tuple(exclude)

@@ -81,3 +81,9 @@ def whole_days(start: Column, end: Column) -> Column:
     """Full days between two timestamps, 0 at least."""
     seconds = F.unix_seconds(end.cast("timestamp")) - F.unix_seconds(start.cast("timestamp"))
     return F.greatest(F.lit(0), F.floor(seconds / 86400))
+
+
+def backfilled(offers: DataFrame, at: Column, key: str = "offre_id", stock: str = "stock_status") -> DataFrame:
+    """The first interval of each offer's history, open, from its present prices and stock: key, run, date_debut, date_fin, nb_observations, prices and stock."""
+    prices = [p for p in PRICES if p in offers.columns]
+    return offers.select(key, F.lit(1).alias("run"), at.alias("date_debut"), F.lit(None).cast("timestamp_ntz").alias("date_fin"), F.lit(1).alias("nb_observations"), *prices, stock)

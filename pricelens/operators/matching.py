@@ -121,14 +121,14 @@ def candidates(offers: DataFrame, references: DataFrame, categories: DataFrame,
     return tight.unionByName(loose).select(F.col("query_id").alias("offre_id"), F.col("item_id").alias("reference_id"), F.col("similarity").alias("s_semantic"), "rank", "relaxed")
 
 
-def scored(pairs: DataFrame, offers: DataFrame, references: DataFrame, profile: Profile = COMPUTERS) -> DataFrame:
+def scored(pairs: DataFrame, offers: DataFrame, references: DataFrame, profile: Profile = COMPUTERS, weights: tuple[float, ...] = (MODEL, SPEC, SEMANTIC, NAME)) -> DataFrame:
     """pairs with s_model, s_spec, s_name, n_common, n_conflict, n_hard and score. offers and references hold nom, specs (normalised) and models."""
     take = lambda df, key, side: df.select(key, *(F.col(c).alias(f"{c}_{side}") for c in ("nom", "specs", "models")))
     rows = pairs.join(take(offers, "offre_id", "a"), "offre_id").join(take(references, "reference_id", "b"), "reference_id")
     rows = rows.withColumn("s_model", best_ratio("models_a", "models_b")).withColumn("s_name", token_ratio("nom_a", "nom_b")).withColumn("_spec", spec_facts(F.col("specs_a"), F.col("specs_b"), profile.hard_keys))
     m, hard = F.col("s_model"), F.col("_spec.n_hard")
     less = lambda x, by: F.greatest(F.lit(0.0), x - by)
-    total = MODEL * m + SPEC * F.col("_spec.score") + SEMANTIC * F.col("s_semantic") + NAME * F.col("s_name")
+    total = weights[0] * m + weights[1] * F.col("_spec.score") + weights[2] * F.col("s_semantic") + weights[3] * F.col("s_name")
     off = lambda each, most: F.least(hard * each, F.lit(most))
     total = F.when(hard >= 1, less(total, F.when(m >= SAME_MODEL, off(*HARD_SAME)).otherwise(off(*HARD_OTHER)))).otherwise(total)
     both = (F.size("models_a") > 0) & (F.size("models_b") > 0)
@@ -139,6 +139,17 @@ def scored(pairs: DataFrame, offers: DataFrame, references: DataFrame, profile:
     return rows.select(*pairs.columns, F.round("s_model", 3).alias("s_model"), m.alias("_model"), F.round("_spec.score", 3).alias("s_spec"), F.round("s_name", 3).alias("s_name"), "_spec.n_common", "_spec.n_conflict", "_spec.n_hard", F.round(total, 4).alias("score"))
 
 
+# The weights of model, specs and names, and the thresholds, of the matcher of one stage.
+ONE_STAGE = (0.50, 0.35, 0.0, 0.15)
+ONE_STAGE_PROFILE = Profile("une étape", COMPUTERS.hard_keys, COMPUTERS.exclude_keys, True, COMPUTERS.skip, 0.72, 0.30, 0.0, 0.0)
+
+
+def one_stage(offers: DataFrame, references: DataFrame, profile: Profile = ONE_STAGE_PROFILE) -> DataFrame:
+    """The older matcher: each offer against all references of its brand, without vectors, and a decision without margin. Of equal scores the smaller reference."""
+    pairs = offers.select("offre_id", "marque_slug").join(references.select("reference_id", "marque_slug"), "marque_slug").select("offre_id", "reference_id", F.lit(0.0).alias("s_semantic"), F.col("reference_id").alias("rank"), F.lit(True).alias("relaxed"))
+    return decided(scored(pairs, offers, references, profile, ONE_STAGE), profile)
+
+
 def decided(rows: DataFrame, profile: Profile = COMPUTERS) -> DataFrame:
     """The best row of scored() for each offer, with margin (to the runner-up), layer (AUTO, REVIEW or NO_MATCH) and reason. Of equal scores the nearer goes first."""
     by = Window.partitionBy("offre_id").orderBy(F.desc("score"), "rank")

@@ -176,3 +176,53 @@ def brand_list(t: Tables) -> DataFrame:
     """Brands and their offers, whatever the case of the names."""
     counts = t.offers.groupBy(F.lower("marque").alias("_m")).agg(F.count("*").alias("nb_offres"))
     return t.products.select("marque").distinct().join(counts, F.lower("marque") == F.col("_m"), "left").select("marque", F.coalesce("nb_offres", F.lit(0).cast("long")).alias("nb_offres"))
+
+
+@query("""
+SELECT s.site_id, slug, coalesce(n, 0) AS nb_offres, last_scrape_at FROM fx_site s LEFT JOIN (SELECT site_id, max(date_debut) AS last_scrape_at FROM fx_session GROUP BY 1) r USING (site_id)
+LEFT JOIN (SELECT r.site_id, count(*) AS n FROM fx_offer_run o JOIN fx_session r USING (run_id) GROUP BY 1) o USING (site_id)""")
+def source_list(t: Tables) -> DataFrame:
+    """Each site with the offers of its runs and the beginning of the last one."""
+    seen = with_run(t).select("run_id").groupBy("run_id").agg(F.count("*").alias("_n"))
+    rows = t.runs.join(seen, "run_id", "left").groupBy("site_id").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("nb_offres"), F.max("date_debut").alias("last_scrape_at"))
+    return t.sites.join(rows, "site_id", "left").select("site_id", "slug", F.coalesce("nb_offres", F.lit(0)).cast("long").alias("nb_offres"), "last_scrape_at")
+
+
+@query("""
+SELECT site_id, run_id, statut, coalesce(n, 0) AS offres_collectees, CAST(epoch(date_fin) - epoch(date_debut) AS BIGINT) AS duree_s FROM (
+  SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY date_debut DESC NULLS LAST, run_id DESC) AS r FROM fx_session) LEFT JOIN (SELECT run_id, count(*) AS n FROM fx_offer_run GROUP BY 1) USING (run_id) WHERE r <= 10""")
+def source_runs(t: Tables, limit: int = 10) -> DataFrame:
+    """The last runs of each site with their offers and duration."""
+    by = Window.partitionBy("site_id").orderBy(F.desc_nulls_last("date_debut"), F.desc("run_id"))
+    last = t.runs.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= limit)
+    seen = with_run(t).groupBy("run_id").agg(F.count("*").alias("_n"))
+    seconds = F.unix_seconds(F.col("date_fin").cast("timestamp")) - F.unix_seconds(F.col("date_debut").cast("timestamp"))
+    return last.join(seen, "run_id", "left").select("site_id", "run_id", "statut", F.coalesce("_n", F.lit(0)).cast("long").alias("offres_collectees"), seconds.alias("duree_s"))
+
+
+@query(f"SELECT CASE WHEN offre_id % 9 > 0 THEN slug END AS site, count(*) AS stale_count FROM fx_offer_run JOIN fx_site USING (site_id) WHERE run_id <> {LATEST} GROUP BY 1")
+def stale_by_site(t: Tables) -> DataFrame:
+    """Offers that the last run did not see, by the site that their raw JSON tells; every ninth tells none."""
+    raw = F.when(F.col("offre_id") % 9 > 0, F.to_json(F.struct(F.col("slug").alias("site_id"), "nom"))).otherwise('{"nom": "x"}')
+    rows = with_run(t).where(F.col("run_id") != latest(t)).join(t.sites, "site_id")
+    return rows.groupBy(F.get_json_object(raw, "$.site_id").alias("site")).agg(F.count("*").alias("stale_count"))
+
+
+@query("""
+SELECT days, site_id, slug, count(*) AS total_runs, count(*) FILTER (statut = 'TERMINE') AS successful, count(*) FILTER (statut = 'ECHOUE') AS failed, max(date_debut) AS last_run_at
+FROM fx_session JOIN fx_site USING (site_id), (SELECT unnest([7, 30]) AS days) WHERE date_debut >= (SELECT max(date_debut) FROM fx_session) - to_days(CAST(days AS INTEGER)) GROUP BY ALL""")
+def site_runs_recent(t: Tables) -> DataFrame:
+    """Runs of each site in the last 7 and 30 days, seen from the last one, and how they ended."""
+    last = t.runs.agg(F.max("date_debut")).scalar()
+    rows = t.runs.join(t.sites, "site_id").withColumn("days", F.explode(F.array(F.lit(7), F.lit(30)))).where(F.col("date_debut") >= last - F.make_interval(days=F.col("days")))
+    state = lambda x: F.count_if(F.col("statut") == x)
+    return rows.groupBy("days", "site_id", "slug").agg(F.count("*").alias("total_runs"), state("TERMINE").alias("successful"), state("ECHOUE").alias("failed"), F.max("date_debut").alias("last_run_at"))
+
+
+@query("SELECT offre_id, 1 AS run, max(observed_at) AS date_debut, NULL::TIMESTAMP AS date_fin, 1 AS nb_observations, CAST(arg_max(prix_original, (observed_at, k1, k2)) AS DOUBLE) AS prix_original, arg_max(stock_status, (observed_at, k1, k2)) AS stock_status FROM fx_obs GROUP BY offre_id")
+def backfilled_snapshots(t: Tables) -> DataFrame:
+    """One open interval for each offer as it was seen last, as for a history that has to begin anew."""
+    from ..operators import intervals
+
+    last = t.observations.groupBy("offre_id").agg(F.max_by(F.struct("prix_original", "prix_en_promotion", "stock_status", "observed_at"), F.struct("observed_at", "k1", "k2")).alias("_v")).select("offre_id", "_v.*")
+    return intervals.backfilled(last, F.col("observed_at")).select("offre_id", "run", "date_debut", "date_fin", "nb_observations", F.col("prix_original").cast("double").alias("prix_original"), "stock_status")

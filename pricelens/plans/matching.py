@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import specs, text
-from ..operators import matching
+from ..operators import matching, normalizer
 from ..registry import query
 from ..tables import Tables
 
@@ -78,6 +78,11 @@ decided AS (
   SELECT *, CASE WHEN score >= 0.74 AND model >= 0.97 AND margin >= 0.10 AND round(sem, 3) >= 0.75 THEN 'AUTO' WHEN score >= 0.32 THEN 'REVIEW' ELSE 'NO_MATCH' END AS layer FROM best WHERE nth = 1)"""
 
 
+#: The matcher of one stage: all of the brand's references, other weights and thresholds, no vectors and no margin.
+ONE_STAGE = CASCADE.replace("coalesce(round(list_cosine_similarity(q.vector, r.vector), 9), 0) AS sem", "0.0::DOUBLE AS sem").replace(" AND q.categorie_id % 2 = r.categorie_id % 2", "").replace("rank <= 15", "true")
+ONE_STAGE = ONE_STAGE.replace("0.40::DOUBLE * model", "0.50::DOUBLE * model").replace("0.25::DOUBLE * ((5", "0.35::DOUBLE * ((5").replace("score >= 0.74 AND model >= 0.97 AND margin >= 0.10 AND round(sem, 3) >= 0.75", "score >= 0.72 AND model >= 0.97").replace("score >= 0.32", "score >= 0.30")
+
+
 def decisions(t: Tables) -> DataFrame:
     offers, references = offers_and_references(t)
     return matching.decided(matching.scored(near(t), offers, references))
@@ -91,6 +96,14 @@ def match_decisions(t: Tables) -> DataFrame:
     return decisions(t).select("offre_id", "reference_id", "score", "s_model", "s_spec", "s_name", "n_common", "n_conflict", "n_hard", "margin", "layer", "reason", "relaxed")
 
 
+@query(f"""WITH {ONE_STAGE.strip()}
+SELECT offre_id, reference_id, score, round(model, 3) AS s_model, round(name, 3) AS s_name, n_hard, layer FROM decided""")
+def one_stage_decisions(t: Tables) -> DataFrame:
+    """The older matcher's decision on each offer."""
+    offers, references = offers_and_references(t)
+    return matching.one_stage(offers, references).select("offre_id", "reference_id", "score", "s_model", "s_name", "n_hard", "layer")
+
+
 @query(f"""WITH {CASCADE.strip()}
 SELECT 100 + categorie_id % 2 AS family, count(*) AS total, count(*) FILTER (layer = 'AUTO') AS auto, count(*) FILTER (layer = 'REVIEW') AS review, count(*) FILTER (layer = 'NO_MATCH') AS no_match FROM decided JOIN fx_listing USING (offre_id) GROUP BY ROLLUP (100 + categorie_id % 2)""")
 def match_summary(t: Tables) -> DataFrame:
@@ -103,11 +116,9 @@ def match_summary(t: Tables) -> DataFrame:
 SELECT offre_id, min(offre_id) OVER (PARTITION BY categorie_id, marque, cap, couleur, groupe_id) AS survivor FROM fx_listing WHERE site_id = 0""")
 def offer_duplicates(t: Tables) -> DataFrame:
     """For each offer of a site, the first with its category, brand and sheet (the model left out): what is not its own survivor goes."""
-    from ..operators.normalizer import first_of_alike
-
     rows = t.listings.where("site_id = 0")
     sheet = F.map_filter(F.map_concat("fiche", F.create_map(F.lit("groupe"), F.col("groupe_id").cast("string"))), lambda k, v: k != "Modèle")
-    return first_of_alike(rows, "offre_id", F.col("categorie_id"), F.col("marque"), sheet).select("offre_id", "survivor")
+    return normalizer.first_of_alike(rows, "offre_id", F.col("categorie_id"), F.col("marque"), sheet).select("offre_id", "survivor")
 
 
 @query("""
@@ -115,25 +126,55 @@ SELECT url, min_by(offre_id, (CASE WHEN produit_id % 2 = 0 THEN 0 ELSE 1 END, of
 FROM (SELECT 'http://shop/' || groupe_id AS url, * FROM fx_listing) GROUP BY url""")
 def url_survivors(t: Tables) -> DataFrame:
     """The one offer that stays of each url: one with a product (here: an even one) before one without, then the least id."""
-    from ..operators.normalizer import one_for_each_url
-
     rows = t.listings.withColumn("url", F.concat(F.lit(" http://shop/"), F.col("groupe_id").cast("string"), F.lit(" ")))
-    ranked = one_for_each_url(rows, "url", "offre_id", F.when(F.col("produit_id") % 2 == 0, F.col("produit_id")), F.col("fiche"))
+    ranked = normalizer.one_for_each_url(rows, "url", "offre_id", F.when(F.col("produit_id") % 2 == 0, F.col("produit_id")), F.col("fiche"))
     return ranked.where("rank = 1").select(F.btrim("url").alias("url"), "offre_id", F.col("copies").alias("n"))
 
 
-@query("""
-SELECT offre_id, marque AS brand, '{"Modèle":"' || code || '","ram":"' || CASE site_id WHEN 0 THEN held || ' Go' WHEN 1 THEN held || 'GB' WHEN 2 THEN held || ' gb' ELSE held * 1000 || ' Mo' END || '"}' AS specs, categorie_id
-FROM (SELECT *, CASE WHEN site_id = 3 AND produit_id % 5 = 0 THEN cap * 2 ELSE cap END AS held FROM fx_listing)""")
-def normalized_offers(t: Tables) -> DataFrame:
-    """Every offer with brand, category and canonical sheet filled in. A third have no brand on their sheet, and take it from their name."""
-    from ..operators import normalizer
-
+def raw_offers(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Offers as they were read, and the brands, keys and places that they are normalised by."""
     offers = t.listings.withColumn("fiche", F.when(F.col("produit_id") % 3 == 0, F.map_filter("fiche", lambda k, v: k != "Marque")).otherwise(F.col("fiche")))
     offers = offers.select("offre_id", "nom", "fiche", F.col("site_id").cast("string").alias("site"), F.concat(F.lit("http://shop/"), F.col("categorie_id").cast("string"), F.lit("?page=2")).alias("category_url"), F.lit(None).cast("string").alias("marque"), F.lit(None).cast("long").alias("categorie_id"))
     brands = t.products.select("marque").distinct()
     keys = t.spark.createDataFrame([(str(s), k, v) for s in range(4) for k, v in (("Mémoire vive", "ram"), ("Modèle", "Modèle"))], "site string, key string, canonical string")
     places = t.spark.range(1, 7).select(F.explode(F.array(*(F.lit(str(s)) for s in range(4)))).alias("site"), F.concat(F.lit("http://shop/"), F.col("id").cast("string")).alias("url"), F.col("id").alias("categorie_id"))
-    out = normalizer.normalize_offers(offers, brands, keys, places)
+    return offers, brands, keys, places
+
+
+@query("""
+SELECT offre_id, marque AS brand, '{"Modèle":"' || code || '","ram":"' || CASE site_id WHEN 0 THEN held || ' Go' WHEN 1 THEN held || 'GB' WHEN 2 THEN held || ' gb' ELSE held * 1000 || ' Mo' END || '"}' AS specs, categorie_id
+FROM (SELECT *, CASE WHEN site_id = 3 AND produit_id % 5 = 0 THEN cap * 2 ELSE cap END AS held FROM fx_listing)""")
+def normalized_offers(t: Tables) -> DataFrame:
+    """Every offer with brand, category and canonical sheet filled in. A third have no brand on their sheet, and take it from their name."""
+    out = normalizer.normalize_offers(*raw_offers(t))
     sheet = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("specs"))))
     return out.select("offre_id", F.col("marque").alias("brand"), sheet.alias("specs"), "categorie_id")
+
+
+@query("""
+SELECT offre_id, marque AS brand, '{"Modèle":"' || code || '","ram":"' || CASE site_id WHEN 0 THEN held || ' Go' WHEN 1 THEN held || 'GB' WHEN 2 THEN held || ' gb' ELSE held * 1000 || ' Mo' END || '"}' AS specs, categorie_id
+FROM (SELECT *, CASE WHEN site_id = 3 AND produit_id % 5 = 0 THEN cap * 2 ELSE cap END AS held FROM fx_listing) WHERE site_id = 1 AND produit_id % 13 <> 5""")
+def resumed_normalisation(t: Tables) -> DataFrame:
+    """The offers of one site normalised by a stage that is lost after two of its four lots and run again; those whose sheet cannot be read are put aside."""
+    from .. import storage
+    from ..operators import stages
+
+    raw, brands, keys, places = raw_offers(t)
+    lots: list[int] = []
+
+    def work(lot: DataFrame) -> DataFrame:
+        lots.append(1)
+        if len(lots) == 3:
+            raise InterruptedError("the run is lost")
+        bad = F.expr("offre_id div 10 % 13 = 5")
+        good = normalizer.normalize_offers(lot.where(~bad), brands, keys, places)
+        told = good.select("offre_id", F.col("marque").alias("brand"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("specs")))).alias("specs"), "categorie_id", F.lit(None).cast("string").alias("reason"))
+        return told.unionByName(lot.where(bad).select("offre_id", F.lit("no sheet").alias("reason")), allowMissingColumns=True)
+
+    stage = stages.Stage(t.spark, storage.shared_folder(t.spark, "normalise"), "offre_id", "brand string, specs string, categorie_id long", 1)
+    asked = normalizer.missing(raw.where("site = '1'").withColumn("specs", F.lit(None).cast("map<string,string>"))).drop("specs")
+    try:
+        stage.run(asked, work, 4)
+    except InterruptedError:
+        stage.run(asked, work, 4)
+    return stage.done().select(F.col("offre_id").cast("long").alias("offre_id"), "brand", "specs", "categorie_id")
