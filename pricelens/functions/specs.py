@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import one_for_each
+from .arrays import let, one_for_each
 from .text import normalize_key, slug
 
 # Phrases that mark a spec key as one of a profile's keys.
@@ -34,6 +34,9 @@ GENERIC = ("autres", "autre", "n/a", "na", "—", "-", "non défini", "non defin
 # Words in names that look like model codes, and the beginnings of processor codes.
 NOT_MODELS = ("USB", "USB2", "USB3", "USB4", "HDMI", "HDMI2", "RGB", "ARGB", "LED", "OLED", "AMOLED", "FHD", "UHD", "QHD", "WQHD", "WFHD", "WUXGA", "UWQHD", "IPS", "TFT", "TN", "VA", "MVA", "SSD", "HDD", "SSHD", "NVME", "DDR3", "DDR4", "DDR5", "PCIe", "PCIE", "WIFI", "WIFI6", "LAN", "NFC", "OTG", "AC", "DC", "DP", "DVI", "VGA", "4G", "5G", "3G", "GEN3", "GEN4", "GEN5")
 PROCESSOR = r"^(intel|amd|ryzen|coreultra|corei\d|corei|core\d|i[3579]|celeron|pentium|athlon|xeon|snapdragon|rtx|gtx|rx\d|radeon|geforce)"
+# Patterns of a capacity and of a model code in a name.
+CAPACITY = r"(?i)\b(\d+(?:\.\d+)?\s*(?:go|gb|to|tb|mo|mb))\b"
+CODE = r"\b([A-Z][A-Z0-9\-]*\d[A-Z0-9\-]*)\b"
 MODEL_KEYS = ("Modèle", "modèle", "Modele", "modele", "Model", "model")
 
 
@@ -47,13 +50,25 @@ def key_matches(key: Column, wanted: Iterable[str]) -> Column:
     return (bare != "") & found
 
 
+def phrases(wanted: Iterable[str]) -> list[str]:
+    """The normalised phrases that mark a key as one of the wanted ones."""
+    return list(dict.fromkeys(p for w in wanted for p in SYNONYMS.get(w, (w.replace("_", " "),))))
+
+
+def key_matches_any(key: Column, told: Column) -> Column:
+    """key_matches() for an array of phrases in a column."""
+    bare = normalize_key(key)
+    return (bare != "") & F.exists(told, lambda p: F.contains(bare, p) | (F.size(F.array_except(F.split(p, " "), F.split(bare, " "))) == 0))
+
+
 def number(x: Column) -> Column:
     """A number's text: whole ones bare, others with up to six digits and no zeros at the end."""
-    whole = F.floor(F.log10(F.greatest(F.abs(x), F.lit(1e-300)))).cast("int")
-    digits = F.greatest(F.lit(0), 5 - whole)
-    scale = F.pow(F.lit(10.0), digits)
-    short = F.call_function("format_number", F.round(x * scale) / scale, F.lit("0.##########"))
-    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(short)
+    def of(x: Column) -> Column:
+        digits = F.greatest(F.lit(0), 5 - F.floor(F.log10(F.greatest(F.abs(x), F.lit(1e-300)))).cast("int"))
+        short = let(F.pow(F.lit(10.0), digits), lambda scale: F.call_function("format_number", F.round(x * scale) / scale, F.lit("0.##########")))
+        return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(short)
+
+    return let(x, of)
 
 
 def normalize_value(key: Column, value: Column) -> Column:
@@ -61,29 +76,47 @@ def normalize_value(key: Column, value: Column) -> Column:
 
     They are tried in this order; 1000 GB are 1 TB, 1000 MB 1 GB, 1000 MHz 1 GHz. A bare number of 4 to 120 under a screen's key is in inches.
     """
-    s = F.lower(F.btrim(F.coalesce(value, F.lit(""))))
-    s = F.btrim(F.regexp_replace(F.regexp_replace(s, r"(\d),(\d)", "$1.$2"), r"\s+", " "))
-    names = F.create_map(*(F.lit(x) for pair in RESOLUTIONS.items() for x in pair))
+    bare = F.lower(F.btrim(F.coalesce(value, F.lit(""))))
+    bare = F.btrim(F.regexp_replace(F.regexp_replace(bare, r"(\d),(\d)", "$1.$2"), r"\s+", " "))
+    screen = F.rlike(F.lower(F.coalesce(key, F.lit(""))), F.lit(SCREEN))
+    return let(bare, lambda s: spelt(s, screen))
+
+
+# Patterns of sizes in a value, in the order in which they are tried, of a screen's key, and of watts.
+WIDE = r"(\d+)\s*[x×]\s*(\d+)"
+STORE = r"(?i)(\d+(?:\.\d+)?)\s*(go|gb|to|tb|mo|mb)\b"
+CLOCK = r"(?i)(\d+(?:\.\d+)?)\s*(ghz|mhz)\b"
+INCH = r"(?i)(\d+(?:\.\d+)?)\s*(?:pouces?\b|inch(?:es)?\b|in\b|\"|'')"
+SCREEN = "ecran|pouce|diagonal|taille.?ecran|screen|display"
+WATTS = r"(\d+(?:\.\d+)?)\s*watts?\b"
+
+
+def spelt(s: Column, screen: Column) -> Column:
+    """A value that is trimmed and in lower case in its one spelling; screen: whether its key is a screen's."""
     part = lambda pattern, i: F.regexp_extract(s, pattern, i)
     figure = lambda pattern: part(pattern, 1).try_cast("double")
-    wide, store, clock, inch = r"(\d+)\s*[x×]\s*(\d+)", r"(?i)(\d+(?:\.\d+)?)\s*(go|gb|to|tb|mo|mb)\b", r"(?i)(\d+(?:\.\d+)?)\s*(ghz|mhz)\b", r"(?i)(\d+(?:\.\d+)?)\s*(?:pouces?\b|inch(?:es)?\b|in\b|\"|'')"
-    unit = F.replace(F.lower(part(store, 2)), F.lit("o"), F.lit("b"))
-    size = figure(store)
-    even = (size >= 1000) & (size % 1000 == 0)
-    stored = F.when((unit == "gb") & even, F.concat(number(size / 1000), F.lit("tb"))).when((unit == "mb") & even, F.concat(number(size / 1000), F.lit("gb"))).otherwise(F.concat(number(size), unit))
-    speed = figure(clock)
-    clocked = F.when((part(clock, 2) == "mhz") & (speed >= 1000), F.concat(number(speed / 1000), F.lit("ghz"))).otherwise(F.concat(number(speed), part(clock, 2)))
+    whole = lambda i: part(WIDE, i).cast("decimal(38,0)").cast("string")
+
+    def stored(x: Column) -> Column:
+        even = (x["size"] >= 1000) & (x["size"] % 1000 == 0)
+        kilo = lambda unit: F.concat(number(x["size"] / 1000), F.lit(unit))
+        return F.when((x["unit"] == "gb") & even, kilo("tb")).when((x["unit"] == "mb") & even, kilo("gb")).otherwise(F.concat(number(x["size"]), x["unit"]))
+
+    def clocked(x: Column) -> Column:
+        return F.when((x["unit"] == "mhz") & (x["size"] >= 1000), F.concat(number(x["size"] / 1000), F.lit("ghz"))).otherwise(F.concat(number(x["size"]), x["unit"]))
+
+    sized = lambda pattern, unit: F.struct(figure(pattern).alias("size"), unit.alias("unit"))
+    names = F.create_map(*(F.lit(x) for pair in RESOLUTIONS.items() for x in pair))
     bare = s.try_cast("double")
-    screen = F.rlike(F.lower(F.coalesce(key, F.lit(""))), F.lit("ecran|pouce|diagonal|taille.?ecran|screen|display"))
     return (
         F.when(s == "", "")
         .when(F.map_contains_key(names, s), F.element_at(names, s))
-        .when(s.rlike(wide), F.concat(part(wide, 1).cast("decimal(38,0)").cast("string"), F.lit("x"), part(wide, 2).cast("decimal(38,0)").cast("string")))
-        .when(s.rlike(store), stored)
-        .when(s.rlike(clock), clocked)
-        .when(s.rlike(inch), F.concat(number(figure(inch)), F.lit("in")))
+        .when(s.rlike(WIDE), F.concat(whole(1), F.lit("x"), whole(2)))
+        .when(s.rlike(STORE), let(sized(STORE, F.replace(F.lower(part(STORE, 2)), F.lit("o"), F.lit("b"))), stored))
+        .when(s.rlike(CLOCK), let(sized(CLOCK, part(CLOCK, 2)), clocked))
+        .when(s.rlike(INCH), F.concat(number(figure(INCH)), F.lit("in")))
         .when(screen & bare.between(4.0, 120.0), F.concat(number(bare), F.lit("in")))
-        .otherwise(F.btrim(F.regexp_replace(s, r"(\d+(?:\.\d+)?)\s*watts?\b", "$1w")))
+        .otherwise(F.btrim(F.regexp_replace(s, WATTS, "$1w")))
     )
 
 
@@ -125,7 +158,7 @@ def model_slugs(specs: Column, name: Column, from_name: bool = False, skip: Iter
     good = lambda x: x.isNotNull() & (x != "") & ~x.rlike(PROCESSOR)
     told = F.filter(F.array(model_slug(held(("gtin", "GTIN"))), model_slug(held(MODEL_KEYS))), good)
     if from_name:
-        words = F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(r"\b([A-Z][A-Z0-9\-]*\d[A-Z0-9\-]*)\b"), F.lit(1))
+        words = F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(CODE), F.lit(1))
         codes = F.transform(F.filter(words, lambda x: ~x.isin(*NOT_MODELS, *(w.upper() for w in skip))), model_slug)
         told = F.when(F.size(told) > 0, told).otherwise(F.filter(codes, lambda x: good(x) & (F.length(x) >= 2)))
     return F.array_distinct(told)
@@ -133,7 +166,7 @@ def model_slugs(specs: Column, name: Column, from_name: bool = False, skip: Iter
 
 def capacities(name: Column) -> Column:
     """The distinct capacities in a name, in one spelling."""
-    found = F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(r"(?i)\b(\d+(?:\.\d+)?\s*(?:go|gb|to|tb|mo|mb))\b"), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(CAPACITY), F.lit(1))
     return F.array_distinct(F.transform(found, lambda x: normalize_value(F.lit("capacite"), x)))
 
 

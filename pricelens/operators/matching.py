@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.specs import capacities, key_matches, normalize_value
+from ..functions.specs import capacities, key_matches, key_matches_any, normalize_value, phrases
 from ..functions.text import normalize_key
 from .nearest import nearest
 
@@ -80,13 +80,14 @@ def best_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([max((ratio(p, q) for p in x for q in y), default=0.0) if x is not None and y is not None else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def spec_facts(a: Column, b: Column, hard_keys: tuple[str, ...]) -> Column:
-    """score, n_common, n_conflict, n_hard of two normalised sheets; a score of 0 without common keys."""
+def spec_facts(a: Column, b: Column, hard_keys: tuple[str, ...] | Column) -> Column:
+    """score, n_common, n_conflict, n_hard of two normalised sheets; a score of 0 without common keys. hard_keys: keys, or a column of their phrases."""
+    hard = (lambda k: key_matches_any(k, hard_keys)) if isinstance(hard_keys, Column) else (lambda k: key_matches(k, hard_keys))
     common = F.array_intersect(F.map_keys(a), F.map_keys(b))
     unlike = F.filter(common, lambda k: F.element_at(a, k) != F.element_at(b, k))
     n, c = F.size(common), F.size(unlike)
     score = F.when(n > 0, (n - c) / n).otherwise(0.0)
-    return F.struct(score.alias("score"), n.alias("n_common"), c.alias("n_conflict"), F.size(F.filter(unlike, lambda k: key_matches(k, hard_keys))).alias("n_hard"))
+    return F.struct(score.alias("score"), n.alias("n_common"), c.alias("n_conflict"), F.size(F.filter(unlike, hard)).alias("n_hard"))
 
 
 def candidates(offers: DataFrame, references: DataFrame, categories: DataFrame, k: int = 15) -> DataFrame:
@@ -122,10 +123,13 @@ def candidates(offers: DataFrame, references: DataFrame, categories: DataFrame,
 
 
 def scored(pairs: DataFrame, offers: DataFrame, references: DataFrame, profile: Profile = COMPUTERS, weights: tuple[float, ...] = (MODEL, SPEC, SEMANTIC, NAME)) -> DataFrame:
-    """pairs with s_model, s_spec, s_name, n_common, n_conflict, n_hard and score. offers and references hold nom, specs (normalised) and models."""
+    """pairs with s_model, s_spec, s_name, n_common, n_conflict, n_hard and score. offers and references hold nom, specs (normalised) and models.
+
+    Where pairs have the columns of a profile_table(), these count in place of the profile.
+    """
     take = lambda df, key, side: df.select(key, *(F.col(c).alias(f"{c}_{side}") for c in ("nom", "specs", "models")))
     rows = pairs.join(take(offers, "offre_id", "a"), "offre_id").join(take(references, "reference_id", "b"), "reference_id")
-    rows = rows.withColumn("s_model", best_ratio("models_a", "models_b")).withColumn("s_name", token_ratio("nom_a", "nom_b")).withColumn("_spec", spec_facts(F.col("specs_a"), F.col("specs_b"), profile.hard_keys))
+    rows = rows.withColumn("s_model", best_ratio("models_a", "models_b")).withColumn("s_name", token_ratio("nom_a", "nom_b")).withColumn("_spec", spec_facts(F.col("specs_a"), F.col("specs_b"), F.col("hard_phrases") if "hard_phrases" in pairs.columns else profile.hard_keys))
     m, hard = F.col("s_model"), F.col("_spec.n_hard")
     less = lambda x, by: F.greatest(F.lit(0.0), x - by)
     total = weights[0] * m + weights[1] * F.col("_spec.score") + weights[2] * F.col("s_semantic") + weights[3] * F.col("s_name")
@@ -155,14 +159,29 @@ def decided(rows: DataFrame, profile: Profile = COMPUTERS) -> DataFrame:
     by = Window.partitionBy("offre_id").orderBy(F.desc("score"), "rank")
     best = rows.withColumn("_n", F.row_number().over(by)).withColumn("_second", F.lead("score", 1, 0.0).over(by)).where("_n = 1")
     best = best.withColumn("margin", F.round(F.col("score") - F.col("_second"), 4))
-    high, wide = F.col("score") >= profile.auto, F.col("margin") >= profile.margin
-    same, near = F.col("_model") >= LINKED_MODEL, F.round("s_semantic", 3) >= profile.semantic
-    layer = F.when(high & same & wide & near, "AUTO").when((F.col("score") >= profile.review) | (high & ~wide), "REVIEW").otherwise("NO_MATCH")
-    why = F.when(~same, "model<0.97").when(~wide, f"margin<{profile.margin}").when(~near, f"semantic<{profile.semantic}")
+    bound = lambda name: F.col(f"{name}_least") if f"{name}_least" in rows.columns else F.lit(getattr(profile, name))
+    below = lambda what, name: F.concat(F.lit(f"{what}<"), bound(name).cast("string"))
+    high, wide = F.col("score") >= bound("auto"), F.col("margin") >= bound("margin")
+    same, near = F.col("_model") >= LINKED_MODEL, F.round("s_semantic", 3) >= bound("semantic")
+    layer = F.when(high & same & wide & near, "AUTO").when((F.col("score") >= bound("review")) | (high & ~wide), "REVIEW").otherwise("NO_MATCH")
+    why = F.when(~same, "model<0.97").when(~wide, below("margin", "margin")).when(~near, below("semantic", "semantic"))
     best = best.withColumn("layer", layer)
     return best.withColumn("reason", F.coalesce(F.when((F.col("layer") == "REVIEW") & high, why), F.lit(""))).drop("_n", "_second", "_model")
 
 
+def profile_table(spark: SparkSession, profiles: dict[str, Profile]) -> DataFrame:
+    """family and what its profile asks, in columns; a row a family."""
+    rows = [(f, phrases(p.hard_keys), p.auto, p.review, p.margin, p.semantic) for f, p in profiles.items()]
+    return spark.createDataFrame(rows, "family string, hard_phrases array<string>, auto_least double, review_least double, margin_least double, semantic_least double")
+
+
+def profiled(pairs: DataFrame, offers: DataFrame, profiles: DataFrame, default: Profile = Profile()) -> DataFrame:
+    """pairs with the columns of the profile of their offer's family (offers: offre_id, family); those of default for families without one."""
+    rows = pairs.join(offers.select("offre_id", "family"), "offre_id").join(F.broadcast(profiles), "family", "left")  # a row a family
+    other = {"hard_phrases": F.array(*map(F.lit, phrases(default.hard_keys))), "auto_least": F.lit(default.auto), "review_least": F.lit(default.review), "margin_least": F.lit(default.margin), "semantic_least": F.lit(default.semantic)}
+    return rows.drop("family").withColumns({c: F.coalesce(c, x) for c, x in other.items()})
+
+
 def unmatched(offers: DataFrame, decisions: DataFrame, references: DataFrame) -> DataFrame:
     """offre_id and reason of the offers without a candidate: no_brand_in_referentiel, or no_candidate_after_prefilter."""
     left = offers.join(decisions.select("offre_id"), "offre_id", "left_anti")

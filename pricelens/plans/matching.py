@@ -24,7 +24,7 @@ def spec_values(t: Tables) -> DataFrame:
 
 
 def sheets(t: Tables) -> DataFrame:
-    """Listed offers as the matcher takes them."""
+    """Listed offers as the matcher takes them: normalised once, as their sheets are asked for several times."""
     profile = matching.COMPUTERS
     return t.listings.select(
         "offre_id", "site_id", "produit_id", "nom", "categorie_id", "vector", text.slug(F.col("marque")).alias("marque_slug"),
@@ -37,8 +37,7 @@ def offers_and_references(t: Tables) -> tuple[DataFrame, DataFrame]:
     return rows.where("site_id <> 0"), rows.where("site_id = 0").withColumnRenamed("offre_id", "reference_id")
 
 
-def near(t: Tables) -> DataFrame:
-    offers, references = offers_and_references(t)
+def near(t: Tables, offers: DataFrame, references: DataFrame) -> DataFrame:
     return matching.candidates(offers, references, t.families)
 
 
@@ -49,7 +48,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY offre_id ORDER BY round(s,
 SELECT offre_id, reference_id, round(round(s, 9), 6) AS s_semantic, rank FROM ranked WHERE rank <= 15""")
 def match_candidates(t: Tables) -> DataFrame:
     """The candidates of each offer: its brand's references in the categories of its family, the 15 nearest."""
-    return near(t).select("offre_id", "reference_id", F.round("s_semantic", 6).alias("s_semantic"), "rank")
+    return near(t, *offers_and_references(t)).select("offre_id", "reference_id", F.round("s_semantic", 6).alias("s_semantic"), "rank")
 
 
 #: The cascade in SQL over the listings: what each offer and reference is after normalisation, the pairs of match_candidates, common subsequences by a bit for each letter, and the score.
@@ -85,7 +84,7 @@ ONE_STAGE = ONE_STAGE.replace("0.40::DOUBLE * model", "0.50::DOUBLE * model").re
 
 def decisions(t: Tables) -> DataFrame:
     offers, references = offers_and_references(t)
-    return matching.decided(matching.scored(near(t), offers, references))
+    return matching.decided(matching.scored(near(t, offers, references), offers, references))
 
 
 @query(f"""WITH {CASCADE.strip()}

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import pages, prices, products, text, variants
+from ..functions import labels, pages, prices, products, specs, text, variants
 from ..registry import query
 from ..tables import Tables
 
 
-def labels(t: Tables) -> DataFrame:
+def price_labels(t: Tables) -> DataFrame:
     """produit_id, price, label: 1.234,5 TND, 1234.5 DT, "1 234,5" with a non-breaking space, and a text without a price."""
     price = F.col("p_retailprice").cast("double")
     spelt = price.cast("string")
@@ -25,7 +25,7 @@ def labels(t: Tables) -> DataFrame:
 SELECT CAST(p_partkey AS BIGINT) AS produit_id, CASE WHEN p_partkey % 4 < 3 THEN CAST(p_retailprice AS DOUBLE) END AS prix FROM part""")
 def parsed_prices(t: Tables) -> DataFrame:
     """The price in each label: the number from which it was written."""
-    return labels(t).select("produit_id", prices.parse_price(F.col("label")).alias("prix"))
+    return price_labels(t).select("produit_id", prices.parse_price(F.col("label")).alias("prix"))
 
 
 @query("""
@@ -130,3 +130,28 @@ def assigned_categories(t: Tables) -> DataFrame:
     there = variants.places(t.categories.select("categorie_id", json.alias("urls")), "categorie_id", "urls").groupBy("site", "url").agg(F.min("categorie_id").alias("categorie_id"))
     offers = t.listings.select("offre_id", F.col("site_id").cast("string").alias("site"), text.without_query(F.concat(F.lit("http://shop/"), F.col("categorie_id").cast("string"), F.lit("?page=2"))).alias("url"))
     return offers.join(there, ["site", "url"], "left").select("offre_id", "categorie_id")
+
+
+@query("""
+SELECT CAST(k AS BIGINT) AS id, price AS simple, floor(price) + 0.5 AS joint, CASE WHEN k % 5 < 4 THEN round(price / (1 - (k % 5) * 10 / 100.0), 3) END AS avant, CASE WHEN k % 3 = 0 THEN 'Stable vs hier' WHEN k % 3 = 1 THEN '↑ ' || k || ' vs hier (+' || CAST(floor(k / greatest(1, 100 - k) * 100 + 0.5) AS BIGINT) || '%)' ELSE '↓ ' || k || ' vs hier' END AS delta,
+       CASE WHEN k % 4 = 0 THEN 0.0 ELSE round(k * 100.0 / (k % 4 * 50), 1) END AS part, ['OUI', 'NON', 'INCERTAIN', 'INCERTAIN'][k % 4 + 1] AS decision, CASE k % 4 WHEN 3 THEN 'sans avis ' || k WHEN 2 THEN 'doute ' || k ELSE 'motif ' || k END AS motif,
+       ['DIRECT', 'DOCUMENTS', 'HYBRID', 'DB_TOOLS'][k % 4 + 1] AS route, CASE WHEN k % 2 = 0 THEN p_brand || '|rapport ' || k ELSE '' END AS sources, ['product', 'preference', 'context'][k % 3 + 1] AS fait, k % 2 = 0 AS connu, k % 3 < 2 AS cle_dure
+FROM (SELECT *, p_partkey AS k, CAST(p_retailprice AS DOUBLE) AS price FROM part)""")
+def told_texts(t: Tables) -> DataFrame:
+    """Texts that people and models write, read: prices in two more spellings, discounts, changes, shares, a judge's answers, routes of questions, cited sources, kinds of facts, and keys of a profile. They are written from the parts."""
+    k, price = F.col("p_partkey"), F.col("p_retailprice").cast("double")
+    say = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    of = lambda n, *texts: F.get(F.array(*(x if not isinstance(x, str) else F.lit(x) for x in texts)), k % n)
+    num = k.cast("string")
+    answer = of(4, say("blah DECISION: oui — motif ", num), say("DECISION:NON : motif ", num), say("DECISION: Incertain - doute ", num), say("sans avis ", num))
+    told = labels.judged(answer)
+    cited = F.when(k % 2 == 0, say("vu [Source: ", F.col("p_brand"), "] et [source:rapport ", num, " ] et encore [Source: ", F.col("p_brand"), "]"))
+    old = F.array(F.when(k % 2 == 0, "surveille les téléviseurs samsung").otherwise("autre chose"))
+    return t.raw("part").select(
+        k.cast("long").alias("id"), prices.parse_plain_price(say(F.replace(price.cast("string"), F.lit("."), F.lit(",")), " DT")).alias("simple"), prices.join_price(say(F.floor(price).cast("string"), " "), F.lit(",5")).alias("joint"),
+        prices.original_before(price, F.when(k % 5 < 4, (k % 5) * 10).otherwise(100)).alias("avant"), labels.day_delta(of(3, F.lit(0).cast("long"), k.cast("long"), -k.cast("long")), F.lit(100).cast("long")).alias("delta"), labels.percent(k, (k % 4) * 50, 1).cast("double").alias("part"),
+        told["decision"].alias("decision"), told["justification"].alias("motif"),
+        labels.route(of(4, "Salut !", "Que dit le rapport 2024 sur les prix ?", "compare les prix", "compare les prix"), of(4, F.lit(None).cast("string"), "hybrid", "Route: hybrid.", "je ne sais pas")).alias("route"),
+        F.array_join(text.cited_sources(cited), "|").alias("sources"), labels.fact_kind(of(3, "aime cette Marque", "veut un format court", "rien"), (("product", ("produit", "marque")), ("preference", ("format",)))).alias("fait"),
+        labels.known_fact(F.lit("regarde téléviseurs samsung"), old).alias("connu"), specs.key_matches(of(3, "Mémoire  vive (RAM)", "Disque dur SSD", "Couleur"), ("ram", "stockage")).alias("cle_dure"),
+    )

@@ -76,6 +76,23 @@ def test_scores(scores):
     assert scores[4].score == round(0.20 * 0.80, 4) and scores[4].layer == "NO_MATCH"
 
 
+def test_profiles_by_family(spark):
+    """Offers of three families, one without a profile: each is scored and decided as by its own profile alone."""
+    strict = dataclasses.replace(matching.COMPUTERS, name="strict", hard_keys=("stockage",), auto=0.99, review=0.9, margin=0.3, semantic=0.99)
+    rows = [(k, NAME, {**SPECS, "ram": f"{4 * (k % 3)}gb", "taille": "9"}, MODELS, "ABC"[k % 3]) for k in range(9)]
+    offers = spark.createDataFrame(rows, OFFERS + ", family string")
+    references = spark.createDataFrame([(90, NAME, {**SPECS, "taille": "8"}, MODELS), (91, NAME.replace("8Go", "16Go"), SPECS, MODELS)], OFFERS.replace("offre_id", "reference_id"))
+    pairs = spark.createDataFrame([(k, r, 0.95, r - 89, False) for k in range(9) for r in (90, 91)], "offre_id long, reference_id long, s_semantic double, rank int, relaxed boolean")
+    table = matching.profile_table(spark, {"A": matching.COMPUTERS, "B": strict})
+    facts = lambda df: {r.offre_id: (r.reference_id, r.score, r.margin, r.n_hard, r.layer, r.reason) for r in df.collect()}
+    got = facts(matching.decided(matching.scored(matching.profiled(pairs, offers, table), offers, references)))
+    wanted = {}
+    for family, profile in (("A", matching.COMPUTERS), ("B", strict), ("C", matching.Profile())):
+        own = pairs.join(offers.where(offers.family == family).select("offre_id"), "offre_id")
+        wanted |= facts(matching.decided(matching.scored(own, offers, references, profile), profile))
+    assert got == wanted and len({v[4:] for v in got.values()}) > 1
+
+
 def test_capacity_mismatch_and_margin(spark):
     names = {1: "Apple iPhone 15 128Go Noir", 2: "Apple iPhone 15 256Go Noir"}
     offers = spark.createDataFrame([(1, names[1], {}, ["iphone15"])], OFFERS)
