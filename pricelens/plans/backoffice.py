@@ -189,7 +189,7 @@ def source_list(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT site_id, run_id, statut, coalesce(n, 0) AS offres_collectees, CAST(epoch(date_fin) - epoch(date_debut) AS BIGINT) AS duree_s FROM (
+SELECT site_id, run_id, statut, coalesce(n, 0) AS offres_collectees, CAST(epoch(date_fin) - epoch(date_debut) AS DOUBLE) AS duree_s FROM (
   SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY date_debut DESC NULLS LAST, run_id DESC) AS r FROM fx_session) LEFT JOIN (SELECT run_id, count(*) AS n FROM fx_offer_run GROUP BY 1) USING (run_id) WHERE r <= 10""")
 def source_runs(t: Tables, limit: int = 10) -> DataFrame:
     """The last runs of each site with their offers and duration."""
@@ -197,7 +197,7 @@ def source_runs(t: Tables, limit: int = 10) -> DataFrame:
     last = t.runs.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= limit)
     seen = with_run(t).groupBy("run_id").agg(F.count("*").alias("_n"))
     seconds = F.unix_seconds(F.col("date_fin").cast("timestamp")) - F.unix_seconds(F.col("date_debut").cast("timestamp"))
-    return last.join(seen, "run_id", "left").select("site_id", "run_id", "statut", F.coalesce("_n", F.lit(0)).cast("long").alias("offres_collectees"), seconds.alias("duree_s"))
+    return last.join(seen, "run_id", "left").select("site_id", "run_id", "statut", F.coalesce("_n", F.lit(0)).cast("long").alias("offres_collectees"), seconds.cast("double").alias("duree_s"))
 
 
 @query(f"SELECT CASE WHEN offre_id % 9 > 0 THEN slug END AS site, count(*) AS stale_count FROM fx_offer_run JOIN fx_site USING (site_id) WHERE run_id <> {LATEST} GROUP BY 1")

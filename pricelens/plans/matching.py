@@ -104,10 +104,10 @@ def one_stage_decisions(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {CASCADE.strip()}
-SELECT 100 + categorie_id % 2 AS family, count(*) AS total, count(*) FILTER (layer = 'AUTO') AS auto, count(*) FILTER (layer = 'REVIEW') AS review, count(*) FILTER (layer = 'NO_MATCH') AS no_match FROM decided JOIN fx_listing USING (offre_id) GROUP BY ROLLUP (100 + categorie_id % 2)""")
+SELECT CAST(100 + categorie_id % 2 AS VARCHAR) AS family, count(*) AS total, count(*) FILTER (layer = 'AUTO') AS auto, count(*) FILTER (layer = 'REVIEW') AS review, count(*) FILTER (layer = 'NO_MATCH') AS no_match FROM decided JOIN fx_listing USING (offre_id) GROUP BY ROLLUP (CAST(100 + categorie_id % 2 AS VARCHAR))""")
 def match_summary(t: Tables) -> DataFrame:
     """Offers of each layer, by family and in all."""
-    placed = decisions(t).join(t.listings.select("offre_id", "categorie_id"), "offre_id").join(t.families.select("categorie_id", F.col("parent_id").alias("family")), "categorie_id")
+    placed = decisions(t).join(t.listings.select("offre_id", "categorie_id"), "offre_id").join(t.families.select("categorie_id", F.col("parent_id").cast("string").alias("family")), "categorie_id")
     return matching.buckets(placed)
 
 

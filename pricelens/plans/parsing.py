@@ -122,14 +122,14 @@ def embedded_pages(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT offre_id, CASE WHEN categorie_id % 6 = 0 THEN NULL WHEN site_id = 3 THEN NULL ELSE categorie_id END AS categorie_id FROM fx_listing""")
+SELECT offre_id, CASE WHEN categorie_id % 6 = 0 THEN NULL WHEN site_id = 3 THEN NULL ELSE CAST(categorie_id AS VARCHAR) END AS categorie_id FROM fx_listing""")
 def assigned_categories(t: Tables) -> DataFrame:
     """The category of each offer by the url of its listing, cut at its query. A category tells its urls in JSON: a text on site 0, an array on site 1, either on site 2, null on site 3; the sixth one's is broken."""
     c, url = F.col("categorie_id"), F.concat(F.lit('"http://shop/'), F.col("categorie_id").cast("string"), F.lit('"'))
     json = F.concat(F.lit('{"0": '), url, F.lit(', "1": ["http://other", '), url, F.lit('], "2": '), F.when(c % 2 == 0, url).otherwise(F.concat(F.lit("["), url, F.lit("]"))), F.lit(', "3": null'), F.when(c % 6 == 0, "").otherwise("}"))
     there = variants.places(t.categories.select("categorie_id", json.alias("urls")), "categorie_id", "urls").groupBy("site", "url").agg(F.min("categorie_id").alias("categorie_id"))
     offers = t.listings.select("offre_id", F.col("site_id").cast("string").alias("site"), text.without_query(F.concat(F.lit("http://shop/"), F.col("categorie_id").cast("string"), F.lit("?page=2"))).alias("url"))
-    return offers.join(there, ["site", "url"], "left").select("offre_id", "categorie_id")
+    return offers.join(there, ["site", "url"], "left").select("offre_id", F.col("categorie_id").cast("string").alias("categorie_id"))
 
 
 @query("""

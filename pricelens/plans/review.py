@@ -17,7 +17,7 @@ SELECT k AS candidat_id, k * 10 + k % 5 AS offre_a_id, k * 10 + (k + 1) % 5 AS o
 FROM (SELECT CAST(p_partkey AS BIGINT) AS k, p_retailprice FROM part)"""
 LOG = """
 SELECT 1 + event_id % 400 AS candidat_id, ts AS moment, event_id AS seq, CASE event_id % 7 WHEN 0 THEN 'validate' WHEN 1 THEN 'reject' WHEN 2 THEN 'correct' WHEN 3 THEN 'bulk_validate' WHEN 4 THEN 'bulk_reject' WHEN 5 THEN 'reopen' ELSE 'validate' END AS action,
-       CASE WHEN event_id % 4 = 0 THEN user_id END AS referentiel_id, CASE WHEN event_id % 5 = 0 THEN round(value / 1000, 4) END AS score FROM events"""
+       CASE WHEN event_id % 4 = 0 THEN user_id END AS referentiel_id, CASE WHEN event_id % 5 = 0 THEN value / 100 END AS score FROM events"""
 
 
 def candidates(t: Tables) -> DataFrame:
@@ -44,12 +44,12 @@ fold AS (
 
 @query(f"""
 WITH RECURSIVE {FOLD}
-SELECT candidat_id, arg_max(statut, n) AS statut, arg_max({{'x': referentiel_id}}, n).x AS referentiel_id, arg_max({{'x': score}}, n).x AS score, count(*) - 1 AS commandes, count(refus) AS refusees FROM fold GROUP BY candidat_id""")
+SELECT candidat_id, arg_max(statut, n) AS statut, CAST(arg_max({{'x': referentiel_id}}, n).x AS VARCHAR) AS referentiel_id, arg_max({{'x': score}}, n).x AS score, count(*) - 1 AS commandes, count(refus) AS refusees FROM fold GROUP BY candidat_id""")
 def review_states(t: Tables) -> DataFrame:
     """Each candidate after all commands of the log, with how many there were and how many were refused."""
     done = commands.review(candidates(t), log(t))
     refused = F.size(F.filter("journal", lambda e: e["refus"].isNotNull())).cast("long")
-    return done.select("candidat_id", "statut", "referentiel_id", "score", F.size("journal").cast("long").alias("commandes"), refused.alias("refusees"))
+    return done.select("candidat_id", "statut", F.col("referentiel_id").cast("string").alias("referentiel_id"), "score", F.size("journal").cast("long").alias("commandes"), refused.alias("refusees"))
 
 
 @query(f"""

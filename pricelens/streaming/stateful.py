@@ -7,9 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -17,6 +16,7 @@ from .. import schemas as S
 
 CHANGE = "offre_id long, run long, type_evenement string, valeur_avant double, valeur_apres double, date_detection timestamp, prix_original double, prix_en_promotion double, stock_status string, ferme_debut timestamp, ferme_nb long"
 OPEN = "run long, date_debut timestamp, nb long, original double, promotion double, stock string, rounded double, rounded_promotion double"
+ROW = Row(*(c.split()[0] for c in CHANGE.split(", ")))
 STATUS = "run_id long, statut string, vus long"
 
 
@@ -49,32 +49,20 @@ class Changes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", OPEN, self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.open.get() if self.open.exists() else None
-        frame = pd.concat(list(rows)).sort_values(["observed_at", "k1", "k2"], kind="stable", ignore_index=True)
-        prices = [frame[c].astype("float64").to_numpy() for c in ("arrondi", "arrondi_promotion")]
-        stock = frame["stock_status"].astype(object).where(frame["stock_status"].notna(), None).to_numpy()
-        # Whether each row differs from the one before it; only those that do are looked at one by one.
-        new = np.ones(len(frame), bool)
-        new[1:] = stock[1:] != stock[:-1]
-        for p in prices:
-            new[1:] |= ~((p[1:] == p[:-1]) | (np.isnan(p[1:]) & np.isnan(p[:-1])))
-        starts = np.flatnonzero(new)
-        value = lambda x: None if pd.isna(x) else x
-        out = []
-        for i, j in zip(starts, np.append(starts[1:], len(frame)), strict=True):
-            row = frame.iloc[i]
-            now = (value(row.prix_original), value(row.prix_en_promotion), stock[i])
-            rounded = tuple(value(p[i]) for p in prices)
-            if held is not None and tuple(held)[5:] == (stock[i], *rounded):
-                held = (*tuple(held)[:2], held[2] + int(j - i), *tuple(held)[3:])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = first = self.open.get() if self.open.exists() else None
+        for r in sorted(rows, key=lambda r: (r.observed_at, r.k1, r.k2)):
+            told = (r.stock_status, r.arrondi, r.arrondi_promotion)
+            if held is not None and tuple(held)[5:] == told:
+                held = (*tuple(held)[:2], held[2] + 1, *tuple(held)[3:])
                 continue
+            now = (r.prix_original, r.prix_en_promotion, r.stock_status)
             kind, was, becomes = event(None if held is None else tuple(held)[3:6], now)
             run = 1 if held is None else held[0] + 1
-            out.append((key[0], run, kind, was, becomes, row.observed_at, *now, None if held is None else held[1], None if held is None else held[2]))
-            held = (run, row.observed_at.to_pydatetime(), int(j - i), *now, *rounded)
-        self.open.update(held)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGE.split(", ")])
+            yield ROW(key[0], run, kind, was, becomes, r.observed_at, *now, None if held is None else held[1], None if held is None else held[2])
+            held = (run, r.observed_at, 1, *now, *told[1:])
+        if held is not first:
+            self.open.update(held)
 
     def close(self) -> None:
         pass
@@ -89,7 +77,7 @@ def changes(observations: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """
     rounded = lambda c: F.round(F.col(c).cast("decimal(20,6)"), 2).cast("double")  # noqa: E731  as batches compare prices
     rows = observations.withColumn("arrondi", rounded("prix_original")).withColumn("arrondi_promotion", rounded("prix_en_promotion"))
-    return rows.groupBy("offre_id").transformWithStateInPandas(Changes(ttl_ms), CHANGE, "Append", "ProcessingTime" if ttl_ms else "None")
+    return rows.groupBy("offre_id").transformWithState(Changes(ttl_ms), CHANGE, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 class Watchdog(StatefulProcessor):
