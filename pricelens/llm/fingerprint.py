@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import documents, words
-from .sharding import by_range
+from .sharding import LEVEL, by_range
 
 GRAM, WINDOW = 3, 8
 #: The rolling hash: word hashes are reduced modulo a prime below 2**31, and so is every step.
@@ -77,21 +77,21 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
-def next_of(frame: DataFrame, columns: list[str], rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def next_of(frame: DataFrame, columns: list[str], rows: DataFrame, part_rows: int = PART_ROWS, level: int = LEVEL) -> DataFrame:
     """frame with next_<c> for each of columns: the value of the next row by doc_id (nulls first, then
     a hash of the text, then the text), of the last row the first's. rows holds the doc_ids. A part of
     the rows is in one task, never all rows of a common doc_id or of null."""
     tie = F.xxhash64("text")
-    frame = by_range(frame, "doc_id", "_part", rows, tie, part_rows)
+    frame = by_range(frame, "doc_id", "_part", rows, tie, part_rows, level)
     order = Window.partitionBy("_part").orderBy(F.asc_nulls_first("doc_id"), tie, "text")
     marked = frame.withColumn("_last", F.lead(F.lit(False), 1, True).over(order)).withColumn("_first", F.row_number().over(order) == 1)
     for c in columns:
         marked = marked.withColumn(f"_next_{c}", F.lead(c).over(order))
-    # A part's last row takes the first of the part after it: one row for each part.
-    heads = marked.where("_first").select("_part", F.struct(*columns).alias("_head"))
+    # A part's last row takes the first of the part after it. Only the parts' numbers meet in one task; the heads are joined to them.
     ring = Window.orderBy("_part")
-    heads = heads.withColumn("_before", F.coalesce(F.lag("_part").over(ring), F.max("_part").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    heads = heads.select(F.col("_before").alias("_part"), "_head")
+    numbers = frame.select("_part").distinct()
+    before = numbers.select("_part", F.coalesce(F.lag("_part").over(ring), F.max("_part").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_before"))
+    heads = marked.where("_first").select("_part", F.struct(*columns).alias("_head")).join(before, "_part").select(F.col("_before").alias("_part"), "_head")
     out = marked.join(heads, "_part")
     for c in columns:
         out = out.withColumn(f"next_{c}", F.when(F.col("_last"), F.col(f"_head.{c}")).otherwise(F.col(f"_next_{c}")))

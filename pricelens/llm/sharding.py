@@ -27,10 +27,12 @@ from ._spark import cut, documents
 SHARDS = 40
 #: Units for each shard that come to the driver at once, at most.
 UNITS = 4096
-#: Rows of a part, about, in which rows are ranked one after the other, and the number of parts, at most.
-PART_ROWS, PARTS = 50_000, 8192
-#: Pieces into which a key that many rows share, or null, is split.
-SPLIT = 64
+#: Rows of a part, about, in which rows are ranked one after the other.
+PART_ROWS = 50_000
+#: Ranges that the driver tells apart; of more parts each range is cut again, by bounds that are broadcast up to a number (16 bytes each).
+LEVEL, BROADCAST = 4096, 1 << 22
+#: Pieces into which a key that fills parts, or null, is split at least, and the bits of a piece's number.
+SPLIT, PIECE_BITS = 64, 32
 
 
 def sizes(text: Column) -> Column:
@@ -92,34 +94,72 @@ def running(df: DataFrame, part: str, order: list, value: str, name: str) -> Dat
     return df.withColumn(name, F.sum(value).over(own) - F.col(value)).join(start, part).withColumn(name, F.col(name) + F.col("_start")).drop("_start")
 
 
-def by_range(df: DataFrame, key: str, part: str, rows: DataFrame | None = None, tie: Column | None = None, part_rows: int = PART_ROWS) -> DataFrame:
-    """df with a number that ascends with key, nulls first; about as many rows have each. rows: where the keys are read, if not from df.
+def up_to(table: Column, n: int, key: Column) -> Column:
+    """The number of values of an ascending array, of at most n, up to key, by binary search; a place beyond the last counts as greater."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, n.bit_length())))))
+    return F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(F.coalesce(F.get(table, at + s - 1) <= key, F.lit(False)), s).otherwise(0))
 
-    Equal keys stay together, but for null and for keys that fill parts alone: these are split by tie, a
-    64-bit number by which such rows have to be ordered next.
+
+def spread(tie: Column, pieces: Column) -> Column:
+    """A number from 0 to pieces - 1 that ascends with tie, a signed 64-bit number."""
+    high = F.shiftrightunsigned(tie.bitwiseXOR(F.lit(-(1 << 63))), PIECE_BITS + 1)  # its upper 31 bits
+    return F.shiftright(high * pieces, 31)
+
+
+def by_range(df: DataFrame, key: str, part: str, rows: DataFrame | None = None, tie: Column | None = None, part_rows: int = PART_ROWS, level: int = LEVEL) -> DataFrame:
+    """df with a number that ascends with key, nulls first; about part_rows rows have each, however many rows there are.
+    rows: where the keys are read, if not from df.
+
+    Up to level ranges are told apart by bounds that the driver holds; of more rows each range is cut again, by bounds of its own
+    that are joined to its rows. Equal keys stay together, but for null and for keys that fill parts alone: these are split by tie,
+    a 64-bit number by which such rows have to be ordered next, into as many pieces as parts that they fill.
     """
     rows = df if rows is None else rows
-    parts = max(1, min(PARTS, -(-rows.count() // part_rows)))
-    bounds = rows.where(F.col(key).isNotNull()).agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000).alias("b")).head()["b"] or [] if parts > 1 else []
-    heavy = sorted(k for k, n in Counter(bounds).items() if n > 1)
-    bounds = sorted(set(bounds))
+    n, keyed = rows.agg(F.count(F.lit(1)), F.count(key)).head()
+    parts = max(1, -(-keyed // part_rows))
+    outer = min(parts, level)
+    inner = -(-parts // outer)
+    own = rows.where(F.col(key).isNotNull())
+
+    def quantiles(count: int) -> Column:
+        return F.percentile_approx(key, [i / count for i in range(1, count)], max(10_000, 4 * count))
 
-    def count_up_to(values: list[int]) -> Column:
-        """The number of values up to the key, by binary search; a place beyond the last counts as greater."""
-        if not values:
-            return F.lit(0)
-        table = F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
-        steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(values).bit_length()))))
-        return F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(F.coalesce(F.get(table, at + s - 1) <= F.col(key), F.lit(False)), s).otherwise(0))
+    bounds = own.agg(quantiles(outer).alias("b")).head()["b"] or [] if outer > 1 else []
+    filled = {k: c * inner for k, c in Counter(bounds).items() if c > 1}
+    bounds = sorted(set(bounds))
 
-    at = F.when(F.col(key).isNull(), 0).otherwise(count_up_to(bounds) + 1)
+    def outer_part() -> Column:
+        if not bounds:
+            return F.lit(1)
+        return up_to(F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>"), len(bounds), F.col(key)) + 1
+
+    # Where no key is null, ties need not be read for them.
+    pieces = F.when(F.col(key).isNull(), F.lit(max(SPLIT, -(-(n - keyed) // part_rows)))) if n > keyed else F.lit(None).cast("int")
+    if filled:  # half as many at most as bounds
+        held = F.split(F.lit(",".join(map(str, sorted(filled)))), ",").cast("array<long>")
+        sizes = F.split(F.lit(",".join(str(max(SPLIT, filled[k])) for k in sorted(filled))), ",").cast("array<long>")
+        pieces = F.coalesce(pieces, F.when(F.array_position(held, F.col(key)) > 0, F.get(sizes, F.array_position(held, F.col(key)).cast("int") - 1)))
+        own = own.where(F.array_position(held, F.col(key)) == 0)  # bounds within ranges are for the other keys
+    out = df.withColumn(part, F.when(F.col(key).isNull(), 0).otherwise(outer_part()).cast("long"))
+    if inner > 1:
+        # A row for each range, with inner bounds: about as many in all as there are parts.
+        cut_again = own.select(key, outer_part().cast("long").alias(part)).groupBy(part).agg(quantiles(inner).alias("_all"))
+        cut_again = cut_again.withColumn("_bounds", F.array_distinct("_all"))
+        if outer * inner <= BROADCAST:
+            cut_again = F.broadcast(cut_again)
+        out = out.join(cut_again, part, "left")
+        copies = F.size(F.filter("_all", lambda b: b == F.col(key)))
+        if tie is not None:
+            pieces = F.coalesce(pieces, F.when(copies > 1, F.greatest(F.lit(SPLIT), copies)))
+        within = F.coalesce(up_to(F.col("_bounds"), inner, F.col(key)), F.lit(0)).cast("long")
+        out = out.withColumn(part, F.col(part) * F.lit(inner + 1) + F.when(F.col(key).isNull(), 0).otherwise(within)).withColumn("_pieces", pieces if tie is not None else F.lit(None)).drop("_all", "_bounds")
+    else:
+        out = out.withColumn("_pieces", pieces if tie is not None else F.lit(None))
     if tie is None:
-        return df.withColumn(part, at.cast("int"))
-    alone = F.col(key).isNull()
-    if heavy:
-        alone = alone | F.col(key).isin(*heavy)  # the least of its part
-    piece = F.shiftrightunsigned(tie.bitwiseXOR(F.lit(-(1 << 63))), 64 - SPLIT.bit_length() + 1)
-    return df.withColumn(part, (at * (SPLIT + 1) + F.when(alone, piece).otherwise(SPLIT)).cast("int"))
+        return out.drop("_pieces")
+    # A key that fills parts is the least of its part: its pieces come before the part's other rows.
+    piece = F.when(F.col("_pieces").isNotNull(), spread(tie, F.col("_pieces"))).otherwise(F.lit((1 << PIECE_BITS) - 1))
+    return out.withColumn(part, F.shiftleft(F.col(part), PIECE_BITS).bitwiseOR(piece)).drop("_pieces")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, units: int = UNITS) -> DataFrame:
