@@ -60,14 +60,18 @@ def daily_as_of(snapshots: DataFrame, first: Column, last: Column, key: str = "o
 
 
 def calendar_as_of(snapshots: DataFrame, first: Column, last: Column, key: str = "offre_id") -> DataFrame:
-    """A row for each key and day of [first, last], with the values of daily_as_of(), nulls on days without an interval. One grouping by key: its intervals within the span, of bounded number, are laid over the calendar."""
+    """A row for each key and day of [first, last], with the values of daily_as_of(), nulls on days before the key's first interval.
+
+    Intervals have to follow each other as compact() makes them: each ends where the next begins, the last is open. A day then is
+    that of the interval which begins last, so each gives its own days without meeting others: no shuffle, no sort. The first one
+    gives the days before it as well.
+    """
     others = [c for c in snapshots.columns if c != key]
-    touches = (F.to_date("date_debut") <= last) & (F.coalesce(F.to_date("date_fin"), last) >= first)
-    # Only the values of intervals that touch the span are gathered; a key without any keeps its row.
-    held = snapshots.groupBy(key).agg(F.sort_array(F.collect_list(F.when(touches, F.struct("date_debut", "run", *(c for c in others if c not in ("date_debut", "run")))))).alias("_held"))
-    days = held.select(key, "_held", F.explode(F.sequence(first, last)).alias("jour"))
-    on = F.filter("_held", lambda x: (F.to_date(x["date_debut"]) <= F.col("jour")) & (x["date_fin"].isNull() | (F.to_date(x["date_fin"]) >= F.col("jour"))))
-    return days.select(key, "jour", F.try_element_at(on, F.lit(-1)).alias("_v")).select(key, "jour", *(F.col(f"_v.{c}").alias(c) for c in others))
+    begin = F.to_date("date_debut")
+    start = F.when(F.col("run") == 1, first).otherwise(F.greatest(begin, first))
+    end = F.least(F.coalesce(F.date_sub(F.to_date("date_fin"), 1), last), last)  # the day on which the next begins is the next's
+    days = snapshots.where(start <= end).withColumn("jour", F.explode(F.sequence(start, end)))
+    return days.select(key, "jour", *(F.when(F.col("jour") >= begin, F.col(c)).alias(c) for c in others))
 
 
 def previous_closed(snapshots: DataFrame, key: str = "offre_id") -> DataFrame:
