@@ -47,9 +47,8 @@ WITH RECURSIVE {FOLD}
 SELECT candidat_id, arg_max(statut, n) AS statut, CAST(arg_max({{'x': referentiel_id}}, n).x AS VARCHAR) AS referentiel_id, arg_max({{'x': score}}, n).x AS score, count(*) - 1 AS commandes, count(refus) AS refusees FROM fold GROUP BY candidat_id""")
 def review_states(t: Tables) -> DataFrame:
     """Each candidate after all commands of the log, with how many there were and how many were refused."""
-    done = commands.review(candidates(t), log(t))
-    refused = F.size(F.filter("journal", lambda e: e["refus"].isNotNull())).cast("long")
-    return done.select("candidat_id", "statut", F.col("referentiel_id").cast("string").alias("referentiel_id"), "score", F.size("journal").cast("long").alias("commandes"), refused.alias("refusees"))
+    rows = candidates(t)
+    return commands.states(rows, commands.outcomes(rows, log(t))).withColumn("referentiel_id", F.col("referentiel_id").cast("string"))
 
 
 @query(f"""
@@ -57,7 +56,7 @@ WITH RECURSIVE {FOLD}
 SELECT candidat_id, seq, CASE WHEN action LIKE '%validate' THEN 'CANDIDAT_VALIDE' WHEN action LIKE '%reject' THEN 'CANDIDAT_REJETE' ELSE 'CANDIDAT_CORRIGE' END AS action, avant, statut AS apres FROM fold WHERE n > 0 AND refus IS NULL""")
 def review_audit(t: Tables) -> DataFrame:
     """The audit of what the commands did."""
-    return commands.audit(commands.review(candidates(t), log(t)))
+    return commands.audit(commands.outcomes(candidates(t), log(t)))
 
 
 @query(f"""
@@ -68,7 +67,7 @@ SELECT offre_id, arg_max(r, candidat_id) AS produit_id FROM last JOIN side USING
 def reviewed_links(t: Tables) -> DataFrame:
     """The product that the validated candidates give to each of their offers."""
     rows = candidates(t)
-    return commands.linked_offers(rows, commands.review(rows, log(t)))
+    return commands.linked_offers(rows, commands.states(rows, commands.outcomes(rows, log(t))))
 
 
 #: Plans of forty tenants, and their commands: an event each.
@@ -92,9 +91,10 @@ SELECT tenant_id, array_to_string(arg_max(held, n), ',') AS categories, CAST(sum
 def scope_commands(t: Tables) -> DataFrame:
     """Scopes of tenants after their commands under quotas of 3 and 6 categories, with what was added and refused."""
     asked = t.sql(SCOPE_LOG.format(both="array(1 + event_id % 20, 1 + event_id * 7 % 20)", one="array(1 + event_id % 20)"), "events")
-    done = commands.scopes(t.sql(TENANT, "events"), t.sql(HELD, "events"), asked, SMALL_QUOTAS)
-    why = lambda x: F.size(F.filter("journal", lambda e: e["refus"] == x)).cast("long")
-    return done.select("tenant_id", F.array_join(F.col("categories").cast("array<string>"), ",").alias("categories"), F.aggregate("journal", F.lit(0).cast("long"), lambda s, e: s + e["ajoutees"]).alias("ajoutees"), why("quota").alias("quota"), why("last category").alias("derniere"), why("not in scope").alias("absente"))
+    done = commands.scope_outcomes(t.sql(TENANT, "events"), t.sql(HELD, "events"), asked, SMALL_QUOTAS)
+    why = lambda x, name: F.count_if(F.col("refus") == x).alias(name)
+    scope = F.array_join(F.first("categories", ignorenulls=True).cast("array<string>"), ",")
+    return done.groupBy("tenant_id").agg(scope.alias("categories"), F.coalesce(F.sum("ajoutees"), F.lit(0).cast("long")).alias("ajoutees"), why("quota", "quota"), why("last category", "derniere"), why("not in scope", "absente"))
 
 
 def queue(t: Tables, statut: str | None = None, site: str | None = None, low: float | None = None, high: float | None = None, page: int = 1, limit: int = 50) -> DataFrame:
