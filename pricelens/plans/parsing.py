@@ -18,7 +18,7 @@ def price_labels(t: Tables) -> DataFrame:
     grouped = lambda mark: F.regexp_replace(comma, r"^(\d)(\d{3}),", f"$1{mark}$2,")
     kind = F.col("p_partkey") % 4
     label = F.when(kind == 0, F.concat(grouped("."), F.lit(" TND"))).when(kind == 1, F.concat(spelt, F.lit(" DT TTC"))).when(kind == 2, grouped("\u00a0")).otherwise("sur demande")
-    return t.raw("part").select(F.col("p_partkey").cast("long").alias("produit_id"), price.alias("price"), label.alias("label"))
+    return t.spread(t.raw("part"), "p_partkey").select(F.col("p_partkey").cast("long").alias("produit_id"), price.alias("price"), label.alias("label"))
 
 
 @query("""
@@ -38,7 +38,7 @@ def derived_promotions(t: Tables) -> DataFrame:
     """Promotions from a struck price of 1000, which two of three products show, and the final price."""
     final = F.col("p_retailprice").cast("double")
     original, promotional = prices.promotion(F.when(F.col("p_partkey") % 3 > 0, F.lit(1000.0)), final)
-    return t.raw("part").select(F.col("p_partkey").cast("long").alias("produit_id"), original.alias("prix_original"), promotional.alias("prix_en_promotion"), prices.discount_percent(original, promotional).cast("double").alias("remise"))
+    return t.spread(t.raw("part"), "p_partkey").select(F.col("p_partkey").cast("long").alias("produit_id"), original.alias("prix_original"), promotional.alias("prix_en_promotion"), prices.discount_percent(original, promotional).cast("double").alias("remise"))
 
 
 @query("""
@@ -68,7 +68,7 @@ def product_html(t: Tables) -> DataFrame:
         F.when(k % 3 > 0, '<span class="regular-price">1.000,0 TND</span>').otherwise(""), label, image, '<div class="description"> bon produit </div>',
         "<dl><dt>Marque</dt><dd>", F.col("p_brand"), "</dd><dt>Vide</dt><dd> </dd><dt>Taille</dt><dd>1</dd><dt>Taille</dt><dd>", F.col("p_size").cast("string"), " cm</dd><dt>seul</dt></dl>",
     )
-    return t.raw("part").select(k.cast("long").alias("page_id"), html.alias("html"), F.when(k % 7 == 0, "IN_STOCK").when(k % 7 == 1, "").alias("listed_stock"))
+    return t.spread(t.raw("part"), "p_partkey").select(k.cast("long").alias("page_id"), html.alias("html"), F.when(k % 7 == 0, "IN_STOCK").when(k % 7 == 1, "").alias("listed_stock"))
 
 
 STRUCK = """
@@ -101,7 +101,7 @@ def badge_pages(t: Tables) -> DataFrame:
         F.when(k % 8 == 0, '<span class="regular-price">1 200,0 TND</span>').otherwise(""), F.when(k % 5 == 0, '<span class="unit-price">2,5 TND / kg</span>').otherwise(""), text('<p class="manufacturer_product"><a>'), F.col("p_brand"), text("</a></p><ol>"),
         crumb(text("Accueil")), F.when(k % 3 > 0, crumb(F.col("p_type"))).otherwise(""), F.when(k % 3 == 2, crumb(text("sous"))).otherwise(""), crumb(text("n")), text("</ol>"), F.when(k % 2 == 0, '<link itemprop="availability" href="http://schema.org/InStock"/>').otherwise(""),
     )
-    rows = t.raw("part").select(k.cast("long").alias("page_id"), products.badge(html).alias("p"))
+    rows = t.spread(t.raw("part"), "p_partkey").select(k.cast("long").alias("page_id"), products.badge(html).alias("p"))
     return rows.select("page_id", "p.prix_original", "p.prix_en_promotion", "p.est_en_promotion", "p.prix_unitaire", "p.marque", "p.categorie_brute", "p.statut_stock")
 
 
@@ -117,7 +117,7 @@ def embedded_pages(t: Tables) -> DataFrame:
     json = F.when(k % 5 == 0, data).when(k % 5 == 1, F.concat(text("["), other, text(","), data, text("]"))).when(k % 5 == 2, F.concat(text('{"@graph": ['), other, text(","), data, text("]}"))).when(k % 5 == 3, flat).otherwise("{broken")
     crumbs = F.when(k % 3 == 0, '{"itemListElement": "none"}').otherwise(F.concat(text('{"@type": "BreadcrumbList", "itemListElement": [{"name": "Home"}, {"name": "'), F.col("p_type"), text('"}, {"x": 1}, {"name": "Epicerie"}, {"name": "nom"}]}')))
     html = F.concat(text('<h1>nom</h1><span class="price-int">'), F.floor(F.col("p_retailprice").cast("double")).cast("string"), text('</span><span class="price-dec">,5</span><div class="description">repli</div><script id="product-schema-ldjson" type="application/ld+json">'), json, text('</script><script id="breadcrumb-schema-ldjson">'), crumbs, text("</script>"))
-    rows = t.raw("part").select(k.cast("long").alias("page_id"), products.embedded(html).alias("p"))
+    rows = t.spread(t.raw("part"), "p_partkey").select(k.cast("long").alias("page_id"), products.embedded(html).alias("p"))
     return rows.select("page_id", "p.prix_original", "p.donnees.*", "p.categorie_brute")
 
 
@@ -147,7 +147,7 @@ def told_texts(t: Tables) -> DataFrame:
     told = labels.judged(answer)
     cited = F.when(k % 2 == 0, say("vu [Source: ", F.col("p_brand"), "] et [source:rapport ", num, " ] et encore [Source: ", F.col("p_brand"), "]"))
     old = F.array(F.when(k % 2 == 0, "surveille les téléviseurs samsung").otherwise("autre chose"))
-    return t.raw("part").select(
+    return t.spread(t.raw("part"), "p_partkey").select(
         k.cast("long").alias("id"), prices.parse_plain_price(say(F.replace(price.cast("string"), F.lit("."), F.lit(",")), " DT")).alias("simple"), prices.join_price(say(F.floor(price).cast("string"), " "), F.lit(",5")).alias("joint"),
         prices.original_before(price, F.when(k % 5 < 4, (k % 5) * 10).otherwise(100)).alias("avant"), labels.day_delta(of(3, F.lit(0).cast("long"), k.cast("long"), -k.cast("long")), F.lit(100).cast("long")).alias("delta"), labels.percent(k, (k % 4) * 50, 1).cast("double").alias("part"),
         told["decision"].alias("decision"), told["justification"].alias("motif"),
