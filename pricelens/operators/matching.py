@@ -99,7 +99,7 @@ def candidates(offers: DataFrame, references: DataFrame, categories: DataFrame,
     ids, at a similarity of 0; a reference without vector is no candidate where another has one.
     """
     def family(df: DataFrame) -> DataFrame:
-        placed = df.join(categories.select("categorie_id", "parent_id"), "categorie_id", "left")
+        placed = df.join(F.broadcast(categories.select("categorie_id", "parent_id")), "categorie_id", "left")  # a row a category: by it, offers would meet in a few tasks
         return placed.withColumn("family", F.coalesce(F.concat(F.lit("p"), F.col("parent_id").cast("string")), F.concat(F.lit("c"), F.col("categorie_id").cast("string"))))
 
     q, r = family(offers), family(references)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import specs, text
 from ..operators import matching, normalizer
 from ..registry import query
@@ -32,8 +33,9 @@ def sheets(t: Tables) -> DataFrame:
     )
 
 
-def offers_and_references(t: Tables) -> tuple[DataFrame, DataFrame]:
-    rows = sheets(t)
+def offers_and_references(t: Tables, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides, of some columns if asked for: kept, as each is read several times."""
+    rows = storage.stored(sheets(t).select(*columns or "*"), "sheets")
     return rows.where("site_id <> 0"), rows.where("site_id = 0").withColumnRenamed("offre_id", "reference_id")
 
 
@@ -48,7 +50,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY offre_id ORDER BY round(s,
 SELECT offre_id, reference_id, round(round(s, 9), 6) AS s_semantic, rank FROM ranked WHERE rank <= 15""")
 def match_candidates(t: Tables) -> DataFrame:
     """The candidates of each offer: its brand's references in the categories of its family, the 15 nearest."""
-    return near(t, *offers_and_references(t)).select("offre_id", "reference_id", F.round("s_semantic", 6).alias("s_semantic"), "rank")
+    return near(t, *offers_and_references(t, "offre_id", "site_id", "categorie_id", "marque_slug", "vector")).select("offre_id", "reference_id", F.round("s_semantic", 6).alias("s_semantic"), "rank")
 
 
 #: The cascade in SQL over the listings: what each offer and reference is after normalisation, the pairs of match_candidates, common subsequences by a bit for each letter, and the score.
@@ -155,7 +157,6 @@ SELECT offre_id, marque AS brand, '{"Modèle":"' || code || '","ram":"' || CASE
 FROM (SELECT *, CASE WHEN site_id = 3 AND produit_id % 5 = 0 THEN cap * 2 ELSE cap END AS held FROM fx_listing) WHERE site_id = 1 AND produit_id % 13 <> 5""")
 def resumed_normalisation(t: Tables) -> DataFrame:
     """The offers of one site normalised by a stage that is lost after two of its four lots and run again; those whose sheet cannot be read are put aside."""
-    from .. import storage
     from ..operators import stages
 
     raw, brands, keys, places = raw_offers(t)

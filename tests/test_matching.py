@@ -146,3 +146,24 @@ def test_normalizer(spark):
     assert normalizer.missing(normalizer.normalize_offers(offers, brands, keys, places)).count() == 2
     refs = normalizer.bootstrap(spark.createDataFrame([(1, None, "HP", 3, None), (2, "n", "LG", None, None), (3, "n", "LG", 4, 8)], "offre_id long, nom string, marque string, categorie_id long, produit_id long")).collect()
     assert [(r.reference_id, r.nom_produit, r.offre_ids) for r in refs] == [(1, "(sans nom)", [1])]
+
+
+def test_copies_of_vectors_make_no_pairs(spark):
+    n = 3000
+    q = spark.range(n).select(F.col("id").alias("query_id"), F.lit("g").alias("group"), F.array((F.col("id") % 3).cast("double"), F.lit(1.0)).alias("vector"))
+    items = q.select((F.col("query_id") + 10).alias("item_id"), "group", "vector")
+    rows = nearest.nearest(q, items, 4, 2).collect()  # blocks of two: by copies there would be 2,250,000 of them
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, []).append((r["rank"], r.item_id, r.similarity))
+    assert len(rows) == 4 * n and all(sorted(got[k]) == [(j + 1, 10 + k % 3 + 3 * j, 1.0) for j in range(4)] for k in range(n))
+
+
+def test_products_do_not_meet_by_category(spark):
+    from conftest import SMALL
+
+    from pricelens.tables import Tables
+
+    t = Tables(spark, SMALL)
+    plan = t.listings._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(produit_id" in plan
