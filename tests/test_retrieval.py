@@ -80,6 +80,19 @@ def test_ranks_of_the_index(spark, tmp_path):
     assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#").replace("PartitionFilters: [isnotnull(bucket", "PartitionFilters: [bucket") or "PartitionFilters: [" in plan
 
 
+def test_searches_move_each_posting_once(spark, tmp_path):
+    """Many askings of the same common words: what moves is the postings, not a row for each of them and each asking."""
+    chunks = spark.range(400).select(F.col("id").alias("chunk_id"), F.lit(0).cast("long").alias("tenant_id"), F.lit("rouge prix bleu prix vert").alias("content"))
+    index = textindex.build(chunks, str(tmp_path / "many"))
+    queries = spark.range(300).select(F.col("id").alias("query_id"), F.lit(0).cast("long").alias("tenant_id"), F.lit("prix bleu").alias("text"))
+    plan = textindex.search(queries, index, 2)
+    assert "MapInArrow" in plan._jdf.queryExecution().toString()
+    got = plan.collect()
+    assert len(got) == 600 and {(r.chunk_id, r["rank"]) for r in got} == {(0, 1), (1, 2)}
+    assert textindex.phrase(queries.where("query_id < 3"), index).count() == 1200
+    assert textindex.phrase(queries.where("query_id < 3").withColumn("text", F.lit("bleu rouge")), index).count() == 0
+
+
 HTML = """<a href="/a">A</a><a class="x" href="/a">again</a><a href="#top">t</a><a href="javascript:f()">j</a><a href="http://b/c?page=4">C &amp; D</a>
 <h1>TV <b>55</b>&nbsp;pouces</h1><span class="price old">1.299,5 TND</span><dl><dt>Marque</dt><dd>LG</dd><dt>RAM</dt><dd>8 Go</dd><dt>Vide</dt></dl>
 <script type="application/ld+json">{"name": "TV 55", "brand": {"name": "LG"}, "offers": {"price": "999.5"}}</script>"""
