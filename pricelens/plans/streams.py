@@ -39,9 +39,13 @@ def replay(spark: SparkSession, source: DataFrame, name: str, start) -> str:
 @query("SELECT offre_id, run, type_evenement, CAST(valeur_avant AS DOUBLE) AS valeur_avant, CAST(valeur_apres AS DOUBLE) AS valeur_apres, date_detection FROM fx_event")
 def streamed_events(t: Tables) -> DataFrame:
     """The events of all observations, told by a stream that gets them in three batches and is started anew for each."""
-    stateful.with_state_store(t.spark)
-    folder = replay(t.spark, in_lots(t), "events", lambda stream, at: stateful.changes(stream).writeStream.format("parquet").outputMode("append").option("path", f"{at}/out"))
-    rows = t.spark.read.parquet(f"{folder}/out").where("type_evenement is not null")
+
+    def start(stream: DataFrame, folder: str):
+        told = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+        return stream.writeStream.foreachBatch(stateful.Folded(t.spark, f"{folder}/open", told))
+
+    folder = replay(t.spark, in_lots(t), "events", start)
+    rows = t.spark.read.parquet(f"{folder}/out")
     return rows.select("offre_id", "run", "type_evenement", "valeur_avant", "valeur_apres", F.col("date_detection").cast("timestamp_ntz").alias("date_detection"))
 
 
@@ -76,7 +80,6 @@ def streamed_alerts(t: Tables) -> DataFrame:
     """The notifications of all events that a stream tells, though the sink of alerts fails once: the events are kept and their alerts made up for."""
     from ..operators import events as E
 
-    stateful.with_state_store(t.spark)
     schema = "offre_id long, run long, type_evenement string, valeur_avant double, valeur_apres double, date_detection timestamp"
     failures = [RuntimeError("the sink of alerts is down")]
     sinks: list[EventSinks] = []
@@ -88,8 +91,8 @@ def streamed_alerts(t: Tables) -> DataFrame:
 
     def start(stream: DataFrame, folder: str):
         sinks[:] = [EventSinks(Journal(t.spark, f"{folder}/journal"), schema, alerts)]
-        told = stateful.changes(stream).where("type_evenement is not null").select(*(c.split()[0] for c in schema.split(", ")))
-        return told.writeStream.foreachBatch(sinks[0])
+        told = lambda rows, batch: sinks[0](rows.select(*(c.split()[0] for c in schema.split(", "))), batch)
+        return stream.writeStream.foreachBatch(stateful.Folded(t.spark, f"{folder}/open", told))
 
     replay(t.spark, in_lots(t), "alerts", start)
     left = sinks[0].retry()

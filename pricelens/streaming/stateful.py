@@ -1,18 +1,22 @@
 """Streams with state: intervals closed and events told as observations come, and a watchdog over runs.
 
 Both are transformWithState operators, whose state lies in RocksDB: with_state_store() sets the session up.
+Folded tells the events batch by batch, for streams of many offers: its state is a table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import schemas as S
+from .. import storage
+from ..operators import events
 
 CHANGE = "offre_id long, run long, type_evenement string, valeur_avant double, valeur_apres double, date_detection timestamp, prix_original double, prix_en_promotion double, stock_status string, ferme_debut timestamp, ferme_nb long"
 OPEN = "run long, date_debut timestamp, nb long, original double, promotion double, stock string, rounded double, rounded_promotion double"
@@ -80,6 +84,46 @@ def changes(observations: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     return rows.groupBy("offre_id").transformWithState(Changes(ttl_ms), CHANGE, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
+@dataclass
+class Folded:
+    """foreachBatch target: tells sink(events, batch) the events of a stream of observations (as changes() takes them), whose open intervals it keeps at path.
+
+    A batch's observations meet the open intervals by windows and no row is handed to Python. A batch that comes again
+    starts from the same intervals and overwrites what it left.
+    """
+
+    spark: SparkSession
+    path: str
+    sink: Callable[[DataFrame, int], object]
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        held = f"{self.path}/{batch - 1}"
+        open_ones = self.spark.read.parquet(held).where("last") if batch and storage.exists(self.spark, held) else None
+        folded(open_ones, rows).write.mode("overwrite").parquet(f"{self.path}/{batch}")
+        now = self.spark.read.parquet(f"{self.path}/{batch}")
+        told = events.detect(now.withColumn("run", F.struct("run", "held")))
+        self.sink(told.where("not run.held").withColumn("run", F.col("run.run")), batch)
+
+
+def folded(held: DataFrame | None, observations: DataFrame) -> DataFrame:
+    """offre_id, run, date_debut, nb, prix_original, prix_en_promotion, stock_status, held and last: the intervals that observations open, and those that were held open before (held); last is open now. held: rows of an earlier result."""
+    rounded = lambda c: F.round(F.col(c).cast("decimal(20,6)"), 2).cast("double")  # noqa: E731  as batches compare prices
+    values = ("prix_original", "prix_en_promotion", "stock_status")
+    rows = observations.select("offre_id", F.lit(None).cast("long").alias("before"), F.lit(1).cast("long").alias("n"), F.col("observed_at").alias("at"), "k1", "k2", *values)
+    if held is not None:
+        rows = rows.unionByName(held.select("offre_id", F.col("run").alias("before"), F.col("nb").alias("n"), F.col("date_debut").alias("at"), *values), allowMissingColumns=True)
+    own = Window.partitionBy("offre_id").orderBy(F.col("before").isNull(), "at", "k1", "k2")
+    alike = F.col("stock_status").eqNullSafe(F.lag("stock_status").over(own))
+    for c in values[:2]:
+        alike &= rounded(c).eqNullSafe(F.lag(rounded(c)).over(own))
+    opens = F.when(F.col("before").isNotNull() | ((F.row_number().over(own) > 1) & alike), 0).otherwise(1)
+    first = F.coalesce(F.first("before").over(own), F.lit(0).cast("long"))
+    rows = rows.withColumn("_opens", opens).withColumn("run", first + F.sum("_opens").over(own))
+    out = rows.groupBy("offre_id", "run").agg(F.min_by(F.struct("at", *values), F.struct(F.col("before").isNull(), "at", "k1", "k2")).alias("_v"), F.sum("n").alias("nb"), F.count_if(F.col("before").isNotNull()).alias("_held"))
+    after = F.lead("run").over(Window.partitionBy("offre_id").orderBy("run"))
+    return out.select("offre_id", "run", F.col("_v.at").alias("date_debut"), "nb", *(F.col(f"_v.{c}").alias(c) for c in values), (F.col("_held") > 0).alias("held"), after.isNull().alias("last"))
+
+
 class Watchdog(StatefulProcessor):
     """A run has one timer: the moment at which it counts as ended unless it is heard of."""
 

@@ -35,6 +35,24 @@ def test_changes_over_batches(spark, tmp_path):
     assert {key(r) for r in got if r.type_evenement} == {key(r) for r in events.detect(whole).collect()}
 
 
+def test_folded_batches_tell_what_the_whole_tells(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    told = [(1, 0, 10.0, None, "IN_STOCK"), (1, 1, 10.001, None, "IN_STOCK"), (1, 2, 11.0, None, "IN_STOCK"), (1, 3, 11.0, 9.0, "IN_STOCK"), (2, 0, None, None, "RUPTURE"), (2, 5, None, None, None), (2, 6, None, None, None)]
+    told += [(3, h, 100.0 + (h % 4) * 1.005, 50.0 if h % 7 == 0 else None, "RUPTURE" if h % 5 == 0 else "IN_STOCK") for h in range(30)] + [(4, 40, 5.0, None, "IN_STOCK")]
+    rows = [(o, t0 + dt.timedelta(hours=h), n, 0, p, q, s) for n, (o, h, p, q, s) in enumerate(told)]
+    got = []
+    fold = stateful.Folded(spark, str(tmp_path / "open"), lambda events, batch: got.append((batch, events.collect())))
+    for batch, cut in enumerate((rows[:3] + rows[7:15], rows[3:7] + rows[15:30], rows[30:])):
+        for _ in range(2):  # each comes twice
+            fold(spark.createDataFrame(cut, OBSERVED), batch)
+    assert all(sorted(map(str, a[1])) == sorted(map(str, b[1])) for a, b in zip(got[::2], got[1::2], strict=True))
+    whole = intervals.compact(spark.createDataFrame(rows, OBSERVED), order=("observed_at", "k1"), prices=("prix_original", "prix_en_promotion"))
+    key = lambda r: (r.offre_id, r.run, r.type_evenement, r.valeur_avant, r.valeur_apres, r.date_detection)
+    assert sorted(map(key, (r for _, e in got[::2] for r in e)), key=str) == sorted(map(key, events.detect(whole).collect()), key=str)
+    last = {(r.offre_id, r.run, r.nb, r.date_debut) for r in spark.read.parquet(str(tmp_path / "open/2")).where("last").collect()}
+    assert last == {(r.offre_id, r.run, r.nb_observations, r.date_debut) for r in whole.where("date_fin is null").collect()}
+
+
 def test_watchdog_timers(spark, tmp_path):
     stateful.with_state_store(spark)
     schema = "run_id long, genre string"
