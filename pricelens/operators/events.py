@@ -30,26 +30,30 @@ def event_type(first: Column, stock: Column, before_stock: Column, promo: Column
     )
 
 
-def detect(snapshots: DataFrame, key: str = "offre_id", out: Sequence[str] = S.STRICT_OUT) -> DataFrame:
-    """key, type_evenement, valeur_avant, valeur_apres, date_detection: at most one row for each interval.
+def told(snapshots: DataFrame, key: str | Sequence[str] = "offre_id", out: Sequence[str] = S.STRICT_OUT, order: Sequence[str] = ("run",)) -> DataFrame:
+    """snapshots with the event of each interval: type_evenement (null: none), valeur_avant, valeur_apres.
 
-    The window has the key and order that compaction left, so no further shuffle.
+    The window has the key and order that compaction left, so no further shuffle; nor a sort, if order
+    names what the observations were sorted by.
     """
-    own = Window.partitionBy(key).orderBy("run")
+    own = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*order)
     before = lambda c: F.lag(c).over(own)
     kind = event_type(
         F.row_number().over(own) == 1, F.col("stock_status"), before("stock_status"), F.col("prix_en_promotion"), before("prix_en_promotion"), F.col("prix_original"), before("prix_original"), out
     )
-    promo = F.col("type_evenement") == S.PROMO_START
-    told = snapshots.withColumn("_before", before("prix_original")).withColumn("type_evenement", kind).where(F.col("type_evenement").isNotNull())
-    return told.select(
-        key,
-        "type_evenement",
-        F.when(F.col("type_evenement") != S.NEW_OFFER, F.col("_before")).alias("valeur_avant"),
-        F.when(promo, F.col("prix_en_promotion")).otherwise(F.col("prix_original")).alias("valeur_apres"),
-        F.col("date_debut").alias("date_detection"),
-        "run",
-    )
+    rows = snapshots.withColumn("_before", before("prix_original")).withColumn("type_evenement", kind)
+    value = F.when(F.col("type_evenement") == S.PROMO_START, F.col("prix_en_promotion")).when(F.col("type_evenement").isNotNull(), F.col("prix_original"))
+    return rows.withColumn("valeur_avant", F.when(F.col("type_evenement") != S.NEW_OFFER, F.col("_before"))).withColumn("valeur_apres", value).drop("_before")
+
+
+def only(rows: DataFrame, *more: str) -> DataFrame:
+    """The events of told()'s rows, and more columns of their intervals."""
+    return rows.where(F.col("type_evenement").isNotNull()).select(*more, "type_evenement", "valeur_avant", "valeur_apres", F.col("date_debut").alias("date_detection"), "run")
+
+
+def detect(snapshots: DataFrame, key: str = "offre_id", out: Sequence[str] = S.STRICT_OUT) -> DataFrame:
+    """key, type_evenement, valeur_avant, valeur_apres, date_detection, run: at most one row for each interval."""
+    return only(told(snapshots, key, out), key)
 
 
 def fan_out(events: DataFrame, scope: DataFrame, rules: DataFrame, users: DataFrame) -> DataFrame:

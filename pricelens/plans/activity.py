@@ -15,9 +15,15 @@ LAST = "(SELECT max(observed_at) FROM fx_obs)"
 
 
 def scoped(t: Tables, own: bool = False) -> DataFrame:
-    """Events in scope with their product's columns; those of the own site only if asked for."""
-    rows = t.events.join(t.products, "produit_id").where(t.scope(1))
-    return rows if own else rows.where(F.col("site_id") != t.tenant(1)[3])
+    """Events in scope with their category; those of the own site only if asked for."""
+    rows = t.placed_events.where(t.scope(1))
+    rows = rows if own else rows.where(F.col("site_id") != t.tenant(1)[3])
+    return rows.join(F.broadcast(t.categories), "categorie_id")  # a row a category
+
+
+def named(t: Tables, rows: DataFrame) -> DataFrame:
+    """Rows in scope with the name and brand of their product."""
+    return rows.join(t.products.where(t.scope(1)).select("produit_id", "nom", "marque"), "produit_id")
 
 
 def since(t: Tables, days: int):
@@ -47,7 +53,7 @@ FROM {SCOPED} AND site_id <> 0 AND type_evenement IN ('BAISSE_PRIX', 'HAUSSE_PRI
 def events_list(t: Tables) -> DataFrame:
     """Price events in scope with their change."""
     change, share = events.price_delta(F.col("valeur_apres"), F.col("valeur_avant"))
-    rows = scoped(t).where(F.col("type_evenement").isin(S.PRICE_DROP, S.PRICE_RISE))
+    rows = named(t, scoped(t).where(F.col("type_evenement").isin(S.PRICE_DROP, S.PRICE_RISE)))
     return rows.select("offre_id", "run", "nom", "categorie", "type_evenement", change.alias("delta"), share.alias("delta_pct"), "date_detection")
 
 
@@ -58,7 +64,7 @@ SELECT (SELECT count(DISTINCT produit_id) FROM fx_offer WHERE categorie_id IN (1
 FROM {SCOPED}""")
 def dashboard_overview(t: Tables) -> DataFrame:
     """Products and sites in scope, and the events of 7 days and of one; the own site counts."""
-    stock = t.offers.where(t.scope(1)).agg(F.countDistinct("produit_id").alias("produits"), F.countDistinct("site_id").alias("sites"))
+    stock = t.placed.where(t.scope(1)).agg(F.countDistinct("produit_id").alias("produits"), F.countDistinct("site_id").alias("sites"))
     told = scoped(t, own=True).agg(
         F.count_if(since(t, 7)).alias("variations_7j"), F.count_if(since(t, 1)).alias("variations_hier"),
         F.count_if(since(t, 7) & (F.col("type_evenement") == S.OUT_OF_STOCK)).alias("ruptures_7j"), F.max("date_detection").alias("dernier"),
@@ -141,7 +147,7 @@ def trends_competitors(t: Tables, limit: int = 3) -> DataFrame:
 @query(f"SELECT offre_id, min(nom) AS nom, count(*) AS n FROM {RECENT} GROUP BY offre_id ORDER BY n DESC, offre_id LIMIT 3")
 def trends_volatile(t: Tables, limit: int = 3) -> DataFrame:
     """The other sites' offers with the most events of 30 days."""
-    rows = scoped(t).where(since(t, 30)).groupBy("offre_id").agg(F.min("nom").alias("nom"), F.count("*").alias("n"))
+    rows = named(t, scoped(t).where(since(t, 30))).groupBy("offre_id").agg(F.min("nom").alias("nom"), F.count("*").alias("n"))
     return rows.orderBy(F.desc("n"), "offre_id").limit(limit)
 
 
@@ -152,7 +158,7 @@ LEFT JOIN (SELECT site_id, count(*) AS p FROM fx_offer WHERE categorie_id IN (1,
 def competitor_activity(t: Tables) -> DataFrame:
     """Price drops of 7 days and current promotions of each other site; those with neither have zeros."""
     drops = scoped(t).where(since(t, 7) & (F.col("type_evenement") == S.PRICE_DROP)).groupBy("site_id").agg(F.count("*").alias("b"))
-    promos = t.offers.where(t.scope(1) & F.col("en_promo")).groupBy("site_id").agg(F.count("*").alias("p"))
+    promos = t.placed.where(t.scope(1) & F.col("en_promo")).groupBy("site_id").agg(F.count("*").alias("p"))
     rows = t.sites.where(F.col("site_id") != t.tenant(1)[3]).join(drops, "site_id", "left").join(promos, "site_id", "left")
     b, p = F.coalesce("b", F.lit(0)), F.coalesce("p", F.lit(0))
     return rows.select("slug", b.alias("baisses"), p.alias("promos"), (b + p).alias("agressivite"))
@@ -171,8 +177,12 @@ WHERE (r.categories IS NULL OR list_contains(r.categories, p.categorie_id))
 @query(FANNED)
 def alert_fan_out(t: Tables) -> DataFrame:
     """A notification for each event, rule that it meets, and active user."""
-    rows = events.fan_out(t.events.join(t.products, "produit_id"), t.scopes, t.rules, t.users)
-    return rows.select("offre_id", "run", "rule_id", "user_id")
+    return fanned(t, t.placed_events).select("offre_id", "run", "rule_id", "user_id")
+
+
+def fanned(t: Tables, rows: DataFrame) -> DataFrame:
+    """rows (of placed_events) for each rule that they meet and active user. The settings are a few rows each: they go to the events, which would meet by category and tenant in a few tasks."""
+    return events.fan_out(rows, F.broadcast(t.scopes), F.broadcast(t.rules), F.broadcast(t.users))
 
 
 @query(f"SELECT user_id, count(*) AS n FROM ({FANNED}) GROUP BY user_id")

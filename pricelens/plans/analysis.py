@@ -33,7 +33,8 @@ def positioned(offers: DataFrame, own: Column, keys: list) -> DataFrame:
 
 
 def site_rows(t: Tables) -> DataFrame:
-    return positioned(t.offers.where(t.scope(1)), F.col("site_id") == t.tenant(1)[3], ["produit_id", "categorie"])
+    rows = positioned(t.placed.where(t.scope(1)), F.col("site_id") == t.tenant(1)[3], ["produit_id", "categorie_id"])
+    return rows.join(F.broadcast(t.categories), "categorie_id")  # a row a category
 
 
 @query(f"SELECT produit_id, categorie, own, round(market, 6) AS market, position FROM ({SITE})")
@@ -100,7 +101,7 @@ SELECT produit_id, slug, CAST(prix_original AS DOUBLE) AS prix FROM (
   SELECT *, row_number() OVER (PARTITION BY produit_id ORDER BY prix_original, slug) AS n FROM fx_offer JOIN fx_site USING (site_id) WHERE categorie_id IN (1, 2, 3) AND site_id <> 0) WHERE n = 1""")
 def cheapest_competitor(t: Tables) -> DataFrame:
     """The other site with the lowest price of each product in scope; of equal ones the first by name."""
-    rows = t.offers.where(t.scope(1) & (F.col("site_id") != t.tenant(1)[3]) & F.col("prix_original").isNotNull()).join(t.sites, "site_id")
+    rows = t.placed.where(t.scope(1) & (F.col("site_id") != t.tenant(1)[3]) & F.col("prix_original").isNotNull()).join(t.sites, "site_id")
     best = rows.groupBy("produit_id").agg(F.min(F.struct("prix_original", "slug")).alias("_b"))
     return best.select("produit_id", F.col("_b.slug").alias("slug"), F.col("_b.prix_original").cast("double").alias("prix"))
 
@@ -118,8 +119,7 @@ def competitors(t: Tables) -> DataFrame:
     """Every other site, with the products in scope that it sells below the lowest own price, its promotions in
     scope, and the former's share of all products in scope as an intensity of 0 to 10."""
     mine = t.tenant(1)[3]
-    products = t.products.where(t.scope(1)).select("produit_id")
-    scoped = t.current.join(products, "produit_id", "left_semi").withColumn("en_promo", F.col("prix_en_promotion").isNotNull())
+    scoped = t.placed.where(t.scope(1))
     # A row a product: the lowest price and the promotions of each site (as many as there are sites).
     cells = scoped.groupBy("produit_id", "site_id").agg(F.min("prix_original").alias("low"), F.count_if("en_promo").alias("promos"))
     own = F.min(F.when(F.col("site_id") == mine, F.col("low")))
@@ -139,8 +139,7 @@ def position_history(t: Tables) -> DataFrame:
     """For each product in scope and day of the last 30 with a new price: 1 if the mean own one is cheaper, -1 if it is
     dearer, 0 between, null where one side has none."""
     price, own = F.col("prix_original").cast("double"), F.col("site_id") == t.tenant(1)[3]
-    recent = t.with_offer(t.snapshots).where(t.months(30) & (F.col("date_debut") >= t.as_of - F.expr("INTERVAL 30 DAYS")))
-    recent = recent.join(t.products.where(t.scope(1)).select("produit_id"), "produit_id", "left_semi")
+    recent = t.with_offer(t.snapshots).where(t.scope(1) & t.months(30) & (F.col("date_debut") >= t.as_of - F.expr("INTERVAL 30 DAYS")))
     rows = recent.groupBy("produit_id", F.to_date("date_debut").alias("jour")).agg(F.avg(F.when(own, price)).alias("own"), F.avg(F.when(~own, price)).alias("comp"))
     where = position(F.col("own"), F.col("comp"))
     score = F.when(F.col("own").isNotNull() & F.col("comp").isNotNull(), F.when(where == "moins_cher", 1).when(where == "plus_cher", -1).otherwise(0))

@@ -10,7 +10,7 @@ from ..functions import labels
 from ..operators import events
 from ..registry import query
 from ..tables import Tables
-from .activity import FANNED, LAST, SCOPED, alert_fan_out, scoped, since
+from .activity import FANNED, LAST, SCOPED, fanned, named, scoped, since
 from .analysis import site_rows
 
 
@@ -24,14 +24,14 @@ SELECT (SELECT count(*) FROM fx_offer WHERE categorie_id IN (1, 2, 3)) AS offres
        (SELECT count(*) FROM fx_offer WHERE categorie_id IN (1, 2, 3) AND stock_status = 'RUPTURE') AS ruptures_stock""")
 def market_overview(t: Tables) -> DataFrame:
     """Offers, sites, events of 7 days, promotions and offers out of stock in scope."""
-    offers = t.offers.where(t.scope(1)).agg(F.count("*").alias("offres_total"), F.countDistinct("site_id").alias("sites_actifs"), F.count_if("en_promo").alias("promos_actives"), F.count_if(F.col("stock_status").isin(*S.STRICT_OUT)).alias("ruptures_stock"))
+    offers = t.placed.where(t.scope(1)).agg(F.count("*").alias("offres_total"), F.countDistinct("site_id").alias("sites_actifs"), F.count_if("en_promo").alias("promos_actives"), F.count_if(F.col("stock_status").isin(*S.STRICT_OUT)).alias("ruptures_stock"))
     week = scoped(t, own=True).where(since(t, 7)).agg(F.count("*")).scalar()
     return offers.withColumn("evenements_7j", week)
 
 
 def events_page(t: Tables, types: tuple[str, ...] = (), categories: tuple[int, ...] = (), sites: tuple[str, ...] = (), text: str | None = None, days: int | None = None, first: str | None = None, last: str | None = None, own: bool = False, page: int = 1, limit: int = 10) -> DataFrame:
     """A page of events in scope, latest first, with total and pages. A filter that is not given asks nothing; first and last are days (YYYY-MM-DD), both included, and a day that is none raises."""
-    rows = scoped(t, own).join(t.sites, "site_id")
+    rows = named(t, scoped(t, own)).join(t.sites, "site_id")
     if types:
         rows = rows.where(F.col("type_evenement").isin(*types))
     if categories:
@@ -77,8 +77,9 @@ FROM fx_offer WHERE categorie_id IN (1, 2, 3) AND nom ILIKE '%gear%' GROUP BY pr
 def product_search(t: Tables, text: str = "gear", limit: int = 5) -> DataFrame:
     """Products in scope whose name has a text, with their price range and sites; the first by number."""
     price = lambda f, name: F.round(f("prix_original").cast("double"), 2).alias(name)
-    rows = t.offers.where(t.scope(1) & F.col("nom").ilike(f"%{text}%")).groupBy("produit_id").agg(F.min("nom").alias("nom"), F.min("marque").alias("marque"), price(F.min, "prix_min"), price(F.max, "prix_max"), F.countDistinct("site_id").alias("nb_sites"))
-    return rows.orderBy("produit_id").limit(limit)
+    told = t.placed.where(t.scope(1)).groupBy("produit_id").agg(price(F.min, "prix_min"), price(F.max, "prix_max"), F.countDistinct("site_id").alias("nb_sites"))
+    names = t.products.where(t.scope(1) & F.col("nom").ilike(f"%{text}%")).select("produit_id", "nom", "marque")
+    return names.join(told, "produit_id").orderBy("produit_id").limit(limit)
 
 
 @query("SELECT offre_id, nom, marque, slug FROM fx_offer JOIN fx_site USING (site_id) WHERE categorie_id IN (1, 2, 3) AND site_id <> 0 AND stock_status = 'RUPTURE' ORDER BY nom, offre_id LIMIT 20")
@@ -105,7 +106,7 @@ LEFT JOIN (SELECT e.type_evenement, count(*) AS n FROM ({FANNED}) f JOIN fx_even
 def rule_triggers(t: Tables) -> DataFrame:
     """The tenant's rules with the notifications of their event type to its users in 30 days."""
     users = t.users.where("tenant_id = 1").select("user_id")
-    told = alert_fan_out(t).join(users, "user_id", "left_semi").join(t.events.where(since(t, 30)).select("offre_id", "run", "type_evenement"), ["offre_id", "run"])
+    told = fanned(t, t.placed_events.where(since(t, 30))).join(F.broadcast(users), "user_id", "left_semi")
     counts = told.groupBy("type_evenement").agg(F.count("*").alias("declenchements"))
     return t.rules.where("tenant_id = 1").select("rule_id", "type_evenement").join(counts, "type_evenement", "left").na.fill(0, ["declenchements"])
 
@@ -133,8 +134,8 @@ SELECT n.user_id, n.offre_id, n.run, n.rule_id, CASE e.type_evenement WHEN 'BAIS
 FROM ({FANNED}) n JOIN fx_event e ON e.offre_id = n.offre_id AND e.run = n.run JOIN fx_site s ON s.site_id = e.site_id WHERE e.date_detection >= {LAST} - INTERVAL 30 DAY""")
 def alert_inbox(t: Tables) -> DataFrame:
     """The notifications of 30 days with their messages."""
-    told = t.events.where(since(t, 30)).join(t.sites, "site_id").select("offre_id", "run", labels.event_message(F.col("type_evenement"), F.col("slug")).alias("message"))
-    return alert_fan_out(t).join(told, ["offre_id", "run"]).select("user_id", "offre_id", "run", "rule_id", "message")
+    rows = t.placed_events.where(since(t, 30)).join(t.sites, "site_id").withColumn("message", labels.event_message(F.col("type_evenement"), F.col("slug")))
+    return fanned(t, rows).select("user_id", "offre_id", "run", "rule_id", "message")
 
 
 @query("""

@@ -24,7 +24,7 @@ def pages(t: Tables) -> DataFrame:
 
 def with_run(t: Tables) -> DataFrame:
     """Current offers with the run that saw them."""
-    return t.offers.withColumn("run_id", 1 + F.col("offre_id") % 40)
+    return t.placed.withColumn("run_id", 1 + F.col("offre_id") % 40)
 
 
 def metrics(rows: DataFrame, *named: tuple[str, Column]) -> DataFrame:
@@ -157,8 +157,8 @@ LEFT JOIN (SELECT tenant_id, count(*) AS n, max(date_debut) AS last_scrape_at FR
 def tenant_activity(t: Tables) -> DataFrame:
     """Users, categories, offers and the last run of each tenant; zeros for those without."""
     tenants = t.spark.createDataFrame([(x[0],) for x in TENANTS], "tenant_id long")
-    offers = with_run(t).select("categorie_id", "run_id").join(t.runs.select("run_id", F.col("date_debut").alias("_at")), "run_id")
-    by_category = offers.groupBy("categorie_id").agg(F.count("*").alias("_n"), F.max("_at").alias("_at"))  # before the scope multiplies rows
+    offers = with_run(t).groupBy("categorie_id", "run_id").agg(F.count("*").alias("_n")).join(t.runs.select("run_id", F.col("date_debut").alias("_at")), "run_id")
+    by_category = offers.groupBy("categorie_id").agg(F.sum("_n").alias("_n"), F.max("_at").alias("_at"))  # before the scope multiplies rows
     seen = t.scopes.join(by_category, "categorie_id").groupBy("tenant_id").agg(F.sum("_n").alias("nb_offres"), F.max("_at").alias("last_scrape_at"))
     out = tenants.join(t.users.groupBy("tenant_id").agg(F.count("*").alias("nb_users")), "tenant_id", "left").join(t.scopes.groupBy("tenant_id").agg(F.count("*").alias("nb_categories")), "tenant_id", "left").join(seen, "tenant_id", "left")
     return out.na.fill(0, ["nb_users", "nb_categories", "nb_offres"]).select("tenant_id", "nb_users", "nb_categories", "nb_offres", "last_scrape_at")
@@ -167,7 +167,7 @@ def tenant_activity(t: Tables) -> DataFrame:
 @query("SELECT c.categorie_id, categorie, 100 + c.categorie_id % 2 AS parent_id, count(DISTINCT produit_id) AS nb_produits, count(offre_id) AS nb_offres FROM fx_category c LEFT JOIN (SELECT categorie_id, produit_id, offre_id FROM fx_offer) USING (categorie_id) GROUP BY ALL")
 def category_list(t: Tables) -> DataFrame:
     """Categories with their family, products and offers."""
-    counts = t.offers.groupBy("categorie_id").agg(F.countDistinct("produit_id").alias("nb_produits"), F.count("*").alias("nb_offres"))
+    counts = t.placed.groupBy("categorie_id").agg(F.countDistinct("produit_id").alias("nb_produits"), F.count("*").alias("nb_offres"))
     return t.categories.join(t.families, "categorie_id").join(counts, "categorie_id", "left").na.fill(0, ["nb_produits", "nb_offres"])
 
 
@@ -204,7 +204,7 @@ def source_runs(t: Tables, limit: int = 10) -> DataFrame:
 def stale_by_site(t: Tables) -> DataFrame:
     """Offers that the last run did not see, by the site that their raw JSON tells; every ninth tells none."""
     raw = F.when(F.col("offre_id") % 9 > 0, F.to_json(F.struct(F.col("slug").alias("site_id"), "nom"))).otherwise('{"nom": "x"}')
-    rows = with_run(t).where(F.col("run_id") != latest(t)).join(t.sites, "site_id")
+    rows = t.offers.withColumn("run_id", 1 + F.col("offre_id") % 40).where(F.col("run_id") != latest(t)).join(t.sites, "site_id")
     return rows.groupBy(F.get_json_object(raw, "$.site_id").alias("site")).agg(F.count("*").alias("stale_count"))
 
 

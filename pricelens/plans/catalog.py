@@ -27,13 +27,14 @@ def snapshot_compaction(t: Tables) -> DataFrame:
 @query("SELECT offre_id, run, type_evenement, CAST(valeur_avant AS DOUBLE) AS valeur_avant, CAST(valeur_apres AS DOUBLE) AS valeur_apres, date_detection FROM fx_event")
 def event_detection(t: Tables) -> DataFrame:
     """The event of each interval that has one."""
-    return events.detect(t.compacted).select("offre_id", "run", "type_evenement", double("valeur_avant"), double("valeur_apres"), "date_detection")
+    return events.only(t.told, "offre_id").select("offre_id", "run", "type_evenement", double("valeur_avant"), double("valeur_apres"), "date_detection")
 
 
 @query("SELECT categorie_id, categorie, count(DISTINCT produit_id) AS nb_produits FROM fx_offer WHERE categorie_id IN (1, 2, 3) GROUP BY ALL")
 def product_categories(t: Tables) -> DataFrame:
     """Categories in scope and their products on sale."""
-    return t.offers.where(t.scope(1)).groupBy("categorie_id", "categorie").agg(F.countDistinct("produit_id").alias("nb_produits"))
+    counts = t.placed.where(t.scope(1)).groupBy("categorie_id").agg(F.countDistinct("produit_id").alias("nb_produits"))
+    return counts.join(F.broadcast(t.categories), "categorie_id").select("categorie_id", "categorie", "nb_produits")
 
 
 @query("SELECT marque, count(DISTINCT produit_id) AS nb_produits FROM fx_offer WHERE categorie_id IN (1, 2, 3) AND marque ILIKE '%#1%' GROUP BY marque ORDER BY nb_produits DESC, marque LIMIT 50")
@@ -50,10 +51,11 @@ FROM fx_offer JOIN fx_site USING (site_id) WHERE categorie_id IN (1, 2, 3) GROUP
 
 
 def listed(t: Tables, categorie_id: int | None = None) -> DataFrame:
-    rows = t.offers.where(t.scope(1)).join(t.sites, "site_id")
+    rows = t.placed.where(t.scope(1)).join(t.sites, "site_id")
     if categorie_id:
         rows = rows.where(F.col("categorie_id") == categorie_id)
-    return rows.groupBy("produit_id", "nom", "marque", "categorie").agg(
+    # Names and brands come to the products, not to their offers.
+    told = rows.groupBy("produit_id").agg(
         F.countDistinct("site_id").alias("nb_sites"),
         F.min("prix_original").cast("double").alias("prix_min"),
         F.max("prix_original").cast("double").alias("prix_max"),
@@ -62,6 +64,8 @@ def listed(t: Tables, categorie_id: int | None = None) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("slug")), ",").alias("sites"),
         F.max("date_debut").alias("derniere"),
     )
+    names = t.products.where(t.scope(1)).select("produit_id", "nom", "marque", "categorie")
+    return names.join(told, "produit_id").select("produit_id", "nom", "marque", "categorie", *told.columns[1:])
 
 
 @query(LIST)
@@ -101,7 +105,7 @@ FROM (SELECT DISTINCT offre_id FROM fx_snapshot JOIN fx_product USING (produit_i
 def price_history(t: Tables) -> DataFrame:
     """The price of each offer in scope, and whether it was on promotion, on each of the last days; null on days without one."""
     last = F.to_date(t.as_of)
-    scoped = t.with_offer(t.snapshots).join(t.products.where(t.scope(1)).select("produit_id"), "produit_id", "left_semi")
+    scoped = t.snapshots.where(t.scope(1))
     days = intervals.calendar_as_of(scoped.select("offre_id", "run", "date_debut", "date_fin", "prix_original", "prix_en_promotion"), F.date_sub(last, SPAN), last)
     promo = F.coalesce(F.col("prix_en_promotion") < F.col("prix_original"), F.lit(False))
     return days.select("offre_id", "jour", double("prix_original").alias("prix"), F.when(F.col("prix_original").isNotNull(), promo).alias("en_promo"))
@@ -111,7 +115,7 @@ def price_history(t: Tables) -> DataFrame:
 def available_categories(t: Tables) -> DataFrame:
     """Categories that are not in scope and their products on sale, 0 for those without any."""
     scope = t.scopes.where("tenant_id = 1")
-    counts = t.offers.groupBy("categorie_id").agg(F.countDistinct("produit_id").alias("nb_produits"))
+    counts = t.placed.groupBy("categorie_id").agg(F.countDistinct("produit_id").alias("nb_produits"))
     return t.categories.join(scope, "categorie_id", "left_anti").join(counts, "categorie_id", "left").na.fill(0, ["nb_produits"])
 
 
@@ -146,7 +150,7 @@ SELECT o.offre_id, round(CAST(o.prix_original AS DOUBLE) - CAST(p.prix_original
 FROM fx_offer o JOIN (SELECT *, row_number() OVER (PARTITION BY offre_id ORDER BY date_fin DESC, run DESC) AS n FROM fx_snapshot WHERE date_fin IS NOT NULL) p ON p.offre_id = o.offre_id AND n = 1""")
 def offer_delta(t: Tables) -> DataFrame:
     """The current price of each offer against that of its interval before."""
-    before = intervals.previous_closed(t.snapshots).select("offre_id", F.col("prix_original").alias("_before"))
+    before = intervals.previous_closed(t.snapshots.select("offre_id", "run", "date_fin", "prix_original")).select("offre_id", F.col("prix_original").alias("_before"))
     change, share = events.price_delta(F.col("prix_original"), F.col("_before"))
     return t.current.join(before, "offre_id").select("offre_id", change.alias("delta"), share.alias("delta_pct"))
 

@@ -151,7 +151,7 @@ def matching_stats(t: Tables) -> DataFrame:
     is_ = lambda s: F.col("statut") == s
     good, auto = is_(commands.ACCEPTED), F.col("id_validateur").isNull()
     share = lambda c: F.round(F.try_divide(F.count_if(good & c) * 100.0, F.nullif(F.count_if(good), F.lit(0))), 2).cast("double")
-    linked = t.offers.agg(F.count_if(F.col("offre_id") % 3 == 0).alias("offres_matchees"), F.count_if(F.col("offre_id") % 3 != 0).alias("offres_non_matchees"))
+    linked = t.placed.agg(F.count_if(F.col("offre_id") % 3 == 0).alias("offres_matchees"), F.count_if(F.col("offre_id") % 3 != 0).alias("offres_non_matchees"))
     rows = candidates(t).agg(F.count("*").alias("total"), F.count_if(is_(commands.OPEN)).alias("incertain"), F.count_if(good).alias("valide"), F.count_if(is_(commands.REJECTED)).alias("rejete"), F.round(F.avg("score"), 6).alias("avg_score"), share(auto).alias("taux_auto"), share(~auto).alias("taux_humaine"))
     return rows.crossJoin(linked)  # one row each
 

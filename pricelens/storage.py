@@ -48,6 +48,12 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def length(spark: SparkSession, path: str) -> int:
+    """Bytes of the files under path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def identity(spark: SparkSession, paths: list[str]) -> str:
     """A digest of the names, lengths and times of all files under paths: it changes when the data do."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
