@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import storage
 from ..functions.specs import capacities, key_matches, key_matches_any, normalize_value, phrases
 from ..functions.text import normalize_key
 from .nearest import nearest
@@ -127,9 +129,17 @@ def scored(pairs: DataFrame, offers: DataFrame, references: DataFrame, profile:
 
     Where pairs have the columns of a profile_table(), these count in place of the profile.
     """
-    take = lambda df, key, side: df.select(key, *(F.col(c).alias(f"{c}_{side}") for c in ("nom", "specs", "models")))
-    rows = pairs.join(take(offers, "offre_id", "a"), "offre_id").join(take(references, "reference_id", "b"), "reference_id")
-    rows = rows.withColumn("s_model", best_ratio("models_a", "models_b")).withColumn("s_name", token_ratio("nom_a", "nom_b")).withColumn("_spec", spec_facts(F.col("specs_a"), F.col("specs_b"), F.col("hard_phrases") if "hard_phrases" in pairs.columns else profile.hard_keys))
+    return rated(pairs.join(side(offers, "offre_id", "a"), "offre_id").join(side(references, "reference_id", "b"), "reference_id"), pairs.columns, profile, weights)
+
+
+def side(df: DataFrame, key: str, name: str, *more: str) -> DataFrame:
+    """What of one side of a pair is looked at."""
+    return df.select(key, *more, *(F.col(c).alias(f"{c}_{name}") for c in ("nom", "specs", "models")))
+
+
+def rated(rows: DataFrame, columns: list[str], profile: Profile, weights: tuple[float, ...]) -> DataFrame:
+    """scored() for pairs that have both sides with them; columns: those of the pairs."""
+    rows = rows.withColumn("s_model", best_ratio("models_a", "models_b")).withColumn("s_name", token_ratio("nom_a", "nom_b")).withColumn("_spec", spec_facts(F.col("specs_a"), F.col("specs_b"), F.col("hard_phrases") if "hard_phrases" in columns else profile.hard_keys))
     m, hard = F.col("s_model"), F.col("_spec.n_hard")
     less = lambda x, by: F.greatest(F.lit(0.0), x - by)
     total = weights[0] * m + weights[1] * F.col("_spec.score") + weights[2] * F.col("s_semantic") + weights[3] * F.col("s_name")
@@ -140,7 +150,7 @@ def scored(pairs: DataFrame, offers: DataFrame, references: DataFrame, profile:
     total = F.when(both & (m < far), less(total, much)).when(both & (m < wide), less(total, some)).otherwise(total)
     a, b = capacities(F.col("nom_a")), capacities(F.col("nom_b"))
     total = F.when((m >= CAPACITY[0]) & (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b), less(total, CAPACITY[1])).otherwise(total)
-    return rows.select(*pairs.columns, F.round("s_model", 3).alias("s_model"), m.alias("_model"), F.round("_spec.score", 3).alias("s_spec"), F.round("s_name", 3).alias("s_name"), "_spec.n_common", "_spec.n_conflict", "_spec.n_hard", F.round(total, 4).alias("score"))
+    return rows.select(*columns, F.round("s_model", 3).alias("s_model"), m.alias("_model"), F.round("_spec.score", 3).alias("s_spec"), F.round("s_name", 3).alias("s_name"), "_spec.n_common", "_spec.n_conflict", "_spec.n_hard", F.round(total, 4).alias("score"))
 
 
 # The weights of model, specs and names, and the thresholds, of the matcher of one stage.
@@ -149,9 +159,52 @@ ONE_STAGE_PROFILE = Profile("une étape", COMPUTERS.hard_keys, COMPUTERS.exclude
 
 
 def one_stage(offers: DataFrame, references: DataFrame, profile: Profile = ONE_STAGE_PROFILE) -> DataFrame:
-    """The older matcher: each offer against all references of its brand, without vectors, and a decision without margin. Of equal scores the smaller reference."""
-    pairs = offers.select("offre_id", "marque_slug").join(references.select("reference_id", "marque_slug"), "marque_slug").select("offre_id", "reference_id", F.lit(0.0).alias("s_semantic"), F.col("reference_id").alias("rank"), F.lit(True).alias("relaxed"))
-    return decided(scored(pairs, offers, references, profile, ONE_STAGE), profile)
+    """The older matcher: each offer against all references of its brand, without vectors, and a decision without margin. Of equal scores the smaller reference. Ids are long.
+
+    References with a model of the offer's go first. Where the best of them is above all that one without could
+    reach, it is the best of the brand; other offers are held against all references of the brand. Pairs are
+    scored where the join meets them, and only an offer's best leaves the task.
+    """
+    a, b = side(offers, "offre_id", "a", "marque_slug"), side(references, "reference_id", "b", "marque_slug")
+    alike = lambda df, models: df.withColumn("_model", F.explode(models))
+    first = best_pairs(alike(a, "models_a").join(alike(b, "models_b"), ["marque_slug", "_model"]).drop("_model"), profile)
+    reach = offers.select("offre_id", unlike_reach(F.col("models")).alias("_reach"))
+    # Scores have four places, so a place more than the reach is out of it.
+    settled = storage.stored(first.join(reach, "offre_id").where(F.col("_score") > F.col("_reach") + 0.0001).select("offre_id", "_best"), "settled")
+    # A brand's offers are dealt out over blocks, each with all of its references.
+    left = a.join(settled, "offre_id", "left_anti").withColumn("_block", F.pmod(F.xxhash64("offre_id"), F.lit(BLOCKS)).cast("int"))
+    every = b.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    rest = best_pairs(left.join(every.hint("shuffle_hash"), ["marque_slug", "_block"]).drop("_block"), profile).select("offre_id", "_best")
+    pairs = settled.unionByName(rest).select("offre_id", reference_of(F.col("_best")).alias("reference_id"), F.lit(0.0).alias("s_semantic"), F.lit(True).alias("relaxed"))
+    return decided(scored(pairs.withColumn("rank", F.col("reference_id")), offers, references, profile, ONE_STAGE), profile).drop("margin")
+
+
+#: Parts into which a brand's offers are dealt out.
+BLOCKS = 16
+#: Numbers of references lie below this, a score's places above.
+ABOVE, LAST = Decimal(10**20), Decimal(2**63 - 1)
+
+
+def best_pairs(rows: DataFrame, profile: Profile) -> DataFrame:
+    """offre_id, _best, _score: the greatest score of each offer, and of equal ones the smaller reference, in one number, which tasks keep for each offer without a sort."""
+    told = rated(rows.withColumn("s_semantic", F.lit(0.0)), ["offre_id", "reference_id"], profile, ONE_STAGE)
+    places = F.round(F.col("score") * 10000).cast("decimal(6,0)")
+    best = told.groupBy("offre_id").agg(F.max(places * F.lit(ABOVE) + (F.lit(LAST) - F.col("reference_id").cast("decimal(19,0)"))).alias("_best"))
+    return best.withColumn("_score", F.floor(F.col("_best") / F.lit(ABOVE)).cast("double") / 10000)
+
+
+def reference_of(best: Column) -> Column:
+    return (F.lit(LAST) - best % F.lit(ABOVE)).cast("long")
+
+
+def unlike_reach(models: Column, weights: tuple[float, ...] = ONE_STAGE) -> Column:
+    """What the score of an offer and a reference with no model in common cannot exceed: sheets and names alike, and a model that has one letter more; or a reference without any model."""
+    size = F.coalesce(F.array_max(F.transform(models, F.length)), F.lit(0))
+    m = 2 * size / (2 * size + 1)
+    (far, much), (wide, some) = UNLIKE
+    less = F.when(m < far, much).when(m < wide, some).otherwise(0.0)
+    same = weights[1] + weights[3]
+    return F.greatest(weights[0] * m + same - less, F.lit(float(same)))
 
 
 def decided(rows: DataFrame, profile: Profile = COMPUTERS) -> DataFrame:
