@@ -19,9 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers from batch to batch, about.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Bytes of text that are worked on at once (a longer text is worked on alone).
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 #: White space next to white space, or of a kind other than space and line break.
 UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}][\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\t\r\f\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|^[ \n]|[ \n]$"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

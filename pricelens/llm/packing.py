@@ -34,6 +34,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int | None, window: int = W
         from ._tokens import coder
 
         code = coder(vocabulary)
+        pa.default_memory_pool().release_unused()  # what the worker's tasks before this one have left
         for batch in batches:
             at, step = 0, 2048
             while at < batch.num_rows:
