@@ -164,6 +164,6 @@ def search(queries: DataFrame, index: Index, k: int, probes: int = PROBES) -> Da
         wanted = [r[0] for r in asked.select(F.col("list") % BUCKETS).distinct().collect()]
         held = held.where(F.col("bucket").isin(wanted))
     cell = F.concat_ws("\x00", "group", F.col("list").cast("string")).alias("group")
-    near = nearest(asked.select("query_id", cell, "vector"), held.select("item_id", cell, "vector"), k)
+    near = nearest(asked.select("query_id", cell, "vector"), held.select("item_id", cell, "vector"), k, lie=True)
     by = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
     return near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)

@@ -8,7 +8,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from pricelens.operators import ann, dictionary, graph, normalizer
+from pricelens.operators import ann, dictionary, graph, nearest, normalizer
 from pricelens.plans import documents
 from pricelens.tables import Tables
 
@@ -60,6 +60,16 @@ def test_only_probed_folders_are_read(spark, tmp_path):
     assert "PartitionFilters: [" in rows._jdf.queryExecution().executedPlan().toString().replace("PartitionFilters: []", "")
 
 
+def test_a_query_of_several_groups(spark):
+    """Each group of a query has neighbours and ranks of its own; copies of it in one group ask alike."""
+    q = [(1, "a", [1.0, 0.0]), (1, "b", [1.0, 0.0]), (2, "a", [1.0, 0.0]), (2, "c", [0.0, 1.0])]
+    items = [(10, "a", [1.0, 0.1]), (11, "a", [0.0, 1.0]), (12, "b", [1.0, 1.0]), (13, "c", [0.0, 1.0]), (14, "b", [1.0, 0.0])]
+    vector = "id long, group string, vector array<double>"
+    got = nearest.nearest(spark.createDataFrame(q, vector).withColumnRenamed("id", "query_id"), spark.createDataFrame(items, vector).withColumnRenamed("id", "item_id"), 2).collect()
+    wanted = [(1, 10, 1), (1, 11, 2), (1, 12, 2), (1, 14, 1), (2, 10, 1), (2, 11, 2), (2, 13, 1)]
+    assert sorted((r.query_id, r.item_id, r["rank"]) for r in got) == wanted
+
+
 def test_discovery_ends_in_cycles(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("a", "skip"), ("skip", "e"), ("b", "gone"), ("x", "y"), (None, "z"), ("a", None)]
     links = spark.createDataFrame(edges, "src string, dst string")
