@@ -42,12 +42,17 @@ MODEL_KEYS = ("Modèle", "modèle", "Modele", "modele", "Model", "model")
 
 def key_matches(key: Column, wanted: Iterable[str]) -> Column:
     """Whether a spec key holds, as text or as a set of words, a phrase of one of the wanted keys. An empty key matches none."""
-    bare = normalize_key(key)
-    found = F.lit(False)
-    for phrase in dict.fromkeys(p for w in wanted for p in SYNONYMS.get(w, (w.replace("_", " "),))):
-        words = F.array(*(F.lit(x) for x in phrase.split()))
-        found = found | F.contains(bare, F.lit(phrase)) | (F.size(F.array_except(words, F.split(bare, " "))) == 0)
-    return (bare != "") & found
+    told = phrases(wanted)
+
+    def held(x: Column) -> Column:
+        found = F.lit(False)
+        for phrase in told:
+            words = F.array(*(F.lit(w) for w in phrase.split()))
+            found = found | F.contains(x["bare"], F.lit(phrase)) | (F.size(F.array_except(words, x["words"])) == 0)
+        return (x["bare"] != "") & found
+
+    # The key is normalised once for all phrases: within a lambda nothing else would see to that.
+    return let(let(normalize_key(key), lambda bare: F.struct(bare.alias("bare"), F.split(bare, " ").alias("words"))), held)
 
 
 def phrases(wanted: Iterable[str]) -> list[str]:

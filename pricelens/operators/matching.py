@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from .. import storage
 from ..functions.specs import capacities, key_matches, key_matches_any, normalize_value, phrases
 from ..functions.text import normalize_key
-from .nearest import nearest
+from . import pairs
+from .nearest import listed
 
 
 @dataclass(frozen=True)
@@ -100,28 +101,72 @@ def candidates(offers: DataFrame, references: DataFrame, categories: DataFrame,
     parent_id (null at the top). An offer without vector, or whose references have none, gets all of them, in the order of their
     ids, at a similarity of 0; a reference without vector is no candidate where another has one.
     """
+    members, lists = candidate_lists(offers.select("offre_id", "marque_slug", "categorie_id", "vector"), references, categories, k)
+    return members.join(lists, "list").select("offre_id", "reference_id", "s_semantic", "rank", "relaxed")
+
+
+def candidate_lists(offers: DataFrame, references: DataFrame, categories: DataFrame, k: int = 15) -> tuple[DataFrame, DataFrame]:
+    """candidates() in two tables: list and the columns of offers but vector, and list, reference_id, s_semantic, rank, relaxed: what offers of one vector and pool have in common, once."""
     def family(df: DataFrame) -> DataFrame:
         placed = df.join(F.broadcast(categories.select("categorie_id", "parent_id")), "categorie_id", "left")  # a row a category: by it, offers would meet in a few tasks
         return placed.withColumn("family", F.coalesce(F.concat(F.lit("p"), F.col("parent_id").cast("string")), F.concat(F.lit("c"), F.col("categorie_id").cast("string"))))
 
     q, r = family(offers), family(references)
-    there = r.select("marque_slug", "family").distinct()
-    near = q.join(there, ["marque_slug", "family"], "left_semi")
-    far = q.join(there, ["marque_slug", "family"], "left_anti")
-    def rows(df: DataFrame, key: str, *by: str) -> DataFrame:
-        return df.select(F.col(key).alias("query_id" if key == "offre_id" else "item_id"), F.concat_ws("\x00", *by).alias("group"), "vector")
-
-    def pool(asked: DataFrame, *by: str) -> DataFrame:
-        q, items = rows(asked, "offre_id", *by), rows(r, "reference_id", *by)
-        placed = items.where("vector is not null").select("group").distinct().withColumn("_placed", F.lit(True))
-        q = q.join(placed, "group", "left")
-        plain = q.where("vector is null or _placed is null").join(items.select("group", "item_id"), "group").select("query_id", "item_id", F.lit(0.0).alias("similarity"))
-        plain = plain.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("item_id")))
-        return nearest(q.where("_placed").drop("_placed"), items, k).unionByName(plain)
-
-    tight = pool(near, "marque_slug", "family").withColumn("relaxed", F.lit(False))
-    loose = pool(far, "marque_slug").withColumn("relaxed", F.lit(True))
-    return tight.unionByName(loose).select(F.col("query_id").alias("offre_id"), F.col("item_id").alias("reference_id"), F.col("similarity").alias("s_semantic"), "rank", "relaxed")
+    # Pools are kept, so that their size is known: few, they go to the offers, which then need not meet by pool.
+    tight = F.concat_ws("\x00", F.lit("t"), "marque_slug", "family")
+    loose = F.concat_ws("\x00", F.lit("l"), F.coalesce("marque_slug", F.lit("")))
+    there = storage.stored(r.where("marque_slug is not null and family is not null").groupBy("marque_slug", "family").agg(F.count("vector").alias("_placed")), "pools")
+    brands = storage.stored(r.groupBy(loose.alias("_loose")).agg(F.count("vector").alias("_all")), "brands")
+    q = q.join(there, ["marque_slug", "family"], "left").withColumn("_loose", loose).join(brands, "_loose", "left")
+    near = F.col("_placed").isNotNull()
+    q = q.withColumn("group", F.when(near, tight).when(F.col("_all").isNotNull(), F.col("_loose"))).where("group is not null")
+    bare = F.col("vector").isNull() | (F.when(near, F.col("_placed")).otherwise(F.col("_all")) == 0)
+    q = q.withColumn("_bare", bare).drop("family", "parent_id", "_loose", "_placed", "_all").withColumnRenamed("offre_id", "query_id")
+    asked = storage.stored(q.groupBy("group").agg(F.max("_bare").alias("_bare")), "asked")
+    each = r.select(F.col("reference_id").alias("item_id"), "vector", F.explode(F.array(tight, loose)).alias("group"), "marque_slug", "family")
+    items = each.where(F.col("group").startswith("l") | F.col("marque_slug").isNotNull() & F.col("family").isNotNull()).select("item_id", "group", "vector")
+    members, lists = listed(q.where("not _bare").drop("_bare"), items.join(asked, "group", "left_semi"), k)
+    named = lambda df: df.withColumn("list", F.concat_ws("\x00", "group", F.col("first").cast("string"))).drop("first")
+    all_of = F.concat_ws("\x00", "group", F.lit("all")).alias("list")
+    members = named(members).drop("group").unionByName(q.where("_bare").select(*(c for c in q.columns if c not in ("vector", "_bare", "group")), all_of))
+    plain = items.join(asked.where("_bare"), "group", "left_semi").select("item_id", "group", all_of, F.lit(0.0).alias("similarity"))
+    plain = plain.withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy("item_id")))
+    lists = named(lists).unionByName(plain).select("list", F.col("item_id").alias("reference_id"), F.col("similarity").alias("s_semantic"), "rank", F.col("group").startswith("l").alias("relaxed"))
+    return members.withColumnRenamed("query_id", "offre_id"), lists
+
+
+def matched(offers: DataFrame, references: DataFrame, categories: DataFrame, profile: Profile = COMPUTERS, weights: tuple[float, ...] = (MODEL, SPEC, SEMANTIC, NAME)) -> DataFrame:
+    """decided() of the candidates of all offers: pairs are scored where offers meet the references of their list, and only the two best of an offer leave the task. Ids are long."""
+    members, lists = candidate_lists(offers.select("offre_id", "marque_slug", "categorie_id", "vector", "nom", "specs", "models"), references, categories)
+    lists = storage.stored(lists, "lists")
+    asking = asking_side(members.withColumnRenamed("list", "key"))
+    others = lists.withColumnRenamed("list", "key").join(other_side(references.select("reference_id", "nom", "specs", "models"), profile), "reference_id").withColumnRenamed("reference_id", "id")
+    return decided(facts(pairs.best(asking, others, 2, scale(weights))), profile)
+
+
+def scale(weights: tuple[float, ...]) -> pairs.Scale:
+    return pairs.Scale(weights, SAME_MODEL, HARD_SAME, HARD_OTHER, UNLIKE, CAPACITY)
+
+
+def asking_side(offers: DataFrame) -> DataFrame:
+    """Offers as pairs.best() takes them: with key, and least if there is one."""
+    least = F.col("least") if "least" in offers.columns else F.lit(float("-inf"))
+    return offers.select(F.col("offre_id").alias("id"), "key", "nom", "specs", "models", capacities(F.col("nom")).alias("caps"), least.alias("least"))
+
+
+def other_side(references: DataFrame, profile: Profile) -> DataFrame:
+    """references with what pairs.best() looks at."""
+    hard = F.transform(F.map_keys("specs"), lambda k: key_matches(k, profile.hard_keys))
+    return references.withColumns({"caps": capacities(F.col("nom")), "hard": hard})
+
+
+def facts(rows: DataFrame) -> DataFrame:
+    """Rows of pairs.best() with the columns of rated(). Counts of a sheet that is null are those of a null array."""
+    count = lambda c: F.when(F.col("bare"), F.size(F.lit(None).cast("array<string>"))).otherwise(F.col(c)).alias(c)
+    return rows.select(
+        "offre_id", "reference_id", "s_semantic", F.col("rank").cast("int").alias("rank"), "relaxed", F.round("m", 3).alias("s_model"), F.col("m").alias("_model"),
+        F.round("spec", 3).alias("s_spec"), F.round("name", 3).alias("s_name"), count("n_common"), count("n_conflict"), count("n_hard"), "score",
+    )
 
 
 def scored(pairs: DataFrame, offers: DataFrame, references: DataFrame, profile: Profile = COMPUTERS, weights: tuple[float, ...] = (MODEL, SPEC, SEMANTIC, NAME)) -> DataFrame:

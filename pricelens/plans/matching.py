@@ -84,17 +84,13 @@ ONE_STAGE = CASCADE.replace("coalesce(round(list_cosine_similarity(q.vector, r.v
 ONE_STAGE = ONE_STAGE.replace("0.40::DOUBLE * model", "0.50::DOUBLE * model").replace("0.25::DOUBLE * ((5", "0.35::DOUBLE * ((5").replace("score >= 0.74 AND model >= 0.97 AND margin >= 0.10 AND round(sem, 3) >= 0.75", "score >= 0.72 AND model >= 0.97").replace("score >= 0.32", "score >= 0.30")
 
 
-def decisions(t: Tables) -> DataFrame:
-    offers, references = offers_and_references(t)
-    return matching.decided(matching.scored(near(t, offers, references), offers, references))
-
-
 @query(f"""WITH {CASCADE.strip()}
 SELECT offre_id, reference_id, score, round(model, 3) AS s_model, round(spec, 3) AS s_spec, round(name, 3) AS s_name, 5 AS n_common, n_conflict, n_hard, margin, layer,
   CASE WHEN layer = 'REVIEW' AND score >= 0.74 THEN CASE WHEN model < 0.97 THEN 'model<0.97' WHEN margin < 0.10 THEN 'margin<0.1' WHEN round(sem, 3) < 0.75 THEN 'semantic<0.75' ELSE '' END ELSE '' END AS reason, false AS relaxed FROM decided""")
 def match_decisions(t: Tables) -> DataFrame:
     """The best reference of each offer, its score and margin, and whether it is linked, reviewed or dropped."""
-    return decisions(t).select("offre_id", "reference_id", "score", "s_model", "s_spec", "s_name", "n_common", "n_conflict", "n_hard", "margin", "layer", "reason", "relaxed")
+    offers, references = offers_and_references(t)
+    return matching.matched(offers, references, t.families).select("offre_id", "reference_id", "score", "s_model", "s_spec", "s_name", "n_common", "n_conflict", "n_hard", "margin", "layer", "reason", "relaxed")
 
 
 @query(f"""WITH {ONE_STAGE.strip()}
@@ -109,7 +105,8 @@ def one_stage_decisions(t: Tables) -> DataFrame:
 SELECT CAST(100 + categorie_id % 2 AS VARCHAR) AS family, count(*) AS total, count(*) FILTER (layer = 'AUTO') AS auto, count(*) FILTER (layer = 'REVIEW') AS review, count(*) FILTER (layer = 'NO_MATCH') AS no_match FROM decided JOIN fx_listing USING (offre_id) GROUP BY ROLLUP (CAST(100 + categorie_id % 2 AS VARCHAR))""")
 def match_summary(t: Tables) -> DataFrame:
     """Offers of each layer, by family and in all."""
-    placed = decisions(t).join(t.listings.select("offre_id", "categorie_id"), "offre_id").join(t.families.select("categorie_id", F.col("parent_id").cast("string").alias("family")), "categorie_id")
+    offers, references = offers_and_references(t)
+    placed = matching.matched(offers, references, t.families).join(offers.select("offre_id", "categorie_id"), "offre_id").join(t.families.select("categorie_id", F.col("parent_id").cast("string").alias("family")), "categorie_id")
     return matching.buckets(placed)
 
 
