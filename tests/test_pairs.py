@@ -6,7 +6,7 @@ import numpy as np
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from pricelens import registry
+from pricelens import plans, registry  # noqa: F401
 from pricelens.operators import matching, pairs
 from pricelens.tables import Tables
 
@@ -74,3 +74,8 @@ def test_pairs_of_the_cascade_do_not_move(spark):
     for name in ("match_decisions",):
         plan = registry.QUERIES[name](Tables(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
         assert "FlatMapGroupsInArrow" in plan and "EvalPython" not in plan
+
+
+def test_summary_takes_families_from_the_kept_sheets(spark):
+    plan = registry.QUERIES["match_summary"](Tables(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "EvalPython" not in plan and "/embeddings.parquet" not in plan
