@@ -164,7 +164,7 @@ def facts(rows: DataFrame) -> DataFrame:
     """Rows of pairs.best() with the columns of rated(). Counts of a sheet that is null are those of a null array."""
     count = lambda c: F.when(F.col("bare"), F.size(F.lit(None).cast("array<string>"))).otherwise(F.col(c)).alias(c)
     return rows.select(
-        "offre_id", "reference_id", "s_semantic", F.col("rank").cast("int").alias("rank"), "relaxed", F.round("m", 3).alias("s_model"), F.col("m").alias("_model"),
+        "offre_id", "reference_id", "s_semantic", "rank", "relaxed", F.round("m", 3).alias("s_model"), F.col("m").alias("_model"),
         F.round("spec", 3).alias("s_spec"), F.round("name", 3).alias("s_name"), count("n_common"), count("n_conflict"), count("n_hard"), "score",
     )
 
@@ -207,25 +207,26 @@ def one_stage(offers: DataFrame, references: DataFrame, profile: Profile = ONE_S
     """The older matcher: each offer against all references of its brand, without vectors, and a decision without margin. Of equal scores the smaller reference. Ids are long.
 
     References with a model of the offer's go first. Where the best of them is above all that one without could
-    reach, it is the best of the brand; other offers are held against all references of the brand. Pairs are
-    scored where the join meets them, and only an offer's best leaves the task.
+    reach, it is the best of the brand; other offers are held against all references of the brand, of which those
+    whose models alone keep them below that best go at once. Only an offer's best leaves the task.
     """
-    a, b = side(offers, "offre_id", "a", "marque_slug"), side(references, "reference_id", "b", "marque_slug")
-    alike = lambda df, models: df.withColumn("_model", F.explode(models))
-    first = best_pairs(alike(a, "models_a").join(alike(b, "models_b"), ["marque_slug", "_model"]).drop("_model"), profile)
-    reach = offers.select("offre_id", unlike_reach(F.col("models")).alias("_reach"))
+    a = offers.select("offre_id", "marque_slug", "nom", "specs", "models")
+    b = other_side(references.select("reference_id", "marque_slug", "nom", "specs", "models"), profile)
+    b = b.select(F.col("reference_id").alias("id"), "marque_slug", "nom", "specs", "models", "caps", "hard", F.lit(0.0).alias("s_semantic"), F.col("reference_id").alias("rank"), F.lit(True).alias("relaxed"))
+
+    def best(a: DataFrame, b: DataFrame, key: Column) -> DataFrame:
+        return facts(pairs.best(asking_side(a.withColumn("key", key)), b.withColumn("key", key), 1, scale(ONE_STAGE)))
+
+    alike = lambda df: df.withColumn("_model", F.explode("models"))
+    first = storage.stored(best(alike(a), alike(b), F.concat("marque_slug", F.lit("\x00"), "_model")), "first")
     # Scores have four places, so a place more than the reach is out of it.
-    settled = storage.stored(first.join(reach, "offre_id").where(F.col("_score") > F.col("_reach") + 0.0001).select("offre_id", "_best"), "settled")
-    # A brand's offers are dealt out over blocks, each with all of its references.
-    left = a.join(settled, "offre_id", "left_anti").withColumn("_block", F.pmod(F.xxhash64("offre_id"), F.lit(BLOCKS)).cast("int"))
-    every = b.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    rest = best_pairs(left.join(every.hint("shuffle_hash"), ["marque_slug", "_block"]).drop("_block"), profile).select("offre_id", "_best")
-    pairs = settled.unionByName(rest).select("offre_id", reference_of(F.col("_best")).alias("reference_id"), F.lit(0.0).alias("s_semantic"), F.lit(True).alias("relaxed"))
-    return decided(scored(pairs.withColumn("rank", F.col("reference_id")), offers, references, profile, ONE_STAGE), profile).drop("margin")
+    least = first.groupBy("offre_id").agg(F.max("score").alias("least"))
+    least = storage.stored(offers.select("offre_id", unlike_reach(F.col("models")).alias("_reach")).join(least, "offre_id").select("offre_id", "least", (F.col("least") > F.col("_reach") + 0.0001).alias("_settled")), "least")
+    left = a.join(least, "offre_id", "left").where("_settled is null or not _settled").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    rest = best(left, b, F.col("marque_slug"))
+    return decided(first.join(least.where("_settled"), "offre_id", "left_semi").unionByName(rest), profile).drop("margin")
 
 
-#: Parts into which a brand's offers are dealt out.
-BLOCKS = 16
 #: Numbers of references lie below this, a score's places above.
 ABOVE, LAST = Decimal(10**20), Decimal(2**63 - 1)
 
@@ -238,10 +239,6 @@ def best_pairs(rows: DataFrame, profile: Profile) -> DataFrame:
     return best.withColumn("_score", F.floor(F.col("_best") / F.lit(ABOVE)).cast("double") / 10000)
 
 
-def reference_of(best: Column) -> Column:
-    return (F.lit(LAST) - best % F.lit(ABOVE)).cast("long")
-
-
 def unlike_reach(models: Column, weights: tuple[float, ...] = ONE_STAGE) -> Column:
     """What the score of an offer and a reference with no model in common cannot exceed: sheets and names alike, and a model that has one letter more; or a reference without any model."""
     size = F.coalesce(F.array_max(F.transform(models, F.length)), F.lit(0))

@@ -79,3 +79,16 @@ def test_pairs_of_the_cascade_do_not_move(spark):
 def test_summary_takes_families_from_the_kept_sheets(spark):
     plan = registry.QUERIES["match_summary"](Tables(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "EvalPython" not in plan and "/embeddings.parquet" not in plan
+
+
+def test_one_stage_on_odd_rows(spark):
+    """The best of all pairs of a brand, whatever the rows lack; ids beyond 32 bits; no function is called for each pair."""
+    offers = spark.createDataFrame(listed_rows(70, 6), OFFER)
+    references = spark.createDataFrame(listed_rows(80, 7), OFFER).withColumn("offre_id", F.col("offre_id") + 2**40).withColumnRenamed("offre_id", "reference_id")
+    both = offers.select("offre_id", "marque_slug").join(references.select("reference_id", "marque_slug"), "marque_slug")
+    both = both.select("offre_id", "reference_id", F.lit(0.0).alias("s_semantic"), F.col("reference_id").alias("rank"), F.lit(True).alias("relaxed"))
+    wanted = matching.decided(matching.scored(both, offers, references, matching.ONE_STAGE_PROFILE, matching.ONE_STAGE), matching.ONE_STAGE_PROFILE).withColumn("margin", F.lit(0.0))
+    got = matching.one_stage(offers, references)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "EvalPython" not in plan
+    assert rows_of(got.withColumn("margin", F.lit(0.0))) == rows_of(wanted)
